@@ -10,14 +10,24 @@ from __future__ import annotations
 import array
 import os
 import re
+from itertools import chain
 
-CACHE_ENTRIES = 800_000
+import numpy as np
+
+CACHE_ENTRIES = 1_500_000
 #: Pieces above this length are encoded but not kept.
 LONG_PIECE = 64
 
 #: Next to a space there is more white space, or the text begins or ends with white space.
 _AWKWARD = re.compile(r" \s|\s |\A\s|\s\Z")
-_MARKS = frozenset(".,;:!?")
+
+
+def _simple(text: str) -> bool:
+    return text[:1] > " " and text[-1:] > " " and not any(x in text for x in "\t\x0b\x0c\r\x1c\x1d\x1e\x1f")
+
+
+_MARK_RUN = r"([!-&(-/:-@\[-`{-~]*)"
+_PARTS = re.compile(rf"([^\W\d_]+){_MARK_RUN}(?:(\n)([^\W\d_]+){_MARK_RUN})?\Z")
 _PLAIN_SPACE = re.compile(r"(?<=\S)(?= \S)")
 
 
@@ -32,42 +42,97 @@ class Encoder:
 
         if mode not in ("dropped", "leading"):
             raise ValueError(mode)
-        self.mode, self.tokenizer = mode, Tokenizer.from_file(path)
+        self.lead, self.tokenizer = mode == "leading", Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cache: dict[str, bytes] = {}
-
-    def pieces(self, text: str) -> list[str]:
-        if self.mode == "dropped":
-            return text.replace("\n", " ").split(" ")
-        if _AWKWARD.search(text):
-            return _PLAIN_SPACE.split(text)
+        #: ids of words (led by their space in mode 'leading'), and of pieces that are not such words
+        self.known: dict[str, bytes] = {}
+        self.odd: dict[str, bytes] = {}
+        self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids[:1] if self.lead else []
+        #: by id: the token begins (leading) or ends (dropped) a run of letters in a joined text
+        self.edge = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.edge[i] = token.startswith("Ġ") if self.lead else token.endswith("</w>")
+
+    def cut(self, text: str) -> tuple[list[str], list[str]]:
+        """A text's odd pieces and, after them, its words."""
+        if not self.lead:
+            return [], text.replace("\n", " ").split(" ")
+        if ("  " in text or "\n " in text or " \n" in text or not text.isascii() or not _simple(text)) and _AWKWARD.search(text):
+            return _PLAIN_SPACE.split(text), []
         first, *rest = text.split(" ")
-        return [first, *[f" {x}" for x in rest]]
-
-    def parts(self, piece: str) -> tuple[str, ...]:
-        """A piece as one or two that recur more often: between a letter and one last
-        punctuation mark both tokenizers always cut; one lower-cases, so ASCII case is moot."""
-        if piece[-1:] in _MARKS and piece[-2:-1].isalpha():
-            return (*self.parts(piece[:-1]), piece[-1])
-        return (piece.lower() if self.mode == "dropped" and piece.isascii() else piece,)
+        return [first], rest
+
+    def parts(self, word: str) -> tuple[str, ...]:
+        """A word as a stem that recurs more often and odd pieces after it. Both tokenizers
+        always cut between a letter and ASCII marks other than an apostrophe, keep a run of
+        marks together, and cut at a line feed between two characters that are no white space.
+        One lower-cases, so there ASCII case is moot."""
+        m = _PARTS.match(word)
+        if not m:
+            return (word,)
+        stem, *rest = m.groups()
+        if not self.lead and stem.isascii():
+            stem = stem.lower()
+        return (stem, *[x for x in rest if x])
+
+    def plain(self, pieces: list[str]) -> list[bytes]:
+        return [array.array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def learn(self, words: list[str]) -> None:
+        """Encode distinct words. Runs of letters go to the library as one text, since making
+        an encoding costs more than the merges; the ids are cut where the runs meet, and if
+        their number is not that of the runs, each is encoded by itself."""
+        space = " " if self.lead else ""
+        letters = [x for x in words if x.isalpha()]
+        if letters:
+            (e,) = self.tokenizer.encode_batch_fast([space + " ".join(letters)], add_special_tokens=False)
+            ids = np.array(e.ids, "<u4")
+            at = np.flatnonzero(self.edge[ids])
+            if len(at) == len(letters):
+                bounds = (4 * (np.append(at, len(ids)) if self.lead else np.append(0, at + 1))).tolist()
+                data = ids.tobytes()
+                self.known.update(zip(letters, [data[a:b] for a, b in zip(bounds, bounds[1:])]))
+                words = [x for x in words if not x.isalpha()]
+        self.known.update(zip(words, self.plain([space + x for x in words])))
+
+    def learn_odd(self, pieces: list[str]) -> None:
+        letters = [x for x in pieces if x.isalpha()] if self.lead else []
+        if letters:
+            (e,) = self.tokenizer.encode_batch_fast(["\n".join(letters)], add_special_tokens=False)
+            data = array.array("I", e.ids).tobytes()
+            runs = np.split(np.frombuffer(data, "<u4"), np.flatnonzero(np.frombuffer(data, "<u4") == self.feed))
+            if len(runs) == len(letters):
+                self.odd.update(zip(letters, [runs[0].tobytes(), *[x[1:].tobytes() for x in runs[1:]]]))
+                pieces = [x for x in pieces if not x.isalpha()]
+        self.odd.update(zip(pieces, self.plain(pieces)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [self.pieces(x) for x in texts]
-        missing = set().union(*cut) - self.cache.keys() if cut else set()
-        if len(self.cache) + 2 * len(missing) > CACHE_ENTRIES:
-            self.cache.clear()
-            missing = set().union(*cut)
-        parts = {x: self.parts(x) for x in missing}
-        new = list({y for x in parts.values() for y in x} - self.cache.keys())
-        for piece, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.cache[piece] = array.array("I", e.ids).tobytes()
-        for piece, x in parts.items():
-            self.cache[piece] = self.cache[x[0]] if len(x) == 1 else b"".join([self.cache[y] for y in x])
-        out = [b"".join(map(self.cache.__getitem__, x)) for x in cut]
-        for piece in [*new, *parts]:
-            if len(piece) > LONG_PIECE:
-                self.cache.pop(piece, None)
+        cuts = [self.cut(x) for x in texts]
+        if len(self.odd) > CACHE_ENTRIES // 4:
+            self.odd.clear()
+        if len(self.known) > CACHE_ENTRIES:
+            self.known.clear()
+        known, odd = self.known, self.odd
+        found = [list(map(known.get, x)) for _, x in cuts]
+        holes = [[i for i, v in enumerate(x) if v is None] if None in x else () for x in found]
+        missing = {words[i] for (_, words), at in zip(cuts, holes) for i in at}
+        parts = {x: self.parts(x) for x in missing if not (x.isalpha() and (self.lead or not x.isascii()))}
+        strange = {x for y, _ in cuts for x in y}.union(*[y[1:] for y in parts.values()])
+        self.learn_odd([x for x in strange if x not in odd])
+        self.learn([x for x in missing.difference(parts).union([y[0] for y in parts.values()]) if x not in known])
+        for word, (stem, *rest) in parts.items():
+            known[word] = known[stem] + b"".join([odd[x] for x in rest]) if rest else known[stem]
+        for (_, words), row, at in zip(cuts, found, holes):
+            for i in at:
+                row[i] = known[words[i]]
+        out = [b"".join(row) for row in found]
+        if self.lead:
+            out = [b"".join(map(odd.__getitem__, x)) + y for (x, _), y in zip(cuts, out)]
+        for cache, new in ((known, missing.union([y[0] for y in parts.values()])), (odd, strange)):
+            for x in new:
+                if len(x) > LONG_PIECE:
+                    cache.pop(x, None)
         return out
 
 
