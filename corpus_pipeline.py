@@ -1,10 +1,52 @@
-"""The corpus pipeline: five stages from raw documents to packed sequences."""
+"""The corpus pipeline: from raw documents to packed sequences.
+
+Each stage works on all that its predecessor kept and takes (spark, docs, sf_dir). Its result
+is written as Parquet and read again as the next stage's docs; all but the last return the
+columns of documents."""
 
 from __future__ import annotations
 
-STAGES = []
+import public_tokenizers
+
+from ledgerlake.llm import exact_dedup, mixing, near_dedup, packing, toxicity
+from ledgerlake.llm.common import documents, materialize
+
+
+def drop_toxic(spark, docs, sf_dir):
+    """Rejects documents that the classifier, trained on the labelled ones outside the held-out fold, scores 0.5 or more."""
+    return toxicity.keep_clean(docs, toxicity.fit(toxicity.training_sample(spark, docs, sf_dir)))
+
+
+def drop_exact_copies(spark, docs, sf_dir):
+    return exact_dedup.drop_copies(docs)
+
+
+def drop_near_copies(spark, docs, sf_dir):
+    return near_dedup.drop_near_copies(docs)
+
+
+def mix_sources(spark, docs, sf_dir):
+    return mixing.sample_documents(docs)
+
+
+def pack(spark, docs, sf_dir):
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), "leading", 0)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_exact_copies),
+    ("near_dedup", drop_near_copies),
+    ("mixing", mix_sources),
+    ("packing", pack),
+]
+
+#: Tokenizing, hashing and classifying are beyond SQL; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    raise NotImplementedError
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

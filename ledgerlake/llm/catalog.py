@@ -6,7 +6,7 @@ import importlib
 
 import corpus_pipeline
 
-MODULES = ("token_records", "packing")
+MODULES = ("token_records", "exact_dedup", "packing", "near_dedup", "mixing", "toxicity", "winnowing", "hmm_score", "language_id", "token_counts")
 
 
 def _modules():
