@@ -11,12 +11,17 @@ before keys are paired; documents without near copies then form no table key at
 
 1. Documents with equal sets form a class, by a 128-bit hash of the set; half of that hash names
    the class (rep). Copies never meet as pairs.
-2. Star round: in each table, members are compared with the table's smallest rep. A large group
-   of near copies links up in about one comparison per member.
-3. Block rounds: tables that still hold several components are cut into blocks of BLOCK
-   members by a hash; blocks at distance 0, then 1, then 2-3, 4-7, ... meet, and only members of
-   different components that were not compared before are. This goes on until all blocks have
-   met, so every candidate pair is settled, by a comparison or by being in one component.
+2. Star rounds: in each table, the members are compared with one of them, first the smallest
+   rep, then the first by a hash that changes with the round. A large group of near copies
+   links up in a few comparisons per member.
+3. For tables that still hold several components, each member's shingles that any other such
+   member has are counted. A link needs PERCENT of a set shared, and no two sets have more in
+   common than the lesser of their counts, so this rules out members and pairs exactly: a
+   heavily edited copy is not compared with the thousands that it resembles too little.
+4. Block rounds: those tables are cut into blocks of BLOCK members by a hash; blocks at distance
+   0, then 1, then 2-3, 4-7, ... meet, and of their members only those of different components
+   that can be linked and were not compared before. This goes on until all blocks have met, so
+   every candidate pair is settled: by a comparison, by a bound, or by being in one component.
 Comparisons are joins of narrow pairs with the sets of the documents that have candidates;
 links are contracted to components by repeated minimum-label hooking. All joins are
 equi-joins on hashed keys, and all intermediate tables are written to the shared folder."""
@@ -38,6 +43,8 @@ SHINGLE = 5
 PERCENT = 75
 COLLECTION, WIDTH = 16, 3
 BLOCK = 64
+#: Star rounds after the first.
+STARS = 3
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -119,10 +126,6 @@ def table_keys(reps: DataFrame) -> DataFrame:
     return out
 
 
-def _like_sizes(a: str, b: str):
-    return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
-
-
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that are linked."""
     left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
@@ -152,33 +155,80 @@ def contract(labels: DataFrame, links: DataFrame) -> DataFrame:
         discard(before, edges, hook)
 
 
+def open_rows(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of tables that hold several components, with comp and the table's member count.
+    Components only grow, so a table that is closed stays closed."""
+    current = rows.drop("comp", "members").join(labels, "rep")
+    mixed = current.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("members")).where("least <> most").select("key", "members")
+    return materialize(current.join(mixed, "key"), "open")
+
+
+def with_shared(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """rows with shared: how many of a member's shingles any other member of an open table has. A
+    link needs PERCENT of them shared, so rows with fewer go; what is left is counted again."""
+    for _ in range(2):
+        members = rows.select("rep").distinct()
+        each = sets.join(members, "rep").select("rep", F.explode("shingles").alias("shingle"))
+        common = each.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1").select("shingle")
+        shared = each.join(common, "shingle", "left_semi").groupBy("rep").agg(F.count("*").alias("shared"))
+        before, rows = rows, materialize(rows.drop("shared").join(shared, "rep").where(F.col("shared") * 100 >= F.col("n") * PERCENT), "open")
+        discard(before)
+    return rows
+
+
+def _possible(a: str, b: str):
+    """Whether sets of those sizes, which can have no more in common than the lesser shared count, can be linked."""
+    most = F.least(f"s{a}", f"s{b}")
+    return most * 100 >= (F.col(f"n{a}") + F.col(f"n{b}") - most) * PERCENT
+
+
+def _star(rows: DataFrame, priority) -> DataFrame:
+    """Pairs (a, b), a < b, of each table's first member by priority with its other components' members."""
+    first = rows.groupBy("key").agg(F.min_by(F.struct("rep", "n", "comp", "shared"), priority).alias("f")).select("key", F.col("f.rep").alias("r"), F.col("f.n").alias("na"), F.col("f.comp").alias("ca"), F.col("f.shared").alias("sa"))
+    met = rows.withColumnsRenamed({"n": "nb", "comp": "cb", "shared": "sb"}).join(first, "key")
+    return met.where((F.col("cb") != F.col("ca")) & _possible("a", "b")).select(F.least("r", "rep").alias("a"), F.greatest("r", "rep").alias("b")).distinct()
+
+
+def _blocks(rows: DataFrame, low: int, high: int) -> DataFrame:
+    """Pairs of members of different components whose blocks are low to high - 1 apart in a table."""
+    count = F.ceil(F.col("members") / BLOCK)
+    dealt = rows.withColumn("blocks", count).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    reach = F.explode(F.sequence(F.lit(low), F.lit(high - 1))).alias("d")
+    left = dealt.select("key", "blocks", F.col("rep").alias("l"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("shared").alias("sa"), "block", reach).where("d = 0 or 2 * d <= blocks")
+    left = left.withColumn("block", F.pmod(F.col("block") + F.col("d"), F.col("blocks"))).drop("blocks", "d")
+    right = dealt.select("key", "block", F.col("rep").alias("r"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("shared").alias("sb"))
+    met = left.join(right, ["key", "block"]).where((F.col("ca") != F.col("cb")) & _possible("a", "b"))
+    return met.select(F.least("l", "r").alias("a"), F.greatest("l", "r").alias("b")).distinct()
+
+
 def link_classes(tables: DataFrame, sets: DataFrame) -> DataFrame:
     """(rep, comp) for all members of the tables."""
     labels = materialize(tables.select("rep").distinct().withColumn("comp", F.col("rep")), "labels")
-    first = tables.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("f")).select("key", F.col("f.rep").alias("a"), F.col("f.n").alias("na"))
-    pairs = tables.join(first, "key").where((F.col("rep") != F.col("a")) & _like_sizes("n", "na")).select("a", F.col("rep").alias("b")).distinct()
-    done = materialize(pairs, "pairs")
-    links = materialize(verify(done, sets), "links")
-    labels = contract(labels, links)
+    rows = tables.withColumns({"comp": F.col("rep"), "shared": F.col("n")})
+    done = materialize(_star(rows, F.col("rep")), "pairs")
+    labels = contract(labels, materialize(verify(done, sets), "links"))
+    rows = open_rows(tables, labels)
+    if not rows.isEmpty():
+        rows = with_shared(rows, sets)
+    plans = [*((lambda x, i=i: _star(x, F.xxhash64("rep", F.lit(i)))) for i in range(STARS))]
     low, high = 0, 1
     while True:
-        current = tables.join(labels, "rep")
-        open_keys = current.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.max("members").alias("members")).where("least <> most").select("key", F.ceil(F.col("members") / BLOCK).alias("blocks"))
-        open_keys = open_keys.where((F.col("blocks") > 2 * low - 1) if low else F.lit(True))
-        rows = materialize(current.drop("members").join(open_keys, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))), "open")
-        if rows.isEmpty():
-            discard(rows)
+        before, rows = rows, open_rows(rows, labels)
+        discard(before)
+        widest = rows.agg(F.max("members")).first()[0]
+        if widest is None or (not plans and low and 2 * low > -(-widest // BLOCK)):
+            discard(rows, done)
             return labels
-        reach = F.explode(F.sequence(F.lit(low), F.lit(high - 1))).alias("d")
-        left = rows.select("key", "blocks", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), "block", reach).where("d = 0 or 2 * d <= blocks").withColumn("block", F.pmod(F.col("block") + F.col("d"), F.col("blocks"))).drop("blocks", "d")
-        right = rows.select("key", "block", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-        met = left.join(right, ["key", "block"]).where((F.col("ca") != F.col("cb")) & _like_sizes("na", "nb")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        if plans:
+            met = plans.pop(0)(rows)
+        else:
+            met = _blocks(rows, low, high)
+            low, high = high, 2 * high
         fresh = materialize(met.join(done, ["a", "b"], "left_anti"), "pairs")
         links = materialize(verify(fresh, sets), "links")
         labels = contract(labels, links)
-        before, done = done, materialize(done.unionByName(fresh), "done")
-        discard(rows, links, fresh, before)
-        low, high = high, 2 * high
+        old, done = done, materialize(done.unionByName(fresh), "done")
+        discard(links, fresh, old)
 
 
 #: Stands in for a null id inside the operator.
