@@ -39,13 +39,10 @@ def states(spark, sf_dir):
 
 @query(
     _BRONZE
-    + """, new as (select * from (select b.*, row_number() over (partition by account_id, date, cents, description, occurrence_number order by version desc, source_file) as r
-    from bronze b where not exists (select 1 from silver s where s.source_file = b.source_file and s.version = b.version)) where r = 1),
-fresh as (select distinct source_file from bronze b where not exists (select 1 from silver s where s.source_file = b.source_file and s.version = b.version)),
-kept as (select * from silver where source_file not in (select source_file from fresh) and source_file in (select source_file from bronze))
-select account_id, date, cents, description, cast(occurrence_number as bigint) as occurrence_number, source_file, cast(version as bigint) as version from kept k
-where not exists (select 1 from new n where n.account_id = k.account_id and n.date = k.date and n.cents = k.cents and n.description = k.description and n.occurrence_number = k.occurrence_number)
-union all select account_id, date, cents, description, occurrence_number, source_file, version from new"""
+    + """, new as (select * from bronze b where not exists (select 1 from silver s where s.source_file = b.source_file and s.version = b.version)),
+kept as (select * from silver where source_file not in (select source_file from new) and source_file in (select source_file from bronze)),
+ranked as (select *, row_number() over (partition by account_id, date, cents, description, occurrence_number order by version desc, source_file) as r from (select * from kept union all select * from new))
+select account_id, date, cents, description, cast(occurrence_number as bigint) as occurrence_number, source_file, cast(version as bigint) as version from ranked where r = 1"""
 )
 def incremental_merge(spark, sf_dir):
     out = T.merge_movements(*states(spark, sf_dir), _KEY, version="version")

@@ -100,14 +100,14 @@ def merge_movements(silver: DataFrame, bronze: DataFrame, keys: list[str], file:
     """The next state of an incrementally kept table.
 
     New are the bronze rows of files that silver does not have in that version. Silver rows of
-    such files, and of files that bronze no longer has, go first; then new rows take the place
-    of rows with their business key. Of new rows with one key the newest version stays."""
+    such files, and of files that bronze no longer has, go first. Of rows that share a business
+    key the newest version stays, then the first file, so a second run changes nothing."""
     new = bronze.join(silver.select(file, version).distinct(), [file, version], "left_anti")
     changed, present = new.select(file).distinct(), bronze.select(file).distinct()
     kept = silver.join(changed, file, "left_anti").join(present, file, "left_semi")
     order = Window.partitionBy(*keys).orderBy(F.desc(version), file)
-    new = new.withColumn("__r", F.row_number().over(order)).where(F.col("__r") == 1).drop("__r")
-    return kept.join(new.select(*keys), keys, "left_anti").select(*silver.columns).unionByName(new.select(*silver.columns))
+    every = kept.select(*silver.columns).unionByName(new.select(*silver.columns))
+    return every.withColumn("__r", F.row_number().over(order)).where(F.col("__r") == 1).drop("__r")
 
 
 def new_files(seen: DataFrame, inbox: DataFrame, sha: str = "file_sha256") -> DataFrame:
