@@ -9,16 +9,16 @@ log-likelihoods is computed from the matrix once per worker and gathered for the
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import chunks, documents, fold, map_arrow, materialize, table_batch
+from ledgerlake.llm.common import chunks, documents, fold, map_arrow, materialize, mix, table_batch
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3, 4)
@@ -29,37 +29,35 @@ MAX_LANGUAGES = 400
 #: text are far from independent, and the plain posterior would be 0 or 1.
 TEMPER = 20.0
 CACHE_WORDS = 200_000
-LONG_WORD = 64
 UNDETERMINED = "und"
 
 COUNTS = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("n", pa.int64())])
 PREDICTED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
 
-class _Blank(dict):
-    """For str.translate: what is no letter becomes a space."""
-
-    def __missing__(self, c: int):
-        value = self[c] = c if chr(c).isalpha() else " "
-        return value
-
-
-_blank = _Blank()
+_LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def tokens(text: str) -> list[str]:
     """Words of a text in lower case; what is no letter only separates them."""
-    return text.lower().translate(_blank).split()
+    return [w for w in _LETTERS.findall(text.lower()) if w.isalpha()]
 
 
-def buckets(word: str) -> list[int]:
-    """The hash buckets of a word's n-grams. A long word is cut, whole, into marked parts."""
-    out = []
-    for at in range(0, len(word), LONG_WORD):
-        marked = f"\x02{word[at : at + LONG_WORD]}\x03"
-        for n in ORDERS:
-            out += [xxhash.xxh3_64_intdigest(marked[i : i + n]) % BUCKETS for i in range(len(marked) - n + 1)]
-    return out
+_P = np.uint64(0x9E3779B97F4A7C15)
+
+
+def ngrams(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(place of the word, hash bucket) of all n-grams of the words, one order at a time. Words
+    stand in one array of code points, each between two marks; an n-gram lies inside one word."""
+    points = np.frombuffer("".join([f"\x02{w}\x03" for w in words]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    place = np.cumsum(points == 2) - 1
+    h = np.zeros(len(points), np.uint64)
+    for n in range(1, max(ORDERS) + 1):
+        size = len(points) - n + 1
+        h = h[:size] * _P + points[n - 1 :] + np.uint64(n)
+        if n in ORDERS:
+            inside = place[:size] == place[n - 1 :]
+            yield place[:size][inside], (mix(h[inside]) % np.uint64(BUCKETS)).astype(np.int64)
 
 
 def count_ngrams(df: DataFrame) -> DataFrame:
@@ -71,9 +69,9 @@ def count_ngrams(df: DataFrame) -> DataFrame:
         def gather() -> None:
             for lang, counted in words.items():
                 vector = grams.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                for word, n in counted.items():
-                    for b in buckets(word):
-                        vector[b] += n
+                many = np.fromiter(counted.values(), np.int64, len(counted))
+                for place, bucket in ngrams(list(counted)):
+                    vector += np.bincount(bucket, many[place], BUCKETS).astype(np.int64)
             words.clear()
 
         for batch in chunks(batches):
@@ -130,16 +128,16 @@ class Scorer:
             self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
         new = list(new)
         if new:
-            grams = [buckets(w) for w in new]
-            starts = np.cumsum([0, *map(len, grams)])[:-1]
-            flat = np.fromiter((b for g in grams for b in g), np.int64)
             at = len(self.place)
-            self.rows[at : at + len(new)] = np.add.reduceat(self.model.log_p[flat], starts, axis=0)
+            rows = np.zeros((len(new), len(self.model.languages)))
+            for place, bucket in ngrams(new):
+                for k in range(rows.shape[1]):
+                    rows[:, k] += np.bincount(place, self.model.log_p[bucket, k], len(new))
+            self.rows[at : at + len(new)] = rows
             self.place.update(zip(new, range(at, at + len(new))))
         return [self.place[w] for w in words]
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = tokens(text or "")
+    def predict(self, words: list[str]) -> tuple[str, float]:
         if not words or not self.model.languages:
             return UNDETERMINED, 0.0
         evidence = self.rows_of(words).sum(0, dtype=np.float64)
@@ -163,8 +161,10 @@ def identify(df: DataFrame, model: Model, held_out=None, id_col: str = "doc_id",
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in chunks(batches, 1024):
-            found = [scorer.predict(x) for x in batch.column(2).to_pylist()]
+        for batch in chunks(batches):
+            texts = [tokens(x or "") for x in batch.column(2).to_pylist()]
+            scorer.places(list(set().union(*texts)))
+            found = [scorer.predict(x) for x in texts]
             if found:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x[0] for x in found]), pa.array([x[1] for x in found], pa.float64())], schema=PREDICTED)
 
