@@ -79,7 +79,8 @@ def find_copies(hashes: DataFrame) -> DataFrame:
     marked = hashes.withColumn("maybe", maybe_repeated(words, bits))
     alone = marked.where("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     some = marked.where("maybe").drop("maybe")
-    groups = some.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    # written, so that the join shuffles both sides itself and can split a hot group's rows
+    groups = materialize(some.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
     settled = some.join(groups, "text_sha256").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
     return alone.unionByName(settled)
 

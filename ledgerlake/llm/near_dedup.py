@@ -146,11 +146,11 @@ def contract(labels: DataFrame, links: DataFrame) -> DataFrame:
         edges = materialize(links.join(la, "a").join(lb, "b").where("ca <> cb").select(F.greatest("ca", "cb").alias("hi"), F.least("ca", "cb").alias("lo")).distinct(), "edges")
         if edges.isEmpty():
             return labels
-        hook = edges.groupBy("hi").agg(F.min("lo").alias("to"))
+        hook = materialize(edges.groupBy("hi").agg(F.min("lo").alias("to")), "hook")
         for _ in range(2):
-            onward = hook.select(F.col("hi").alias("to"), F.col("to").alias("further"))
-            hook = hook.join(onward, "to", "left").select("hi", F.coalesce("further", "to").alias("to"))
-        hook = materialize(hook, "hook")
+            onward, short = hook.select(F.col("hi").alias("to"), F.col("to").alias("further")), hook
+            hook = materialize(hook.join(onward, "to", "left").select("hi", F.coalesce("further", "to").alias("to")), "hook")
+            discard(short)
         before, labels = labels, materialize(labels.join(hook.withColumnRenamed("hi", "comp"), "comp", "left").select("rep", F.coalesce("to", "comp").alias("comp")), "labels")
         discard(before, edges, hook)
 
