@@ -15,7 +15,6 @@ whose last piece is longest counts."""
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,7 +26,7 @@ from ledgerlake.llm.common import chunks, documents, map_arrow, table_batch
 MARK = "▁"
 PENALTY = 10.0
 #: Nodes of a worker's trie, and distinct pre-tokens kept; at either bound both start anew.
-MAX_NODES, MAX_WORDS = 400_000, 300_000
+MAX_NODES, MAX_WORDS = 1_500_000, 500_000
 #: A pre-token longer than this is scored by itself and leaves no nodes behind.
 LONG_WORD = 48
 
@@ -58,54 +57,61 @@ class Vocabulary:
 
 
 class Trie:
-    """A node is [children, best score of the prefix, tokens of that segmentation]."""
+    """Nodes are numbers; child has a node's child by a character, best and tokens the score and
+    the length of the best segmentation of a node's prefix. Node 0 is the empty prefix."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         self.reset()
 
     def reset(self) -> None:
-        self.root, self.nodes, self.terminal = [{}, 0.0, 0], 1, {}
-
-    def step(self, text: str, path: list[list]) -> list:
-        """The node after path, which holds the nodes of all shorter prefixes of text."""
-        end, v = len(path), self.vocabulary
-        last = path[-1]
-        c = text[end - 1]
-        width = len(c.encode("utf-8", "surrogatepass"))
-        best, tokens = last[1] + v.floor * width, last[2] + width
-        at, k = v.tree, end - 1
-        while k >= 0 and (at := at.get(text[k])) is not None:
-            score = at.get(None)
-            if score is not None:
-                before = path[k]
-                if (total := before[1] + score) >= best:
-                    best, tokens = total, before[2] + 1
-            k -= 1
-        return [{}, best, tokens]
+        self.child: dict[int, int] = {}
+        self.best, self.tokens = [0.0], [0]
+        #: by pre-token: the terminal count and score
+        self.count_of: dict[str, int] = {}
+        self.score_of: dict[str, float] = {}
+
+    def insert(self, word: str) -> None:
+        """Walk a pre-token down the trie, scoring the prefixes that no other one had."""
+        child, best, tokens, tree, floor = self.child, self.best, self.tokens, self.vocabulary.tree, self.vocabulary.floor
+        text, path, node, size = MARK + word, [0], 0, len(best)
+        for end, c in enumerate(text):
+            key = node << 21 | ord(c)
+            found = child.get(key)
+            if found is None:
+                width = 1 if c < "\x80" else len(c.encode("utf-8", "surrogatepass"))
+                top, n, k, at = best[node] + floor * width, tokens[node] + width, end, tree
+                while k >= 0 and (at := at.get(text[k])) is not None:
+                    score = at.get(None)
+                    if score is not None:
+                        before = path[k]
+                        total = best[before] + score
+                        if total >= top:
+                            top, n = total, tokens[before] + 1
+                    k -= 1
+                found = child[key] = len(best)
+                best.append(top)
+                tokens.append(n)
+            path.append(found)
+            node = found
+        self.count_of[word], self.score_of[word] = tokens[node], best[node]
+        if len(word) > LONG_WORD:  # take the nodes of a long pre-token away again
+            for end, c in enumerate(text):
+                if path[end + 1] >= size:
+                    del child[path[end] << 21 | ord(c)]
+            del best[size:], tokens[size:]
+
+    def learn(self, words: set[str]) -> None:
+        """Give all these pre-tokens a terminal; those of earlier calls may go."""
+        if len(self.best) >= MAX_NODES or len(self.count_of) >= MAX_WORDS:
+            self.reset()
+        for word in sorted([w for w in words if w not in self.count_of]):
+            self.insert(word)
 
     def count(self, word: str) -> tuple[int, float]:
         """Tokens and score of a pre-token."""
-        found = self.terminal.get(word)
-        if found is None:
-            keep = len(word) <= LONG_WORD
-            if self.nodes >= MAX_NODES or len(self.terminal) >= MAX_WORDS:
-                self.reset()
-            text, node = MARK + word, self.root
-            path = [node]
-            for c in text:
-                child = node[0].get(c)
-                if child is None:
-                    child = self.step(text, path)
-                    if keep:
-                        node[0][c] = child
-                        self.nodes += 1
-                path.append(child)
-                node = child
-            found = node[2], node[1]
-            if keep:
-                self.terminal[word] = found
-        return found
+        self.learn({word})
+        return self.count_of[word], self.score_of[word]
 
 
 _tries: dict[str, Trie] = {}
@@ -126,18 +132,13 @@ def count_tokens(df: DataFrame, model: str, id_col: str = "doc_id", text_col: st
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared = trie(model)
-        for batch in chunks(batches, 1024):
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                text = text or ""
-                counted = Counter(text.split())
-                tokens, total = 0, 0.0
-                for word, n in counted.items():
-                    k, s = shared.count(word)
-                    tokens, total = tokens + k * n, total + s * n
-                rows.append((doc_id, tokens, counted.total(), len(text), total))
-            if rows:
-                yield table_batch(COUNTS, **dict(zip(COUNTS.names, zip(*rows))))
+        for batch in chunks(batches):
+            texts = [x or "" for x in batch.column(1).to_pylist()]
+            cut = [x.split() for x in texts]
+            shared.learn(set().union(*cut))
+            tokens = [sum(map(shared.count_of.__getitem__, x)) for x in cut]
+            scores = [math.fsum(map(shared.score_of.__getitem__, x)) for x in cut]
+            yield table_batch(COUNTS, doc_id=batch.column(0), n_tokens=tokens, n_pretokens=list(map(len, cut)), n_chars=list(map(len, texts)), score=scores)
 
     return map_arrow(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), score, "doc_id long, n_tokens long, n_pretokens long, n_chars long, score double")
 
