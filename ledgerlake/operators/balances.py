@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlake.functions.scalars import month_index
 from ledgerlake.operators.calendar import months_from
+from ledgerlake.sources.scratch import staged
 
 
 def month_end_balances(statements: DataFrame) -> DataFrame:
@@ -116,7 +117,7 @@ def capital(holdings: DataFrame) -> DataFrame:
     of = lambda bucket: F.coalesce(F.sum(F.when(F.col("bucket") == bucket, F.col("value"))), F.lit(0))
     months = filled.groupBy("user_id", "currency", "month_start").agg(of("savings").alias("savings"), of("investments").alias("investments"), of("debt").alias("debt"))
     total = months.withColumn("total_capital", F.col("savings") + F.col("investments")).withColumn("net_position", F.col("total_capital") - F.col("debt"))
-    return recency(total)
+    return recency(staged(total))
 
 
 def latest_as_of(df: DataFrame, keys: list[str], month: Column, value: str, as_of: Column) -> DataFrame:

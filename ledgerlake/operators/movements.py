@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlake.functions.scalars import UNCATEGORIZED
+from ledgerlake.sources.scratch import staged
 
 
 def flow_type(kind: Column, amount: Column) -> Column:
@@ -60,7 +61,7 @@ def mutual_matches(candidates: DataFrame) -> DataFrame:
 
 def transfer_matches(df: DataFrame, window_days: int = 3) -> DataFrame:
     """Every movement with matched_id, day_diff, is_transfer_candidate and is_internal_transfer."""
-    candidates = transfer_candidates(df, window_days)
+    candidates = staged(transfer_candidates(df, window_days))
     matches = mutual_matches(candidates).select("id", F.col("partner").alias("matched_id"), "day_diff")
     some = candidates.select("id").distinct().withColumn("is_transfer_candidate", F.lit(True))
     joined = df.join(matches, "id", "left").join(some, "id", "left")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ledgerlake.operators import forecast as P
 from ledgerlake.plans.registry import query
 from ledgerlake.sources import crosswalk as X
+from ledgerlake.sources.scratch import staged
 
 KEYS = ["user_id", "category"]
 
@@ -80,9 +81,9 @@ def series(spark, sf_dir):
 
 
 def fitted(spark, sf_dir):
-    s = series(spark, sf_dir)
-    r = P.rolling(s, KEYS)
-    c = P.select_models(s, r, KEYS)
+    s = staged(series(spark, sf_dir))
+    r = staged(P.rolling(s, KEYS))
+    c = staged(P.select_models(s, r, KEYS))
     return s, r, c, P.error_offsets(s, r, c, KEYS, ["user_id"])
 
 

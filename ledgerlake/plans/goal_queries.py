@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ledgerlake.operators import goal as G
 from ledgerlake.plans.registry import query
 from ledgerlake.sources import crosswalk as X
+from ledgerlake.sources.scratch import staged
 
 #: A plan per region; income and spending are its monthly order totals in hundreds of cents.
 _BASE = (
@@ -78,7 +79,7 @@ def built(spark, sf_dir):
     need = G.essential(p, fixed, spend).select("user_id", F.lit("essential").alias("bucket"), "currency", "amount")
     row = lambda bucket, currency, amount: p.select("user_id", F.lit(bucket).alias("bucket"), F.lit(currency).alias("currency"), amount.alias("amount"))
     balances = need.unionByName(row("emergency", "USD", 1000.0 * (F.col("user_id") + 1))).unionByName(row("other_liquid", "PEN", F.lit(9000.0))).unionByName(row("risk", "USD", F.lit(5000.0)))
-    return p, balances, flows, mid
+    return p, balances, staged(flows), mid
 
 
 @query(_BASE + " select user_id, scenario, cast(month_index as bigint) as month_index, month, currency, round(income, 2) as income, round(fixed, 2) as fixed, round(variable, 2) as variable from flows")
