@@ -14,13 +14,15 @@ before keys are paired; documents without near copies then form no table key at
 2. Star rounds: in each table, the members are compared with one of them, first the smallest
    rep, then the first by a hash that changes with the round. A large group of near copies
    links up in a few comparisons per member.
-3. For tables that still hold several components, each member's shingles that any other such
-   member has are counted. A link needs PERCENT of a set shared, and no two sets have more in
-   common than the lesser of their counts, so this rules out members and pairs exactly: a
-   heavily edited copy is not compared with the thousands that it resembles too little.
+3. For tables that still hold several components, each member's shingles that other such
+   members have are counted. A link needs PERCENT of a set shared, and no two sets have more in
+   common than the lesser of their counts of frequent shingles and the rare ones that both have.
+   This rules out members and pairs exactly: a heavily edited copy is not compared with the
+   thousands that it resembles too little.
 4. Block rounds: those tables are cut into blocks of BLOCK members by a hash; blocks at distance
    0, then 1, then 2-3, 4-7, ... meet, and of their members only those of different components
-   that can be linked and were not compared before. This goes on until all blocks have met, so
+   that can be linked and were not compared before, each pair in the first table that it shares.
+   This goes on until all blocks have met, so
    every candidate pair is settled: by a comparison, by a bound, or by being in one component.
 Comparisons are joins of narrow pairs with the sets of the documents that have candidates;
 links are contracted to components by repeated minimum-label hooking. All joins are
@@ -43,6 +45,8 @@ SHINGLE = 5
 PERCENT = 75
 COLLECTION, WIDTH = 16, 3
 BLOCK = 64
+#: Shingles that so many open members have at most are compared one by one, if a member has so many at most.
+RARE, MOST_RARE = 16, 256
 #: Star rounds after the first.
 STARS = 3
 
@@ -113,15 +117,18 @@ def full_sets(df: DataFrame) -> DataFrame:
 
 
 def table_keys(reps: DataFrame) -> DataFrame:
-    """(key, rep, n, members) of all tables with at least two members, from (rep, n, keys)."""
+    """(key, place, rep, n, members) of all tables with at least two members, from (rep, n, keys);
+    place is COLLECTION * i + j for the i-th partial key of one collection and the j-th of the other."""
     partial = reps.select("rep", "n", F.posexplode("keys").alias("at", "part"))
     shared = partial.groupBy("part").agg(F.count("*").alias("c")).where("c > 1").select("part")
     live = partial.join(shared, "part", "left_semi")
-    side = lambda first: F.collect_list(F.when(F.col("at") < COLLECTION if first else F.col("at") >= COLLECTION, F.col("part")))
+    side = lambda first: F.collect_list(F.when(F.col("at") < COLLECTION if first else F.col("at") >= COLLECTION, F.struct("at", "part")))
     sides = live.groupBy("rep", "n").agg(side(True).alias("u"), side(False).alias("v")).where("size(u) > 0 and size(v) > 0")
-    keyed = materialize(sides.select("rep", "n", "v", F.explode("u").alias("p")).select("rep", "n", F.explode(F.transform("v", lambda x: F.xxhash64("p", x))).alias("key")), "keys")
+    each = sides.select("rep", "n", "v", F.explode("u").alias("p")).select("rep", "n", "p", F.explode("v").alias("q"))
+    place = (F.col("p.at") * COLLECTION + F.col("q.at") - COLLECTION).cast("short")
+    keyed = materialize(each.select("rep", "n", F.xxhash64("p.part", "q.part").alias("key"), place.alias("place")), "keys")
     full = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    out = materialize(keyed.join(full, "key").select("key", "rep", "n", "members"), "tables")
+    out = materialize(keyed.join(full, "key").select("key", "place", "rep", "n", "members"), "tables")
     discard(keyed)
     return out
 
@@ -163,30 +170,55 @@ def open_rows(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return materialize(current.join(mixed, "key"), "open")
 
 
-def with_shared(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """rows with shared: how many of a member's shingles any other member of an open table has. A
-    link needs PERCENT of them shared, so rows with fewer go; what is left is counted again."""
-    for _ in range(2):
-        members = rows.select("rep").distinct()
-        each = sets.join(members, "rep").select("rep", F.explode("shingles").alias("shingle"))
-        common = each.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1").select("shingle")
-        shared = each.join(common, "shingle", "left_semi").groupBy("rep").agg(F.count("*").alias("shared"))
-        before, rows = rows, materialize(rows.drop("shared").join(shared, "rep").where(F.col("shared") * 100 >= F.col("n") * PERCENT), "open")
+def with_bounds(rows: DataFrame, sets: DataFrame, reps: DataFrame) -> DataFrame:
+    """rows with what bounds an intersection: shared, the number of a member's shingles that any
+    other member of an open table has; for members of wide tables also common, the number of those
+    that more than RARE members have, and rare, the others. Two sets have at most the lesser common
+    and the rare ones that both have in common. sig: the member's partial keys in short.
+
+    A link needs PERCENT of a set shared, so rows with fewer go; what is left is counted again."""
+    for last in (False, True):
+        members = rows.groupBy("rep").agg((F.max("members") > BLOCK).alias("wide"))
+        each = sets.join(members, "rep").select("rep", "wide", F.explode("shingles").alias("shingle"))
+        counts = each.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1")
+        counted = each.join(counts, "shingle")
+        if last:
+            few = F.col("c") <= RARE
+            found = counted.groupBy("rep").agg(F.count("*").alias("shared"), F.count_if(~few).alias("common"), F.first("wide").alias("wide"), F.collect_list(F.when(F.col("wide") & few, F.col("shingle"))).alias("rare"))
+            found = found.withColumn("rare", F.when(F.col("wide") & (F.size("rare") <= MOST_RARE), F.col("rare"))).drop("wide")
+            found = found.join(reps.select("rep", F.transform("keys", lambda k: F.shiftright(k, 32).cast("int")).alias("sig")), "rep")
+        else:
+            found = counted.groupBy("rep").agg(F.count("*").alias("shared"))
+        before, rows = rows, materialize(rows.join(found, "rep").where(F.col("shared") * 100 >= F.col("n") * PERCENT), "open")
         discard(before)
+        if not last:
+            rows = rows.drop("shared")
     return rows
 
 
-def _possible(a: str, b: str):
-    """Whether sets of those sizes, which can have no more in common than the lesser shared count, can be linked."""
+def _possible(a: str, b: str, refined: bool = True):
+    """Whether two sets of known sizes can be linked, by the most that they can have in common."""
     most = F.least(f"s{a}", f"s{b}")
+    if refined:
+        both = F.least(f"m{a}", f"m{b}") + F.size(F.array_intersect(f"r{a}", f"r{b}"))
+        most = F.when(F.col(f"r{a}").isNotNull() & F.col(f"r{b}").isNotNull(), F.least(most, both)).otherwise(most)
     return most * 100 >= (F.col(f"n{a}") + F.col(f"n{b}") - most) * PERCENT
 
 
+def _first_common(a: str, b: str, place: str):
+    """Whether a table is the first, in both collections, of those that two members share."""
+    def first(start: int):
+        half = lambda c: F.slice(c, start + 1, COLLECTION)
+        return F.array_position(F.zip_with(half(a), half(b), lambda x, y: x == y), True) - 1
+
+    return (first(0) == F.floor(F.col(place) / COLLECTION)) & (first(COLLECTION) == F.col(place) % COLLECTION)
+
+
 def _star(rows: DataFrame, priority) -> DataFrame:
     """Pairs (a, b), a < b, of each table's first member by priority with its other components' members."""
     first = rows.groupBy("key").agg(F.min_by(F.struct("rep", "n", "comp", "shared"), priority).alias("f")).select("key", F.col("f.rep").alias("r"), F.col("f.n").alias("na"), F.col("f.comp").alias("ca"), F.col("f.shared").alias("sa"))
     met = rows.withColumnsRenamed({"n": "nb", "comp": "cb", "shared": "sb"}).join(first, "key")
-    return met.where((F.col("cb") != F.col("ca")) & _possible("a", "b")).select(F.least("r", "rep").alias("a"), F.greatest("r", "rep").alias("b")).distinct()
+    return met.where((F.col("cb") != F.col("ca")) & _possible("a", "b", False)).select(F.least("r", "rep").alias("a"), F.greatest("r", "rep").alias("b")).distinct()
 
 
 def _blocks(rows: DataFrame, low: int, high: int) -> DataFrame:
@@ -194,14 +226,15 @@ def _blocks(rows: DataFrame, low: int, high: int) -> DataFrame:
     count = F.ceil(F.col("members") / BLOCK)
     dealt = rows.withColumn("blocks", count).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     reach = F.explode(F.sequence(F.lit(low), F.lit(high - 1))).alias("d")
-    left = dealt.select("key", "blocks", F.col("rep").alias("l"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("shared").alias("sa"), "block", reach).where("d = 0 or 2 * d <= blocks")
+    named = lambda x: [F.col(c).alias(f"{n}{x}") for c, n in (("n", "n"), ("comp", "c"), ("shared", "s"), ("common", "m"), ("rare", "r"), ("sig", "g"))]
+    left = dealt.select("key", "place", "blocks", F.col("rep").alias("l"), *named("a"), "block", reach).where("d = 0 or 2 * d <= blocks")
     left = left.withColumn("block", F.pmod(F.col("block") + F.col("d"), F.col("blocks"))).drop("blocks", "d")
-    right = dealt.select("key", "block", F.col("rep").alias("r"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("shared").alias("sb"))
-    met = left.join(right, ["key", "block"]).where((F.col("ca") != F.col("cb")) & _possible("a", "b"))
+    right = dealt.select("key", "block", F.col("rep").alias("r"), *named("b"))
+    met = left.join(right, ["key", "block"]).where((F.col("ca") != F.col("cb")) & _possible("a", "b") & _first_common("ga", "gb", "place"))
     return met.select(F.least("l", "r").alias("a"), F.greatest("l", "r").alias("b")).distinct()
 
 
-def link_classes(tables: DataFrame, sets: DataFrame) -> DataFrame:
+def link_classes(tables: DataFrame, sets: DataFrame, reps: DataFrame) -> DataFrame:
     """(rep, comp) for all members of the tables."""
     labels = materialize(tables.select("rep").distinct().withColumn("comp", F.col("rep")), "labels")
     rows = tables.withColumns({"comp": F.col("rep"), "shared": F.col("n")})
@@ -209,7 +242,7 @@ def link_classes(tables: DataFrame, sets: DataFrame) -> DataFrame:
     labels = contract(labels, materialize(verify(done, sets), "links"))
     rows = open_rows(tables, labels)
     if not rows.isEmpty():
-        rows = with_shared(rows, sets)
+        rows = with_bounds(rows, sets, reps)
     plans = [*((lambda x, i=i: _star(x, F.xxhash64("rep", F.lit(i)))) for i in range(STARS))]
     low, high = 0, 1
     while True:
@@ -248,13 +281,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = materialize(full.groupBy("set_hash").agg(F.min("doc_id").alias("first"), F.max("id").alias("some_id")).withColumn("rep", rep), "classes")
     one = classes.select("set_hash", "rep", F.col("some_id").alias("id"))
     chosen = full.join(one, ["set_hash", "id"]).dropDuplicates(["rep"]).select("rep", F.col("n_shingles").alias("n"), "keys")
+    chosen = materialize(chosen, "classes")
     tables = table_keys(chosen)
     wanted = one.join(tables.select("rep").distinct(), "rep")
     texts = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.col(text_col).alias("text"))
     sets = materialize(full_sets(texts.join(wanted, "id").select("rep", "set_hash", "text")), "sets")
     if not sets.groupBy("rep").count().where("count > 1").isEmpty():
         sets = materialize(sets.dropDuplicates(["rep"]), "sets")
-    labels = link_classes(tables, sets)
+    labels = link_classes(tables, sets, chosen)
     placed = materialize(classes.join(labels, "rep", "left").select("set_hash", "first", F.coalesce("comp", "rep").alias("comp")), "placed")
     smallest = placed.groupBy("comp").agg(F.min("first").alias("component_id"))
     of_class = placed.join(smallest, "comp").select("set_hash", "component_id")
