@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -63,7 +66,31 @@ def fold(doc_id: str, n: int):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % n
 
 
-def chunks(batches: Iterator[pa.RecordBatch], size: int = CHUNK) -> Iterator[pa.RecordBatch]:
+#: What a Python worker keeps from task to task, by the operator that made it.
+_kept: dict[str, dict] = {}
+
+
+def kept(owner: str, key, make: Callable):
+    """make() once per worker and key, for as long as the worker serves this operator."""
+    own = _kept.setdefault(owner, {})
+    if key not in own:
+        own[key] = make()
+    return own[key]
+
+
+def release(owner: str | None) -> None:
+    """Drop what other operators keep in this worker, and give the memory back: a pipeline runs
+    several operators in the same workers."""
+    if others := [k for k in _kept if k != owner]:
+        for k in others:
+            del _kept[k]
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+
+def chunks(batches: Iterator[pa.RecordBatch], size: int = CHUNK, owner: str | None = None) -> Iterator[pa.RecordBatch]:
+    release(owner)
     for batch in batches:
         for at in range(0, batch.num_rows, size):
             yield batch.slice(at, size)

@@ -14,7 +14,9 @@ from itertools import chain
 
 import numpy as np
 
-CACHE_ENTRIES = 1_500_000
+from ledgerlake.llm.common import kept
+
+CACHE_ENTRIES = 1_000_000
 #: Pieces above this length are encoded but not kept.
 LONG_PIECE = 64
 
@@ -136,11 +138,9 @@ class Encoder:
         return out
 
 
-_encoders: dict[tuple[str, str], Encoder] = {}
+OWNER = "encode"
 
 
 def encoder(path: str, mode: str) -> Encoder:
-    """One per worker, so that its cache serves all tasks of the worker."""
-    if (path, mode) not in _encoders:
-        _encoders[path, mode] = Encoder(path, mode)
-    return _encoders[path, mode]
+    """One per worker, so that its cache serves all tasks of the operator."""
+    return kept(OWNER, (path, mode), lambda: Encoder(path, mode))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlake.llm.common import chunks, documents, map_arrow, table_batch
-from ledgerlake.llm.encode import encoder
+from ledgerlake.llm.encode import OWNER, encoder
 
 CAPACITY = 1024
 #: Remainders in the pool at which packing starts, and those it leaves for later windows.
@@ -132,7 +132,7 @@ def pack_documents(df: DataFrame, tokenizer: str, mode: str, end_id: int, capaci
             rows.clear()
             return out
 
-        for batch in chunks(batches):
+        for batch in chunks(batches, owner=OWNER):
             texts = [x or "" for x in batch.column(1).to_pylist()]
             for doc_id, ids in zip(batch.column(0).to_pylist(), encode(texts)):
                 for pieces in packer.add(doc_id, ids + end):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import chunks, documents, map_arrow, table_batch
+from ledgerlake.llm.common import chunks, documents, kept, map_arrow, table_batch
 
 MARK = "▁"
 PENALTY = 10.0
@@ -114,14 +114,12 @@ class Trie:
         return self.count_of[word], self.score_of[word]
 
 
-_tries: dict[str, Trie] = {}
+OWNER = "trie"
 
 
 def trie(path: str) -> Trie:
-    """One per worker; what it has scored serves all tasks of the worker."""
-    if path not in _tries:
-        _tries[path] = Trie(Vocabulary.from_file(path))
-    return _tries[path]
+    """One per worker; what it has scored serves all tasks of the operator."""
+    return kept(OWNER, path, lambda: Trie(Vocabulary.from_file(path)))
 
 
 def count_tokens(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -132,7 +130,7 @@ def count_tokens(df: DataFrame, model: str, id_col: str = "doc_id", text_col: st
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared = trie(model)
-        for batch in chunks(batches):
+        for batch in chunks(batches, owner=OWNER):
             texts = [x or "" for x in batch.column(1).to_pylist()]
             cut = [x.split() for x in texts]
             shared.learn(set().union(*cut))

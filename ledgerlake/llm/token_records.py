@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlake.llm.common import chunks, documents, map_arrow, materialize, scratch_path, table_batch
-from ledgerlake.llm.encode import encoder
+from ledgerlake.llm.encode import OWNER, encoder
 
 MASK_DELTA = 0xA282EAD8
 INDEX = "<QQq"
@@ -120,7 +120,7 @@ def write_token_records(df: DataFrame, folder: str, tokenizer: str, mode: str, e
             rows.append((f"{folder}/{out.name}.rec", ordinal, task, out.n, out.tokens))
             out, ordinal = None, ordinal + 1
 
-        for batch in chunks(batches):
+        for batch in chunks(batches, owner=OWNER):
             texts = [x or "" for x in batch.column(1).to_pylist()]
             for doc_id, ids in zip(batch.column(0).to_pylist(), encode(texts)):
                 out = out or _File(fs, root, f"part-{task:06d}-{ordinal:04d}")
