@@ -309,4 +309,21 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+#: From the definition: all pairs that share a shingle, then the closure of the links.
+ORACLE = r"""
+with recursive w as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), s as (
+    select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+        else list_transform(range(1, cast(len(w) - 3 as bigint)), lambda i: array_to_string(w[i:i + 4], ' ')) end) as shingle from w
+), n as (select doc_id, count(*) as n from s group by 1),
+pairs as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.shingle = b.shingle and a.doc_id < b.doc_id group by 1, 2),
+links as (select a, b from pairs join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 75 * (x.n + y.n - c)),
+both_ways as (select a, b from links union all select b, a from links),
+reach(doc_id, other) as (select doc_id, doc_id from documents union select doc_id, b from reach join both_ways on other = a)
+select d.doc_id, coalesce(max(n.n), 0) as n_shingles, min(other) as component_id, d.doc_id = min(other) as kept
+from documents d join reach r on r.doc_id = d.doc_id left join n on n.doc_id = d.doc_id group by d.doc_id
+"""
+
 QUERIES = {"op4_near_dedup": op4_near_dedup}
+ORACLES = {"op4_near_dedup": ORACLE}
