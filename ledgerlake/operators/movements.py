@@ -29,39 +29,49 @@ def with_occurrence_number(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.withColumn("occurrence_number", F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(1))).cast("long"))
 
 
-def transfer_candidates(df: DataFrame, window_days: int = 3) -> DataFrame:
-    """Pairs (id, partner, day_diff, same_currency) of movements of one user on two accounts, at
-    most window_days apart, with opposite amounts on accounts of one kind, or both going out and
-    equal on accounts of two kinds.
+def transfer_candidates(df: DataFrame, window_days: int = 3, tolerance: int = 0) -> DataFrame:
+    """Pairs (id, partner, amount_diff, day_diff, same_currency, user_id) of movements of one user on
+    two accounts, at most window_days apart, with opposite amounts on accounts of one kind, or both
+    going out and equal on accounts of two kinds; amounts may be off by the tolerance in cents.
 
     Needs id, user_id, account_id, account_kind, date, cents, currency. Both arms are equi-joins
-    on user, amount and a day bucket as wide as the window; the probe side looks at three
-    buckets. A null account_kind is never a candidate."""
+    on user, an amount bucket and a day bucket, each as wide as what it allows; the probe side
+    looks at the neighbouring buckets too. A null account_kind is never a candidate."""
     base = df.where("account_kind is not null").select("id", "user_id", "account_id", "account_kind", "date", "cents", "currency")
-    bucket = F.floor(F.datediff("date", F.lit("1970-01-01").cast("date")) / (window_days + 1))
-    right = base.select(*(F.col(c).alias(f"p_{c}") for c in base.columns), bucket.alias("bucket"))
-    left = base.withColumn("bucket", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
-    near = (F.col("account_id") != F.col("p_account_id")) & (F.abs(F.datediff("date", "p_date")) <= window_days) & (F.col("id") != F.col("p_id"))
-    opposite = left.withColumn("wanted", -F.col("cents"))
-    same = opposite.join(right, (F.col("user_id") == F.col("p_user_id")) & (F.col("account_kind") == F.col("p_account_kind")) & (F.col("wanted") == F.col("p_cents")) & (opposite.bucket == right.bucket) & near)
-    out = left.where("cents < 0").withColumn("wanted", F.col("cents"))
-    cross = out.join(right, (F.col("user_id") == F.col("p_user_id")) & (F.col("wanted") == F.col("p_cents")) & (out.bucket == right.bucket) & near & (F.col("account_kind") != F.col("p_account_kind")))
-    columns = ["id", F.col("p_id").alias("partner"), F.abs(F.datediff("date", "p_date")).cast("long").alias("day_diff"), (F.col("currency") == F.col("p_currency")).alias("same_currency"), "user_id"]
-    return same.select(*columns).unionByName(cross.select(*columns))
+    day = F.floor(F.datediff("date", F.lit("1970-01-01").cast("date")) / (window_days + 1))
+    level = lambda cents: F.floor(cents / (tolerance + 1)) if tolerance else cents
+    around = lambda x: F.explode(F.array(x - 1, x, x + 1))
+    right = base.select(*(F.col(c).alias(f"p_{c}") for c in base.columns), day.alias("p_day"), level(F.col("cents")).alias("p_level"))
+    left = base.withColumn("day", around(day))
+
+    def met(rows: DataFrame, wanted: Column, kinds: Column) -> DataFrame:
+        rows = rows.withColumn("wanted", wanted)
+        rows = rows.withColumn("level", around(level(F.col("wanted"))) if tolerance else F.col("wanted"))
+        equal = (F.col("user_id") == F.col("p_user_id")) & (F.col("level") == F.col("p_level")) & (F.col("day") == F.col("p_day"))
+        off = F.abs(F.col("wanted") - F.col("p_cents"))
+        apart = F.abs(F.datediff("date", "p_date"))
+        other = (F.col("account_id") != F.col("p_account_id")) & (F.col("id") != F.col("p_id"))
+        return rows.join(right, equal & kinds & other & (apart <= window_days) & (off <= tolerance)).select(
+            "id", F.col("p_id").alias("partner"), off.alias("amount_diff"), apart.cast("long").alias("day_diff"), (F.col("currency") == F.col("p_currency")).alias("same_currency"), "user_id"
+        )
+
+    alike = F.col("account_kind") == F.col("p_account_kind")
+    out = ~alike & (F.col("p_cents") < 0)
+    return met(left, -F.col("cents"), alike).unionByName(met(left.where("cents < 0"), F.col("cents"), out))
 
 
 def mutual_matches(candidates: DataFrame) -> DataFrame:
-    """(id, partner, day_diff, user_id) of pairs in which each is the other's nearest candidate of
-    its currency (by days, then by id), once from each side."""
-    nearest = Window.partitionBy("id").orderBy("day_diff", "partner")
+    """(id, partner, amount_diff, day_diff, user_id) of pairs in which each is the other's nearest
+    candidate of its currency (by amount, then days, then id), once from each side."""
+    nearest = Window.partitionBy("id").orderBy("amount_diff", "day_diff", "partner")
     best = candidates.where("same_currency").withColumn("rank", F.row_number().over(nearest)).where("rank = 1").drop("rank", "same_currency")
     back = best.select(F.col("id").alias("partner"), F.col("partner").alias("id"))
     return best.join(back, ["id", "partner"])
 
 
-def transfer_matches(df: DataFrame, window_days: int = 3) -> DataFrame:
+def transfer_matches(df: DataFrame, window_days: int = 3, tolerance: int = 0) -> DataFrame:
     """Every movement with matched_id, day_diff, is_transfer_candidate and is_internal_transfer."""
-    candidates = staged(transfer_candidates(df, window_days))
+    candidates = staged(transfer_candidates(df, window_days, tolerance))
     matches = mutual_matches(candidates).select("id", F.col("partner").alias("matched_id"), "day_diff")
     some = candidates.select("id").distinct().withColumn("is_transfer_candidate", F.lit(True))
     joined = df.join(matches, "id", "left").join(some, "id", "left")

@@ -5,18 +5,21 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """The table written to the shared folder and read back, so that what builds on it twice does
-    not compute it twice and a lost executor does not cost it. The folder is spark.checkpoint.dir;
-    only where the session has none, as in tests, a local one is made."""
-    spark = df.sparkSession
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path below spark.checkpoint.dir; only where the session has none, as in tests, a local one is made."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         root = f"file://{tempfile.mkdtemp(prefix='staged-')}"
         spark.sparkContext.setCheckpointDir(root)
-    path = f"{root.rstrip('/')}/staged-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """The table written to the shared folder and read back, so that what builds on it twice does
+    not compute it twice and a lost executor does not cost it."""
+    path = folder(df.sparkSession, "staged")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

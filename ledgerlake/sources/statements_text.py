@@ -31,7 +31,7 @@ def group_lines(words: DataFrame, document: list[str], tolerance: float = LINE_T
 def assign_columns(words: DataFrame, headers: DataFrame, document: list[str], slack: float = COLUMN_SLACK) -> DataFrame:
     """Each word's column: the last header (document..., column, header_x) that starts at most slack
     to the right of the word; null left of all headers."""
-    joined = words.join(F.broadcast(headers), [*document], "left")
+    joined = words.join(headers, [*document], "left")
     fits = F.col("x0") >= F.col("header_x") - slack
     return joined.groupBy(*words.columns).agg(F.max_by(F.when(fits, F.col("column")), F.when(fits, F.col("header_x"))).alias("column"))
 
