@@ -147,12 +147,12 @@ def contract(labels: DataFrame, links: DataFrame) -> DataFrame:
 
     Each step hooks every component to its smallest neighbour and relabels what is left of the
     links, so a star of any size takes one step and the rest shrinks like a forest."""
-    while True:
+    while not links.isEmpty():
         la = labels.select(F.col("rep").alias("a"), F.col("comp").alias("ca"))
         lb = labels.select(F.col("rep").alias("b"), F.col("comp").alias("cb"))
         edges = materialize(links.join(la, "a").join(lb, "b").where("ca <> cb").select(F.greatest("ca", "cb").alias("hi"), F.least("ca", "cb").alias("lo")).distinct(), "edges")
         if edges.isEmpty():
-            return labels
+            break
         hook = materialize(edges.groupBy("hi").agg(F.min("lo").alias("to")), "hook")
         for _ in range(2):
             onward, short = hook.select(F.col("hi").alias("to"), F.col("to").alias("further")), hook
@@ -160,6 +160,7 @@ def contract(labels: DataFrame, links: DataFrame) -> DataFrame:
             discard(short)
         before, labels = labels, materialize(labels.join(hook.withColumnRenamed("hi", "comp"), "comp", "left").select("rep", F.coalesce("to", "comp").alias("comp")), "labels")
         discard(before, edges, hook)
+    return labels
 
 
 def open_rows(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -244,10 +245,11 @@ def link_classes(tables: DataFrame, sets: DataFrame, reps: DataFrame) -> DataFra
     if not rows.isEmpty():
         rows = with_bounds(rows, sets, reps)
     plans = [*((lambda x, i=i: _star(x, F.xxhash64("rep", F.lit(i)))) for i in range(STARS))]
-    low, high = 0, 1
+    low, high, merged = 0, 1, True
     while True:
-        before, rows = rows, open_rows(rows, labels)
-        discard(before)
+        if merged:
+            before, rows = rows, open_rows(rows, labels)
+            discard(before)
         widest = rows.agg(F.max("members")).first()[0]
         if widest is None or (not plans and low and 2 * low > -(-widest // BLOCK)):
             discard(rows, done)
@@ -258,7 +260,12 @@ def link_classes(tables: DataFrame, sets: DataFrame, reps: DataFrame) -> DataFra
             met = _blocks(rows, low, high)
             low, high = high, 2 * high
         fresh = materialize(met.join(done, ["a", "b"], "left_anti"), "pairs")
+        if fresh.isEmpty():
+            discard(fresh)
+            merged = False
+            continue
         links = materialize(verify(fresh, sets), "links")
+        merged = not links.isEmpty()
         labels = contract(labels, links)
         old, done = done, materialize(done.unionByName(fresh), "done")
         discard(links, fresh, old)
