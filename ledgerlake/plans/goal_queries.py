@@ -14,7 +14,7 @@ _BASE = (
     "with"
     + X.MONTHLY_SPEND
     + """, plan as (
-    select cast(r_regionkey as bigint) as user_id, cast(2000000 + 700000 * r_regionkey as double) as goal_amount, 3.5 + 0.125 * r_regionkey as usd_to_pen, cast(3 + r_regionkey as double) as emergency_months,
+    select cast(r_regionkey as bigint) as user_id, cast(2000000 + 700000 * r_regionkey as double) as goal_amount, cast(3.5 + 0.125 * r_regionkey as double) as usd_to_pen, cast(3 + r_regionkey as double) as emergency_months,
         case when r_regionkey = 2 then 'fixed_only' else 'all' end as emergency_basis, case when r_regionkey <> 4 then cast(date '2003-07-01' + to_months(cast(r_regionkey * 6 as integer)) as date) end as target_date, date '2001-07-01' as run_month
     from region
 ), spend as (select user_id, case when category like '%1-URGENT' then 'USD' else 'PEN' end as currency, month, cast(sum(cents) as double) / 10000 as amount from monthly_spend where category not like 'MACHINERY%' group by 1, 2, 3),

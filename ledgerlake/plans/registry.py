@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 _QUERIES: dict[str, Callable] = {}
 _ORACLES: dict[str, str] = {}
-_MODULES = ("scalar_queries", "movement_queries", "balance_queries", "report_queries", "forecast_queries", "goal_queries", "quality_queries", "maintenance_queries", "planning_queries", "lake_queries")
+_MODULES = ("scalar_queries", "movement_queries", "balance_queries", "report_queries", "forecast_queries", "goal_queries", "quality_queries", "maintenance_queries", "planning_queries", "lake_queries", "window_queries")
 
 
 def query(sql: str | None = None, name: str | None = None):
