@@ -12,6 +12,10 @@ from ledgerlake.llm import exact_dedup, mixing, near_dedup, packing, toxicity
 from ledgerlake.llm.common import documents, materialize
 
 
+#: Fewer words than the packing query keeps, as the workers also serve the other stages.
+CACHE_ENTRIES = 250_000
+
+
 def drop_toxic(spark, docs, sf_dir):
     """Rejects documents that the classifier, trained on the labelled ones outside the held-out fold, scores 0.5 or more."""
     return toxicity.keep_clean(docs, toxicity.fit(toxicity.training_sample(spark, docs, sf_dir)))
@@ -30,7 +34,7 @@ def mix_sources(spark, docs, sf_dir):
 
 
 def pack(spark, docs, sf_dir):
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), "leading", 0)
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), "leading", 0, cache_entries=CACHE_ENTRIES)
 
 
 STAGES = [

@@ -16,6 +16,7 @@ import numpy as np
 
 from ledgerlake.llm.common import kept
 
+#: Words kept in a worker, about 200 bytes each.
 CACHE_ENTRIES = 1_000_000
 #: Pieces above this length are encoded but not kept.
 LONG_PIECE = 64
@@ -38,7 +39,8 @@ class Encoder:
     mode 'leading': byte-level pieces start with their space; a cut is before a single
     space between two other characters that are no white space."""
 
-    def __init__(self, path: str, mode: str):
+    def __init__(self, path: str, mode: str, entries: int = CACHE_ENTRIES):
+        self.entries = entries
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -111,9 +113,9 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         cuts = [self.cut(x) for x in texts]
-        if len(self.odd) > CACHE_ENTRIES // 4:
+        if len(self.odd) > self.entries // 4:
             self.odd.clear()
-        if len(self.known) > CACHE_ENTRIES:
+        if len(self.known) > self.entries:
             self.known.clear()
         known, odd = self.known, self.odd
         found = [list(map(known.get, x)) for _, x in cuts]
@@ -141,6 +143,6 @@ class Encoder:
 OWNER = "encode"
 
 
-def encoder(path: str, mode: str) -> Encoder:
+def encoder(path: str, mode: str, entries: int = CACHE_ENTRIES) -> Encoder:
     """One per worker, so that its cache serves all tasks of the operator."""
-    return kept(OWNER, (path, mode), lambda: Encoder(path, mode))
+    return kept(OWNER, (path, mode, entries), lambda: Encoder(path, mode, entries))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlake.llm.common import chunks, documents, map_arrow, table_batch
-from ledgerlake.llm.encode import OWNER, encoder
+from ledgerlake.llm.encode import CACHE_ENTRIES, OWNER, encoder
 
 CAPACITY = 1024
 #: Remainders in the pool at which packing starts, and those it leaves for later windows.
@@ -102,7 +102,7 @@ class Packer:
             yield self.sequence()
 
 
-def pack_documents(df: DataFrame, tokenizer: str, mode: str, end_id: int, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pack_documents(df: DataFrame, tokenizer: str, mode: str, end_id: int, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, cache_entries: int = CACHE_ENTRIES) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset,
     padded_length, and with_ids also ids (binary, little-endian unsigned 32-bit).
 
@@ -116,7 +116,7 @@ def pack_documents(df: DataFrame, tokenizer: str, mode: str, end_id: int, capaci
         from pyspark import TaskContext
 
         sequence, packer, rows = TaskContext.get().partitionId() << SEQUENCE_BITS, Packer(capacity), []
-        encode = encoder(tokenizer, mode).encode
+        encode = encoder(tokenizer, mode, cache_entries).encode
 
         def emit(pieces: list[tuple]) -> None:
             nonlocal sequence
