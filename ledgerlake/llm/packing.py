@@ -24,6 +24,8 @@ from ledgerlake.llm.encode import CACHE_ENTRIES, OWNER, encoder
 CAPACITY = 1024
 #: Remainders in the pool at which packing starts, and those it leaves for later windows.
 POOL_HIGH, POOL_LOW = 4096, 2048
+#: Words that the query's workers keep; nothing else runs in them.
+QUERY_CACHE = 1_500_000
 #: Sequence ids of one partition lie below 2**SEQUENCE_BITS.
 SEQUENCE_BITS = 36
 
@@ -151,7 +153,7 @@ def pack_documents(df: DataFrame, tokenizer: str, mode: str, end_id: int, capaci
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), "leading", 0)
+    return pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), "leading", 0, cache_entries=QUERY_CACHE)
 
 
 QUERIES = {"op3_packing": op3_packing}
