@@ -59,7 +59,7 @@ def repeated_filter(hashes: DataFrame, bits: int, digest: str = "text_sha256") -
 def maybe_repeated(words: DataFrame, bits: int, digest: str = "text_sha256") -> Column:
     filled, out = words.scalar(), F.lit(True)
     for at in _positions(F.col(digest), bits):
-        word = filled.getItem(F.shiftright(at, 6).cast("int"))
+        word = F.get(filled, F.shiftright(at, 6).cast("int"))
         out = out & (F.getbit(word, at.bitwiseAND(F.lit(63)).cast("int")) == 1)
     return out
 
