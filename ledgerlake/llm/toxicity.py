@@ -4,7 +4,9 @@ Features of a text are its distinct words, pairs of neighbours and pairs with on
 out between them, hashed into DIMENSIONS. Training sees a bounded, stratified sample of the
 labelled rows (MAX_PER_LABEL of each label, chosen by a hash of the id; below that bound all
 of them); the sample's features are made by all tasks and one task walks over them in several passes with
-per-coordinate rates; the rarer label weighs more, by the square root of the ratio. L1 leaves few weights other than zero, and those alone are
+per-coordinate rates; the rarer label weighs more, by the square root of the ratio. Where the bound
+has changed the ratio of the labels, the bias is moved back by what that has shifted the log-odds, so
+score and threshold mean the same at every size. L1 leaves few weights other than zero, and those alone are
 broadcast, as sorted arrays. Scoring reads every whole text."""
 
 from __future__ import annotations
@@ -80,26 +82,37 @@ class Model:
 
 
 def stratified(labelled: DataFrame, per_label: int, id_col: str = "doc_id", label_col: str = "toxic") -> DataFrame:
-    """About per_label rows of each label at most, by a hash of the id; all rows if there are fewer."""
+    """About per_label rows of each label at most, by a hash of the id; all rows if there are fewer.
+    share is the part of the row's label that was taken."""
     sizes = {r[0]: r[1] for r in labelled.groupBy(label_col).count().collect() if r[0] is not None}
     share = F.lit(0.0)
     for label, n in sorted(sizes.items()):
         share = F.when(F.col(label_col) == label, min(1.0, per_label / n)).otherwise(share)
-    return labelled.where(F.pmod(F.xxhash64(id_col, F.lit("sample")), F.lit(1 << 30)) < share * (1 << 30))
+    return labelled.withColumn("share", share).where(F.pmod(F.xxhash64(id_col, F.lit("sample")), F.lit(1 << 30)) < F.col("share") * (1 << 30))
+
+
+def prior_shift(shares: dict[int, float]) -> float:
+    """What the bias owes to sampling. Taking shares s1, s0 of the labels raises the log-odds by
+    log(s1 / s0), and the rarer label's weight, the root of the sample's ratio, takes half of it back."""
+    return 0.5 * float(np.log(shares[0] / shares[1])) if shares.keys() == {0, 1} else 0.0
 
 
 def fit(sample: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id") -> Model:
-    """From a bounded sample of rows with id, text and a 0/1 label. Rows without a label are
-    left out; without any labelled row the model is empty and scores 0.5."""
+    """From a bounded sample of rows with id, text and a 0/1 label, and the share of their label
+    that was sampled if there is such a column. Rows without a label are left out; without any
+    labelled row the model is empty and scores 0.5."""
 
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in chunks(batches):
             made = [np.unique(raw_features(hashes.of(words(x)))).astype("<u4").tobytes() for x in utf8(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary()), batch.column(2)], names=["turn", "features", "label"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary()), batch.column(2), batch.column(3)], names=["turn", "features", "label", "share"])
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(np.frombuffer(f, "<u4"), y) for b in batches for f, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+        rows, shares = [], {}
+        for b in batches:
+            rows += [(np.frombuffer(f, "<u4"), y) for f, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            shares |= zip(b.column(2).to_pylist(), b.column(3).to_pylist())
         texts = np.zeros(DIMENSIONS, np.int32)
         for features, _ in rows:
             texts[features] += 1
@@ -112,10 +125,12 @@ def fit(sample: DataFrame, text_col: str = "text", label_col: str = "toxic", id_
             for i in order.permutation(len(rows)):
                 model.learn(*rows[i], heavy if rows[i][1] == rare else 1.0)
         at, w, bias = model.sparse()
+        bias += prior_shift(shares)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at.astype(np.int64), -1)), pa.array(np.append(w, bias))], names=["at", "weight"])
 
-    chosen = sample.where(F.col(label_col).isNotNull()).select(F.xxhash64(F.col(id_col), F.lit("turn")).alias("turn"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label"))
-    features = materialize(map_arrow(chosen, featurize, "turn long, features binary, label int"), "features")
+    share = F.col("share") if "share" in sample.columns else F.lit(1.0)
+    chosen = sample.where(F.col(label_col).isNotNull()).select(F.xxhash64(F.col(id_col), F.lit("turn")).alias("turn"), F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label"), share.alias("share"))
+    features = materialize(map_arrow(chosen, featurize, "turn long, features binary, label int, share double"), "features")
     one = features.repartition(1).sortWithinPartitions("turn", "label", "features")
     found = map_arrow(one, train, "at long, weight double").toArrow()
     at, w = found.column("at").to_numpy(), found.column("weight").to_numpy()

@@ -283,6 +283,17 @@ def test_toxicity_without_labels_scores_a_half(spark, docs):
     assert rows(toxicity.score_toxicity(docs([]), model)) == []
 
 
+def test_toxicity_score_keeps_its_meaning_in_a_capped_sample(spark, docs):
+    # nothing in the texts tells the labels apart, so the score is the prior: one in nine, weighed by the root of 8
+    labelled = docs([(i, "one and the same") for i in range(900)]).withColumn("toxic", (documents_column("doc_id") % 9 == 0).cast("int"))
+    score = lambda sample: rows(toxicity.score_toxicity(docs([(1, "one and the same")]), toxicity.fit(sample)))[0]
+    whole, capped = score(labelled), toxicity.stratified(labelled, 100)
+    counts = {r.toxic: r["count"] for r in rows(capped.groupBy("toxic").count())}
+    assert counts[1] == 100 and 60 < counts[0] < 150
+    assert score(capped).score == pytest.approx(whole.score, abs=0.06) and score(capped).predicted == whole.predicted == 0
+    assert toxicity.stratified(labelled, 900).where("share < 1").count() == 0
+
+
 # --- 7 winnowing
 
 
