@@ -27,16 +27,25 @@ def scaffold_range_join(spark, sf_dir):
 
 
 @query(_BALANCES + """, span as (select account_id, min(month_start) as a, date '2001-07-01' as b from balances group by 1),
-every as (select account_id, cast(unnest(generate_series(cast(a as timestamp), cast(b as timestamp), interval 1 month)) as date) as month_start from span where account_id % 10 = 0)
+every as (select account_id, cast(unnest(generate_series(cast(a as timestamp), cast(b as timestamp), interval 1 month)) as date) as month_start from span)
 select e.account_id, e.month_start, last_value(b.closing ignore nulls) over (partition by e.account_id order by e.month_start) as closing from every e left join balances b on b.account_id = e.account_id and b.month_start = e.month_start""")
-def locf_last_value(spark, sf_dir):
-    b = B.month_end_balances(X.statements(spark, sf_dir)).where("account_id % 10 = 0")
+def locf_all_accounts(spark, sf_dir):
+    """Each account's last known balance in every month from its first on."""
+    b = B.month_end_balances(X.statements(spark, sf_dir))
     span = b.groupBy("account_id").agg(F.min("month_start").alias("a"))
     every = span.select("account_id", F.explode(months_from(F.col("a"), F.lit("2001-07-01").cast("date"))).alias("month_start"))
     w = Window.partitionBy("account_id").orderBy("month_start").rowsBetween(Window.unboundedPreceding, 0)
     return every.join(b.select("account_id", "month_start", "closing"), ["account_id", "month_start"], "left").withColumn("closing", F.last("closing", ignorenulls=True).over(w))
 
 
+@query(_BALANCES + """, span as (select account_id, min(month_start) as a, date '2001-07-01' as b from balances group by 1),
+every as (select account_id, cast(unnest(generate_series(cast(a as timestamp), cast(b as timestamp), interval 1 month)) as date) as month_start from span where account_id % 10 = 0)
+select e.account_id, e.month_start, last_value(b.closing ignore nulls) over (partition by e.account_id order by e.month_start) as closing from every e left join balances b on b.account_id = e.account_id and b.month_start = e.month_start""")
+def locf_last_value(spark, sf_dir):
+    """The slice of locf_all_accounts that this oracle covers."""
+    return locf_all_accounts(spark, sf_dir).where("account_id % 10 = 0")
+
+
 @query(_BALANCES + " select account_id, month_start, dense_rank() over (order by month_start desc) as month_recency from balances")
 def global_dense_rank(spark, sf_dir):
     return B.recency(B.month_end_balances(X.statements(spark, sf_dir)).select("account_id", "month_start"))

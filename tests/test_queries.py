@@ -37,6 +37,11 @@ def test_scan_is_pruned_and_filtered(spark):
     assert "o_totalprice" not in plan
 
 
+def test_locf_carries_every_account(spark, con):
+    n = con.execute(ORACLES["account_balance_monthly"].replace("select * from balances", "select count(distinct account_id) from balances")).fetchone()[0]
+    assert QUERIES["locf_all_accounts"](spark, SF).select("account_id").distinct().count() == n > 0
+
+
 def test_evaluate_builds_each_model_once_and_rejects_cycles(spark):
     built = []
     models = {
