@@ -73,6 +73,16 @@ def first_and_last_statement(spark, sf_dir):
     return s.agg(F.min_by("opening", "month_start").alias("opening"), F.max_by("closing", "month_start").alias("closing"), F.min("month_start").alias("first_month"), F.max("month_start").alias("last_month"))
 
 
+@query("with" + X.LEDGER + """, m as (select account_id, cents, order_id from ledger), s as (select account_id, max(date) as closing_date from ledger group by 1)
+select m.order_id, s.closing_date, count(l.order_id) as n_before, cast(coalesce(sum(l.cents), 0) as bigint) as cents_before from m join s using (account_id) left join ledger l on l.account_id = m.account_id and l.date < s.closing_date and l.order_id < m.order_id group by 1, 2""")
+def inequality_all_orders(spark, sf_dir):
+    """inequality_after_equi for every order, by one running window instead of the join."""
+    account = Window.partitionBy("account_id")
+    led = X.ledger(spark, sf_dir).select("account_id", "order_id", "date", "cents").withColumn("closing_date", F.max("date").over(account))
+    w, before = account.orderBy("order_id").rangeBetween(Window.unboundedPreceding, -1), F.col("date") < F.col("closing_date")
+    return led.select("order_id", "closing_date", F.count(F.when(before, 1)).over(w).alias("n_before"), F.coalesce(F.sum(F.when(before, F.col("cents"))).over(w), F.lit(0)).alias("cents_before"))
+
+
 @query("with" + X.LEDGER + """, m as (select account_id, cents, order_id from ledger where order_id % 20 = 0), s as (select account_id, max(date) as closing_date from ledger group by 1)
 select m.order_id, s.closing_date, count(l.order_id) as n_before, cast(coalesce(sum(l.cents), 0) as bigint) as cents_before from m join s using (account_id) left join ledger l on l.account_id = m.account_id and l.date < s.closing_date and l.order_id < m.order_id group by 1, 2""")
 def inequality_after_equi(spark, sf_dir):

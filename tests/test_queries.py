@@ -42,6 +42,11 @@ def test_locf_carries_every_account(spark, con):
     assert QUERIES["locf_all_accounts"](spark, SF).select("account_id").distinct().count() == n > 0
 
 
+def test_inequality_meets_every_order(spark, con):
+    n = con.execute("select count(*) from orders").fetchone()[0]
+    assert QUERIES["inequality_all_orders"](spark, SF).select("order_id").distinct().count() == n > 0
+
+
 def test_evaluate_builds_each_model_once_and_rejects_cycles(spark):
     built = []
     models = {
