@@ -262,6 +262,24 @@ def percentile_linear(spark, sf_dir):
     return s.agg(F.round(F.percentile(c, F.lit(0.25)), 3).alias("p25"), F.round(F.percentile(c, F.lit(0.75)), 3).alias("p75"), F.round(F.avg("cents"), 3).alias("mean"))
 
 
+@query(
+    "with"
+    + X.MONTHLY_SPEND
+    + """, rows as (select user_id, category, month, cents, cast(year(month) * 12 + month(month) as bigint) as i from monthly_spend),
+first as (select min(i) as f from rows),
+pairs as (select a.user_id, a.category, a.month, a.i, b.cents as total from rows a left join rows b on a.user_id = b.user_id and a.category = b.category and b.i >= a.i - 12 and b.i < a.i),
+mids as (select user_id, category, month, i, count(total) as n, median(cast(total as double)) as mid from pairs group by 1, 2, 3, 4),
+mads as (select p.user_id, p.category, p.month, median(abs(total - mid)) as mad from pairs p join mids m on p.user_id = m.user_id and p.category = m.category and p.month = m.month group by 1, 2, 3)
+select m.user_id, m.category, m.month, n as months_seen, round(case when least(12, i - f) > 0 then n / cast(least(12, i - f) as double) end, 6) as rate, round(mad / nullif(mid, 0), 6) as amount_spread
+from mids m join mads d on m.user_id = d.user_id and m.category = d.category and m.month = d.month, first"""
+)
+def recurrence_all_series(spark, sf_dir):
+    """recurrence_features over every series of monthly_spend, counted from its first month."""
+    s = X.monthly_spend(spark, sf_dir).select(F.concat_ws("/", "user_id", "category", "month").alias("id"), "user_id", "category", "month", F.col("cents").alias("amount"))
+    r = R.point_in_time_recurrence(s, ["user_id", "category"])
+    return r.select("user_id", "category", "month", "months_seen", F.round("rate", 6).alias("rate"), F.round("amount_spread", 6).alias("amount_spread"))
+
+
 @query(
     "with"
     + X.MONTHLY_SPEND

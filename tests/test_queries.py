@@ -3,6 +3,7 @@
 import pytest
 
 from ledgerlake.plans import registry
+from ledgerlake.sources import crosswalk
 from tests.oracle import SF, connect, same
 
 QUERIES, ORACLES = registry.queries(), registry.oracle_sql()
@@ -47,6 +48,11 @@ def test_inequality_meets_every_order(spark, con):
     assert QUERIES["inequality_all_orders"](spark, SF).select("order_id").distinct().count() == n > 0
 
 
+def test_recurrence_has_every_series(spark, con):
+    n = con.execute("with" + crosswalk.MONTHLY_SPEND + " select count(*) from (select distinct user_id, category from monthly_spend)").fetchone()[0]
+    assert QUERIES["recurrence_all_series"](spark, SF).select("user_id", "category").distinct().count() == n > 0
+
+
 def test_evaluate_builds_each_model_once_and_rejects_cycles(spark):
     built = []
     models = {
