@@ -1,7 +1,10 @@
 """Mixing sources to target weights by iterative proportional fitting (raking).
 
 Token weights are summed by cell (source, language, topic); the cells' weights are scaled in
-turn until their source, language and topic marginals agree with the targets. A document of a
+turn until their source, language and topic marginals agree with the targets. A cell cannot give
+more than it has, so what is kept of the cells is raked once more with that bound: a full cell
+stays full and the others make up for it. Where a target cannot be met with KEEP of all tokens,
+less is kept, so that the marginals of the sample still agree. A document of a
 cell then stays with the probability that gives the cell its calibrated weight, drawn by a
 hash of its id and text, so a repeated task draws alike.
 
@@ -22,9 +25,13 @@ DIMENSIONS = ("source", "lang", "topic")
 TOPICS = 8
 MAX_CELLS = 20_000
 STEPS, TOLERANCE = 50, 1e-9
+#: With the bound: marginals agree to a ten-thousandth of each; if STEPS do not get there, keep shrinks so.
+BOUND_TOLERANCE, SHRINK = 1e-4, 0.95
+#: A cell this near to full is full, so that rounding does not decide it.
+FULL = 1 - 1e-8
 #: Targets are the marginal shares to this power, rescaled: below 1 it lifts the rare ones.
 FLATTEN = {"source": 0.7, "lang": 0.7, "topic": 0.9}
-#: Tokens to keep, as a share of all tokens; no probability exceeds 1.
+#: Tokens to keep, as a share of all tokens, where the targets allow it; no probability exceeds 1.
 KEEP = 0.8
 SEED = 20240601
 
@@ -70,6 +77,30 @@ def rake_local(weights: np.ndarray, codes: list[np.ndarray], targets: list[np.nd
     return w
 
 
+def rake_bounded(available: np.ndarray, fitted: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray], keep: float) -> np.ndarray:
+    """The share of each cell to keep. All are shares of one total; no cell gives more than it has,
+    and the marginals agree with the targets times keep, or times the most that they allow."""
+    marginals = [(np.bincount(code, available, len(t)), t) for code, t in zip(codes, targets)]
+    keep = min(keep, *(float((has[t > 0] / t[t > 0]).min(initial=1.0)) for has, t in marginals))
+    while True:
+        u = fitted * keep
+        for _ in range(STEPS):
+            worst = 0.0
+            for code, target in zip(codes, targets):
+                goal, n = target * keep, len(target)
+                now = np.bincount(code, np.minimum(u, available), n)
+                free = np.bincount(code, np.where(u < FULL * available, u, 0.0), n)
+                off = np.divide(now, goal, out=np.ones(n), where=goal > 0) - 1
+                worst = max(worst, float(np.abs(off).max(initial=0)))
+                # Newton's step for the free cells; where it has no hold, in proportion, downward only
+                step = 1 + np.divide(goal - now, free, out=np.zeros(n), where=free > 0)
+                less = np.minimum(1.0, np.divide(goal, now, out=np.ones(n), where=now > 0))
+                u = u * np.where((free > 0) & (step > 0.5), np.minimum(step, 1e3), less)[code]
+            if worst < BOUND_TOLERANCE:
+                return np.minimum(u, available)
+        keep *= SHRINK
+
+
 def _targets(shares: np.ndarray, power: float) -> np.ndarray:
     lifted = np.where(shares > 0, shares, 0.0) ** power * (shares > 0)
     return lifted / lifted.sum() if lifted.sum() else lifted
@@ -84,8 +115,9 @@ def _probabilities_local(cells: DataFrame, keep: float) -> DataFrame:
         codes.append(code)
         targets.append(_targets(np.bincount(code, weights) / total if total else np.zeros(code.max() + 1), FLATTEN[d]) if rows else np.zeros(0))
     fitted = rake_local(weights, codes, targets) if total else weights
-    wanted = fitted * total * keep
-    p = np.minimum(1.0, np.divide(wanted, weights, out=np.ones(len(rows)), where=weights > 0))
+    has = weights / total if total else weights
+    kept = rake_bounded(has, fitted, codes, targets, keep) if total else weights
+    p = np.minimum(1.0, np.divide(kept, has, out=np.ones(len(rows)), where=has > 0))
     out = [(*(r[d] for d in DIMENSIONS), float(f), float(x)) for r, f, x in zip(rows, fitted, p)]
     return F.broadcast(cells.sparkSession.createDataFrame(out, "source string, lang string, topic string, weight double, probability double"))
 
@@ -97,13 +129,13 @@ def _probabilities_distributed(cells: DataFrame, keep: float) -> DataFrame:
     for d in DIMENSIONS:
         lifted = cells.groupBy(d).agg((F.sum("tokens") / F.lit(max(total, 1.0))).alias("share")).where("share > 0").withColumn("goal", F.pow("share", F.lit(FLATTEN[d])))
         norm = float(lifted.agg(F.sum("goal")).first()[0] or 1)
-        goals[d] = materialize(lifted.select(d, (F.col("goal") / norm).alias("goal")), "goal")
+        goals[d] = materialize(lifted.select(d, "share", (F.col("goal") / norm).alias("goal")), "goal")
     state = materialize(cells.withColumn("weight", F.col("tokens").cast("double")), "cells")
     for _ in range(STEPS):
         before = state
         for d in DIMENSIONS:
             now = state.groupBy(d).agg(F.sum("weight").alias("now"))
-            factor = now.join(goals[d], d).where("now > 0").select(d, (F.col("goal") / F.col("now")).alias("factor"))
+            factor = now.join(goals[d].drop("share"), d).where("now > 0").select(d, (F.col("goal") / F.col("now")).alias("factor"))
             state = state.join(factor, d, "left").withColumn("weight", F.col("weight") * F.coalesce("factor", F.lit(1.0))).drop("factor")
         state = materialize(state, "cells")
         both = state.select(*DIMENSIONS, F.col("weight").alias("new")).join(before, list(DIMENSIONS))
@@ -111,8 +143,35 @@ def _probabilities_distributed(cells: DataFrame, keep: float) -> DataFrame:
         discard(before)
         if not moved or moved < TOLERANCE:
             break
-    p = F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("weight") * total * keep / F.col("tokens"))).otherwise(1.0)
-    return state.select(*DIMENSIONS, "weight", p.alias("probability"))
+    has = F.col("tokens") / F.lit(max(total, 1.0))
+    kept = _bounded_distributed(state.withColumn("has", has), goals, keep)
+    p = F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("u") / F.col("has"))).otherwise(1.0)
+    return kept.select(*DIMENSIONS, "weight", p.alias("probability"))
+
+
+def _bounded_distributed(fitted: DataFrame, goals: dict[str, DataFrame], keep: float) -> DataFrame:
+    """rake_bounded over cells (tokens, weight, has): the cells with u, of which least(u, has) is kept."""
+    reach = [goals[d].agg(F.min(F.col("share") / F.col("goal"))).first()[0] for d in DIMENSIONS]
+    keep = min(keep, *(1.0 if x is None else x for x in reach))
+    u, has, now, free, goal = (F.col(c) for c in ("u", "has", "now", "free", "goal"))
+    step = 1 + (goal - now) / F.nullif(free, F.lit(0.0))
+    factor = F.when(step > 0.5, F.least(step, F.lit(1e3))).when(now > 0, F.least(F.lit(1.0), goal / now)).otherwise(1.0)
+    while True:
+        state = materialize(fitted.withColumn("u", F.col("weight") * keep), "bounded")
+        for _ in range(STEPS):
+            before, worst, steps = state, 0.0, []
+            for d in DIMENSIONS:
+                sums = state.groupBy(d).agg(F.sum(F.least(u, has)).alias("now"), F.sum(F.when(u < FULL * has, u).otherwise(0.0)).alias("free"))
+                aimed = sums.join(goals[d].select(d, (goal * keep).alias("goal")), d)
+                steps.append(materialize(aimed.select(d, factor.alias("factor"), F.abs(now / goal - 1).alias("off")), "factor"))
+                worst = max(worst, steps[-1].agg(F.max("off")).first()[0] or 0.0)
+                state = state.join(steps[-1].drop("off"), d, "left").withColumn("u", u * F.coalesce("factor", F.lit(1.0))).drop("factor")
+            state = materialize(state, "bounded")
+            discard(before, *steps)
+            if worst < BOUND_TOLERANCE:
+                return state
+        discard(state)
+        keep *= SHRINK
 
 
 def mix(df: DataFrame, keep: float = KEEP, max_cells: int = MAX_CELLS, id_col: str = "doc_id", text_col: str = "text", topic_col: str | None = None) -> DataFrame:

@@ -244,6 +244,24 @@ def test_mixing_meets_its_marginals_and_both_ways_agree(spark):
             assert now[value] == pytest.approx(s**power / norm if s else 0, abs=1e-6)
 
 
+def test_mixing_kept_tokens_meet_the_marginals(spark):
+    hot = documents(spark, SF).selectExpr("doc_id", "text", "lang", "if(doc_id % 3 = 0, 'hot', source) as source")
+    for df in (documents(spark, SF), hot):
+        got = rows(mixing.mix(df))
+        total, kept = sum(r.n_tokens for r in got), sum(r.n_tokens * r.probability for r in got)
+        reach = 1.0
+        for d, power in mixing.FLATTEN.items():
+            has, now = Counter(), Counter()
+            for r in got:
+                has[r[d]] += r.n_tokens / total
+                now[r[d]] += r.n_tokens * r.probability / kept
+            norm = sum(s**power for s in has.values() if s)
+            for value, s in has.items():
+                assert now[value] == pytest.approx(s**power / norm if s else 0, abs=2e-4)
+                reach = min(reach, s / (s**power / norm)) if s else reach
+        assert max(r.probability for r in got) <= 1 and 0.94 * min(mixing.KEEP, reach) < kept / total < mixing.KEEP + 1e-3
+
+
 def test_mixing_edge_cases(spark, docs):
     df = docs(EDGE)
     got = rows(mixing.mix(df))
