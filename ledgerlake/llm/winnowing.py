@@ -1,7 +1,7 @@
 """Document fingerprints by winnowing; DataFrame functions only.
 
-A text's tokens are its runs of non-white-space, cut into pieces of at most TOKEN characters
-from the run's start. The hash of each GRAM consecutive tokens rolls over the text; of each
+A text's tokens are its runs of non-white-space of at most TOKEN characters; of longer runs, as
+text without spaces has them, each code point is a token, so grams stand at every offset. The hash of each GRAM consecutive tokens rolls over the text; of each
 WINDOW consecutive hashes the smallest is chosen, the rightmost where several are equal, and
 its position is kept. Two texts that share GRAM + WINDOW - 1 consecutive tokens share a whole
 window of hashes, so they share a chosen hash, whatever surrounds the passage; positions say
@@ -36,7 +36,8 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]{1,%d}" % TOKEN), F.lit(0))
+    ink = r"[^\x20\x09-\x0D]"
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"(?<!{ink}){ink}{{1,{TOKEN}}}+(?!{ink})|{ink}"), F.lit(0))
 
 
 def _packed(h: Column, at: Column) -> Column:

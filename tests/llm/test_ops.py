@@ -345,6 +345,18 @@ def test_shared_passage_shares_a_hash(spark, docs):
     assert all(a & b for a in sets for b in sets)
 
 
+def test_long_runs_are_hashed_at_every_offset(spark, docs):
+    rng = np.random.default_rng(3)
+    run = lambda n: "".join(chr(0x4E00 + x) for x in rng.integers(0, 5000, n))
+    passage = run(winnowing.GRAM + winnowing.WINDOW - 1)
+    texts = [(i, run(40 + i) + passage + run(40)) for i in range(20)]
+    sets = [set(r.h) for r in rows(docs(texts).select(winnowing.hashes(winnowing.fingerprint(documents_column("text"))).alias("h")))]
+    assert all(a & b for a in sets for b in sets)
+    mixed = [(1, "a " + "b" * winnowing.TOKEN + "\t" + "c" * winnowing.TOKEN + "de 😀😀 " + "😀" * 17)]
+    want = ["a", "b" * winnowing.TOKEN, *"c" * winnowing.TOKEN, "d", "e", "😀😀", *"😀" * 17]
+    assert list(rows(docs(mixed).select(winnowing.tokens(documents_column("text")).alias("t")))[0].t) == want
+
+
 def test_winnowing_query(spark):
     got = sorted(rows(winnowing.op7_winnowing(spark, SF)), key=lambda r: r.doc_id)
     texts = {r.doc_id: r.text or "" for r in rows(documents(spark, SF))}
