@@ -5,20 +5,22 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a batch that are held as Python objects at once.
 CHUNK = 256
-#: Entries of a per-worker cache of words; a full cache is emptied, never grown.
-CACHE_ENTRIES = 300_000
+#: Texts whose words are numbered together.
+TEXTS = 2048
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,12 +32,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where none is named."""
+    """The folder that all executors share, with its scheme; a local one only where none is named and
+    all tasks run in this machine's one process."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
         root = f"file://{tempfile.mkdtemp(prefix='scratch-')}"
         spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    # without a scheme, a path lies in Spark's default file system, for whoever reads it
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -61,6 +68,22 @@ def discard(*tables: DataFrame) -> None:
             p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Narrow tables that are broadcast have so many rows at most.
+FEW = 200_000
+
+
+def few(df: DataFrame) -> bool:
+    return df.count() <= FEW
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fold(doc_id: str, n: int):
     """crc32 of the id's decimal text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % n
@@ -108,17 +131,51 @@ def words(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash, computed once per worker and word."""
+def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts of a column, and where each text begins, one more for the end; null is empty."""
+    column = pc.fill_null(column.cast(pa.binary()), b"")
+    _, bounds, buffer = column.buffers()
+    if not len(column) or buffer is None:
+        return np.zeros(0, np.uint8), np.zeros(len(column) + 1, np.int64)
+    offsets = np.frombuffer(bounds, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return np.frombuffer(buffer, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+_BLANK = np.isin(np.arange(256), [*range(9, 14), 32])
+
+
+def number_pieces(data: np.ndarray, starts: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The distinct spans of data between starts, and by span the number of its own."""
+    spans = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(data)).astype(np.int32)), pa.py_buffer(data)])
+    numbered = spans.dictionary_encode()
+    return numbered.dictionary.to_pylist(), numbered.indices.to_numpy()
+
+
+def numbered_words(column: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """words() of all texts at once: the distinct words, by word its number among them, and where
+    each text's words begin, one more for the end of the last."""
+    data, offsets = text_buffer(column)
+    if not len(data):
+        return [], np.zeros(0, np.int32), offsets
+    ink = ~_BLANK[data]
+    start = ink.copy()
+    start[1:] &= ~ink[:-1]
+    heads = offsets[:-1][offsets[1:] > offsets[:-1]]
+    start[heads] = ink[heads]
+    data = (data + (((data >= 65) & (data <= 90)).view(np.uint8) << 5))[ink]
+    if not len(data):
+        return [], np.zeros(0, np.int32), np.zeros_like(offsets)
+    return *number_pieces(data, np.flatnonzero(start[ink])), np.searchsorted(np.flatnonzero(start), offsets)
+
+
+def hashed(tokens: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), np.uint64, len(tokens))
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
 
-    def of(self, tokens: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, tokens), np.uint64, len(tokens))
+def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, and where each text's begin, one more for the end."""
+    distinct, number, bounds = numbered_words(column)
+    return hashed(distinct)[number], bounds
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -9,8 +9,9 @@ with probability (1 - (1 - s**WIDTH)**COLLECTION)**2: 0.9997 at 0.75, 0.99997 at
 Partial keys that no other class has cannot make a common table key, so they are dropped
 before keys are paired; documents without near copies then form no table key at all.
 
-1. Documents with equal sets form a class, by a 128-bit hash of the set; half of that hash names
-   the class (rep). Copies never meet as pairs.
+1. Documents with equal sets form a class, by a 128-bit hash of the set. A class has a short name
+   (rep), the hash's first 60 bits; classes that would share a name get numbers below 0 in its
+   place, so names are unique. Copies never meet as pairs.
 2. Star rounds: in each table, the members are compared with one of them, first the smallest
    rep, then the first by a hash that changes with the round. A large group of near copies
    links up in a few comparisons per member.
@@ -26,7 +27,10 @@ before keys are paired; documents without near copies then form no table key at
    every candidate pair is settled: by a comparison, by a bound, or by being in one component.
 Comparisons are joins of narrow pairs with the sets of the documents that have candidates;
 links are contracted to components by repeated minimum-label hooking. All joins are
-equi-joins on hashed keys, and all intermediate tables are written to the shared folder."""
+equi-joins on hashed keys, and all intermediate tables are written to the shared folder. What a
+late round brings is little: its pairs, merged components and closed tables are broadcast where
+they are counted and few, so that sets and tables do not shuffle for them; beyond that
+the same joins shuffle."""
 
 from __future__ import annotations
 
@@ -35,10 +39,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import WordHashes, chunks, discard, documents, map_arrow, materialize, mix, utf8, words
+from ledgerlake.llm.common import TEXTS, chunks, discard, documents, few, map_arrow, materialize, mix, word_hashes
 
 SHINGLE = 5
 #: Links: 100 * intersection >= PERCENT * union.
@@ -53,18 +57,20 @@ STARS = 3
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingle_set(h: np.ndarray, size: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct 64-bit shingle hashes of a sequence of word hashes. Fewer words than
-    size are one shingle; no words, none."""
-    n = len(h)
-    if not n:
-        return h
-    width = min(n, size)
-    out = np.full(n - width + 1, width, np.uint64)
-    for i in range(width):
-        out = out * _P + h[i : n - width + 1 + i]
-        out ^= out >> np.uint64(29)
-    return np.unique(mix(out))
+def shingle_sets(h: np.ndarray, bounds: np.ndarray, size: int = SHINGLE) -> list[np.ndarray]:
+    """Sorted distinct 64-bit shingle hashes of each text, from the word hashes of all and where each
+    text's begin. Fewer words than size are one shingle; no words, none."""
+
+    def of(width: int, h: np.ndarray) -> np.ndarray:
+        out = np.full(len(h) - width + 1, width, np.uint64)
+        for i in range(width):
+            out = out * _P + h[i : len(h) - width + 1 + i]
+            out ^= out >> np.uint64(29)
+        return mix(out)
+
+    every = of(size, h) if len(h) >= size else h
+    ends = bounds.tolist()
+    return [np.unique(every[a : b - size + 1]) if b - a >= size else of(b - a, h[a:b]) if b > a else h[:0] for a, b in zip(ends, ends[1:])]
 
 
 def hash_family(n: int = 2 * COLLECTION * WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -86,29 +92,27 @@ def partial_keys(s: np.ndarray, family: tuple[np.ndarray, np.ndarray]) -> np.nda
 
 
 def signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, set_hash (null for empty sets), keys."""
+    """doc_id, text_hash, n_shingles, set_hash (null for empty sets), keys."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, family = WordHashes(), hash_family()
-        for batch in chunks(batches):
+        family = hash_family()
+        for batch in chunks(batches, TEXTS):
             size, digest, keys = [], [], []
-            for text in utf8(batch.column(1)):
-                s = shingle_set(hashes.of(words(text)))
+            for s in shingle_sets(*word_hashes(batch.column(2))):
                 size.append(len(s))
                 digest.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 keys.append(partial_keys(s, family) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_hash", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "n_shingles", "set_hash", "keys"])
 
-    return map_arrow(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), sign, "doc_id long, n_shingles long, set_hash binary, keys array<long>")
+    return map_arrow(df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")), sign, "doc_id long, text_hash long, n_shingles long, set_hash binary, keys array<long>")
 
 
 def full_sets(df: DataFrame) -> DataFrame:
     """(rep, shingles) for rows (rep, set_hash, text); rows whose text has another set go."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in chunks(batches):
-            made = [shingle_set(hashes.of(words(x))) for x in utf8(batch.column(2))]
+        for batch in chunks(batches, TEXTS):
+            made = shingle_sets(*word_hashes(batch.column(2)))
             right = [xxhash.xxh3_128_digest(s.tobytes()) == x for s, x in zip(made, batch.column(1).to_pylist())]
             out = pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.view(np.int64) for s in made], pa.list_(pa.int64()))], names=["rep", "shingles"])
             yield out.filter(pa.array(right, pa.bool_()))
@@ -134,7 +138,10 @@ def table_keys(reps: DataFrame) -> DataFrame:
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are linked."""
+    """The pairs (a, b) that are linked. If they are few, only their members' sets shuffle."""
+    if few(pairs):
+        members = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
+        sets = sets.join(F.broadcast(members), "rep", "left_semi")
     left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
@@ -142,16 +149,19 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(F.col("c") * 100 >= (F.col("t") - F.col("c")) * PERCENT).select("a", "b")
 
 
-def contract(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """(rep, comp) after joining components along the links (a, b); comp is the smallest member.
+def contract(labels: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(rep, comp) after joining components along the links (a, b), comp being the smallest member;
+    and the components (comp, to) that have gone into others, None if there are none.
 
     Each step hooks every component to its smallest neighbour and relabels what is left of the
     links, so a star of any size takes one step and the rest shrinks like a forest."""
+    first, owned = labels, False
     while not links.isEmpty():
         la = labels.select(F.col("rep").alias("a"), F.col("comp").alias("ca"))
         lb = labels.select(F.col("rep").alias("b"), F.col("comp").alias("cb"))
         edges = materialize(links.join(la, "a").join(lb, "b").where("ca <> cb").select(F.greatest("ca", "cb").alias("hi"), F.least("ca", "cb").alias("lo")).distinct(), "edges")
         if edges.isEmpty():
+            discard(edges)
             break
         hook = materialize(edges.groupBy("hi").agg(F.min("lo").alias("to")), "hook")
         for _ in range(2):
@@ -159,8 +169,14 @@ def contract(labels: DataFrame, links: DataFrame) -> DataFrame:
             hook = materialize(hook.join(onward, "to", "left").select("hi", F.coalesce("further", "to").alias("to")), "hook")
             discard(short)
         before, labels = labels, materialize(labels.join(hook.withColumnRenamed("hi", "comp"), "comp", "left").select("rep", F.coalesce("to", "comp").alias("comp")), "labels")
-        discard(before, edges, hook)
-    return labels
+        discard(edges, hook, *([before] if owned else []))
+        owned = True
+    if not owned:
+        return labels, None
+    moved = first.join(labels.withColumnRenamed("comp", "to"), "rep").where("comp <> to").select("comp", "to").distinct()
+    moved = materialize(moved, "moved")
+    discard(first)
+    return labels, moved
 
 
 def open_rows(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -171,6 +187,22 @@ def open_rows(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return materialize(current.join(mixed, "key"), "open")
 
 
+def still_open(rows: DataFrame, labels: DataFrame, moved: DataFrame) -> DataFrame:
+    """open_rows after some components have moved: only tables with members of those can have
+    closed, and if they are few nothing else shuffles."""
+    if few(moved):
+        touched = materialize(rows.join(F.broadcast(moved), "comp", "left_semi").select("key").distinct(), "touched")
+        if few(touched):
+            renamed = rows.join(F.broadcast(moved), "comp", "left").withColumn("comp", F.coalesce("to", "comp")).drop("to")
+            of_touched = renamed.select("key", "comp").join(F.broadcast(touched), "key", "left_semi")
+            closed = materialize(of_touched.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least = most").select("key"), "closed")
+            left = materialize(renamed.join(F.broadcast(closed), "key", "left_anti"), "open")
+            discard(touched, closed)
+            return left
+        discard(touched)
+    return open_rows(rows, labels)
+
+
 def with_bounds(rows: DataFrame, sets: DataFrame, reps: DataFrame) -> DataFrame:
     """rows with what bounds an intersection: shared, the number of a member's shingles that any
     other member of an open table has; for members of wide tables also common, the number of those
@@ -239,77 +271,107 @@ def link_classes(tables: DataFrame, sets: DataFrame, reps: DataFrame) -> DataFra
     """(rep, comp) for all members of the tables."""
     labels = materialize(tables.select("rep").distinct().withColumn("comp", F.col("rep")), "labels")
     rows = tables.withColumns({"comp": F.col("rep"), "shared": F.col("n")})
-    done = materialize(_star(rows, F.col("rep")), "pairs")
-    labels = contract(labels, materialize(verify(done, sets), "links"))
+    done = [materialize(_star(rows, F.col("rep")), "pairs")]
+    links = materialize(verify(done[0], sets), "links")
+    labels, moved = contract(labels, links)
+    discard(links, *([moved] if moved else []))
     rows = open_rows(tables, labels)
     if not rows.isEmpty():
-        rows = with_bounds(rows, sets, reps)
+        before, rows = rows, open_rows(with_bounds(rows, sets, reps), labels)
+        discard(before)
     plans = [*((lambda x, i=i: _star(x, F.xxhash64("rep", F.lit(i)))) for i in range(STARS))]
-    low, high, merged = 0, 1, True
-    while True:
-        if merged:
-            before, rows = rows, open_rows(rows, labels)
-            discard(before)
-        widest = rows.agg(F.max("members")).first()[0]
-        if widest is None or (not plans and low and 2 * low > -(-widest // BLOCK)):
-            discard(rows, done)
-            return labels
+    low, high, widest = 0, 1, rows.agg(F.max("members")).first()[0]
+    while widest is not None and (plans or not low or 2 * low <= -(-widest // BLOCK)):
         if plans:
             met = plans.pop(0)(rows)
         else:
             met = _blocks(rows, low, high)
             low, high = high, 2 * high
-        fresh = materialize(met.join(done, ["a", "b"], "left_anti"), "pairs")
+        before = done[0].sparkSession.read.schema(done[0].schema).parquet(*(x._scratch for x in done))
+        fresh = materialize(met.join(before, ["a", "b"], "left_anti"), "pairs")
         if fresh.isEmpty():
             discard(fresh)
-            merged = False
             continue
+        done.append(fresh)
         links = materialize(verify(fresh, sets), "links")
-        merged = not links.isEmpty()
-        labels = contract(labels, links)
-        old, done = done, materialize(done.unionByName(fresh), "done")
-        discard(links, fresh, old)
+        labels, moved = contract(labels, links)
+        discard(links)
+        if moved is None:
+            continue
+        old, rows = rows, still_open(rows, labels, moved)
+        discard(old, moved)
+        widest = rows.agg(F.max("members")).first()[0]
+    discard(rows, *done)
+    return labels
 
 
 #: Stands in for a null id inside the operator.
 _NO_ID = -(1 << 63)
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row.
+def class_names(classes: DataFrame) -> DataFrame:
+    """rep, unique, for rows with a unique set_hash."""
+    short = F.conv(F.substring(F.hex("set_hash"), 1, 15), 16, 10).cast("long")
+    named = classes.withColumn("rep", short)
+    clash = materialize(named.groupBy("rep").agg(F.count("*").alias("c")).where("c > 1").select("rep"), "clash")
+    if not clash.isEmpty():  # about 40 of 10**10 classes
+        number = F.row_number().over(Window.orderBy("set_hash")).cast("long")
+        other = materialize(named.join(clash, "rep").select("set_hash", (-number).alias("other")), "other")
+        named = named.join(other, "set_hash", "left").withColumn("rep", F.coalesce("other", "rep")).drop("other")
+    return named
 
-    Empty sets are components of their own, whatever else the row holds. Rows that repeat an id
-    are placed by their own texts; component_id is the smallest id of the component's rows, null
-    if none has one, and kept holds where doc_id equals it. Other columns are ignored; an empty
-    table gives no row."""
+
+def placed_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text_hash, n_shingles, comp (the component's name, null for empty sets) and component_id of every row."""
     signed = materialize(signatures(df, id_col, text_col), "signatures")
     full = signed.where("set_hash is not null").withColumn("id", F.coalesce("doc_id", F.lit(_NO_ID)))
-    rep = F.conv(F.substring(F.hex("set_hash"), 1, 15), 16, 10).cast("long")
-    classes = materialize(full.groupBy("set_hash").agg(F.min("doc_id").alias("first"), F.max("id").alias("some_id")).withColumn("rep", rep), "classes")
+    grouped = materialize(full.groupBy("set_hash").agg(F.min("doc_id").alias("first"), F.max("id").alias("some_id")), "grouped")
+    classes = materialize(class_names(grouped), "classes")
     one = classes.select("set_hash", "rep", F.col("some_id").alias("id"))
     chosen = full.join(one, ["set_hash", "id"]).dropDuplicates(["rep"]).select("rep", F.col("n_shingles").alias("n"), "keys")
-    chosen = materialize(chosen, "classes")
+    chosen = materialize(chosen, "chosen")
     tables = table_keys(chosen)
-    wanted = one.join(tables.select("rep").distinct(), "rep")
+    wanted = materialize(one.join(tables.select("rep").distinct(), "rep"), "wanted")
     texts = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.col(text_col).alias("text"))
-    sets = materialize(full_sets(texts.join(wanted, "id").select("rep", "set_hash", "text")), "sets")
+    met = texts.join(F.broadcast(wanted) if few(wanted) else wanted, "id")
+    sets = materialize(full_sets(met.select("rep", "set_hash", "text")), "sets")
     if not sets.groupBy("rep").count().where("count > 1").isEmpty():
-        sets = materialize(sets.dropDuplicates(["rep"]), "sets")
+        before, sets = sets, materialize(sets.dropDuplicates(["rep"]), "sets")
+        discard(before)
     labels = link_classes(tables, sets, chosen)
     placed = materialize(classes.join(labels, "rep", "left").select("set_hash", "first", F.coalesce("comp", "rep").alias("comp")), "placed")
     smallest = placed.groupBy("comp").agg(F.min("first").alias("component_id"))
-    of_class = placed.join(smallest, "comp").select("set_hash", "component_id")
-    some = full.join(of_class, "set_hash").select("doc_id", "n_shingles", "component_id")
-    none = signed.where("set_hash is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    discard(tables, sets)
-    return some.unionByName(none).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-
-
-def drop_near_copies(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of each component's smallest id; texts without a set all stay. The ids to go are
-    joined away, and if they are few the texts do not shuffle."""
-    gone = materialize(near_duplicates(df, id_col).where("not kept").select(F.col("doc_id").alias(id_col)).distinct(), "gone")
-    return df.join(gone, id_col, "left_anti").select(*df.columns)
+    of_class = materialize(placed.join(smallest, "comp").select("set_hash", "comp", "component_id"), "placed")
+    discard(grouped, classes, chosen, tables, wanted, sets, labels, placed)
+    some = full.join(of_class, "set_hash").select("doc_id", "text_hash", "n_shingles", "comp", "component_id")
+    none = signed.where("set_hash is null").select("doc_id", "text_hash", "n_shingles", F.lit(None).cast("long").alias("comp"), F.col("doc_id").alias("component_id"))
+    return some.unionByName(none)
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row.
+
+    Empty sets are components of their own, whatever else the row holds. Rows that repeat an id
+    are placed by their own texts; component_id is the smallest id of the component's rows, null
+    if none has one, and kept holds where doc_id equals it. Other columns are ignored; an empty
+    table gives no row."""
+    return placed_rows(df, id_col, text_col).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each component, the one of the smallest id, all its columns; texts without
+    a set all stay. Of documents that share that id, or of a component without ids, the one with
+    the smallest text hash stays; rows that repeat both id and text are one document and stay or
+    go together. The documents to go are joined away; if they are few the texts do not shuffle."""
+    document = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    placed = materialize(placed_rows(df, id_col, text_col).where("comp is not null").select("comp", document.alias("document")), "documents")
+    winner = placed.groupBy("comp").agg(F.min("document").alias("winner"))
+    gone = placed.join(winner, "comp").where("document <> winner").select("document.doc_id", "document.text_hash").distinct()
+    gone = materialize(gone, "gone")
+    discard(placed)
+    there = F.broadcast(gone) if few(gone) else gone
+    same = F.col(f"left.{id_col}").cast("long").eqNullSafe(F.col("gone.doc_id")) & (F.xxhash64(f"left.{text_col}") == F.col("gone.text_hash"))
+    return df.alias("left").join(there.alias("gone"), same, "left_anti")
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

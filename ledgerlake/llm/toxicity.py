@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import WordHashes, chunks, documents, fold, map_arrow, materialize, mix, read_table, table_batch, utf8, words
+from ledgerlake.llm.common import TEXTS, chunks, documents, fold, map_arrow, materialize, mix, read_table, word_hashes
 
 DIMENSIONS = 1 << 22
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 5.0, 1.0
@@ -34,14 +34,22 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 _MASK = np.uint64(DIMENSIONS - 1)
 
 
-def raw_features(h: np.ndarray) -> np.ndarray:
-    """Feature ids of a text from its word hashes, with repetitions."""
-    parts = [mix(h + np.uint64(1))]
-    if len(h) > 1:
-        parts.append(mix(h[:-1] * _P + h[1:] + np.uint64(2)))
-    if len(h) > 2:
-        parts.append(mix(h[:-2] * _P + h[2:] + np.uint64(3)))
-    return (np.concatenate(parts) & _MASK).astype(np.uint32)
+def features(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, feature) for all features of all texts, with repetitions, from the word hashes of all
+    texts and where each text's begin."""
+    of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    text, found = [of], [mix(h + np.uint64(1))]
+    for gap, salt in ((1, np.uint64(2)), (2, np.uint64(3))):
+        inside = of[:-gap] == of[gap:]
+        text.append(of[:-gap][inside])
+        found.append(mix(h[:-gap][inside] * _P + h[gap:][inside] + salt))
+    return np.concatenate(text), (np.concatenate(found) & _MASK).astype(np.uint32)
+
+
+def feature_sets(column: pa.Array) -> list[np.ndarray]:
+    text, found = features(*word_hashes(column))
+    order = np.argsort(text, kind="stable")
+    return [np.unique(x) for x in np.split(found[order], np.searchsorted(text[order], np.arange(1, len(column))))] if len(column) else []
 
 
 class Ftrl:
@@ -103,9 +111,8 @@ def fit(sample: DataFrame, text_col: str = "text", label_col: str = "toxic", id_
     labelled row the model is empty and scores 0.5."""
 
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in chunks(batches):
-            made = [np.unique(raw_features(hashes.of(words(x)))).astype("<u4").tobytes() for x in utf8(batch.column(1))]
+        for batch in chunks(batches, TEXTS):
+            made = [x.astype("<u4").tobytes() for x in feature_sets(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary()), batch.column(2), batch.column(3)], names=["turn", "features", "label", "share"])
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,16 +146,15 @@ def fit(sample: DataFrame, text_col: str = "text", label_col: str = "toxic", id_
 
 class Scorer:
     def __init__(self, model: Model):
-        self.weights, self.bias, self.hashes = model.lookup(), model.bias, WordHashes()
+        self.weights, self.bias = model.lookup(), model.bias
 
-    def score(self, text: bytes) -> float:
-        tokens = words(text)
-        total = self.bias
-        if tokens:
-            at = raw_features(self.hashes.of(tokens))
-            hit = np.unique(at[self.weights[at] != 0])
-            total += float(self.weights[hit].sum(dtype=np.float64))
-        return 1 / (1 + float(np.exp(-np.clip(total, -35, 35))))
+    def scores(self, column: pa.Array) -> np.ndarray:
+        """By text: the logistic of the bias and the weights of its distinct features."""
+        text, found = features(*word_hashes(column))
+        hit = np.flatnonzero(self.weights[found])
+        pairs = np.unique(text[hit].astype(np.int64) << 32 | found[hit])
+        total = self.bias + np.bincount(pairs >> 32, self.weights[pairs & 0xFFFFFFFF].astype(float), len(column))
+        return 1 / (1 + np.exp(-np.clip(total, -35, 35)))
 
 
 def score_toxicity(df: DataFrame, model: Model, held_out=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -158,8 +164,8 @@ def score_toxicity(df: DataFrame, model: Model, held_out=None, id_col: str = "do
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in chunks(batches):
-            s = np.array([scorer.score(x) for x in utf8(batch.column(2))])
+        for batch in chunks(batches, TEXTS):
+            s = scorer.scores(batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], schema=SCORED)
 
     chosen = df.select(F.col(id_col).cast("long").alias("doc_id"), (F.lit(False) if held_out is None else held_out).alias("held_out"), F.col(text_col).alias("text"))
@@ -173,8 +179,8 @@ def keep_clean(df: DataFrame, model: Model, threshold: float = 0.5, text_col: st
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for batch in chunks(batches):
-            yield batch.filter(pa.array([scorer.score(x) < threshold for x in utf8(batch.column(place))], pa.bool_()))
+        for batch in chunks(batches, TEXTS):
+            yield batch.filter(pa.array(scorer.scores(batch.column(place)) < threshold))
 
     return df.mapInArrow(keep, schema)
 
