@@ -9,7 +9,6 @@ Only the last window of an input partition can therefore have slack."""
 
 from __future__ import annotations
 
-import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -18,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import chunks, documents, map_arrow, table_batch
+from ledgerlake.llm.common import TEXTS, chunks, documents, map_arrow, table_batch
 from ledgerlake.llm.encode import CACHE_ENTRIES, OWNER, encoder
 
 CAPACITY = 1024
@@ -112,7 +111,6 @@ def pack_documents(df: DataFrame, tokenizer: str, mode: str, end_id: int, capaci
     ignored; an empty table gives no piece. Partitions are packed where they are read, without
     a shuffle; each has at most one sequence with padding."""
     schema = PIECES.append(pa.field("ids", pa.binary())) if with_ids else PIECES
-    end = struct.pack("<I", end_id)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -134,10 +132,11 @@ def pack_documents(df: DataFrame, tokenizer: str, mode: str, end_id: int, capaci
             rows.clear()
             return out
 
-        for batch in chunks(batches, owner=OWNER):
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(texts)):
-                for pieces in packer.add(doc_id, ids + end):
+        for batch in chunks(batches, TEXTS, OWNER):
+            ids, at = encode(batch.column(1), end_id)
+            data, at = ids.astype("<u4").tobytes(), (at * 4).tolist()
+            for doc_id, a, b in zip(batch.column(0).to_pylist(), at, at[1:]):
+                for pieces in packer.add(doc_id, data[a:b]):
                     emit(pieces)
             if len(rows) >= 4096:
                 yield flushed()

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import chunks, documents, map_arrow, materialize, scratch_path, table_batch
+from ledgerlake.llm.common import TEXTS, chunks, documents, map_arrow, materialize, scratch_path, table_batch
 from ledgerlake.llm.encode import OWNER, encoder
 
 MASK_DELTA = 0xA282EAD8
@@ -46,8 +46,8 @@ def frame(payload: bytes) -> bytes:
 
 
 def payload(doc_id: int | None, ids: bytes, width: int) -> bytes:
-    head = struct.pack(HEAD, 0 if doc_id is None else doc_id, doc_id is None, width)
-    return head + (np.frombuffer(ids, "<u4").astype("<u2").tobytes() if width == 2 else ids)
+    """ids: little-endian, of that width."""
+    return struct.pack(HEAD, 0 if doc_id is None else doc_id, doc_id is None, width) + ids
 
 
 def read_frame(data: memoryview, at: int) -> tuple[memoryview, int]:
@@ -87,7 +87,7 @@ class _File:
         self.index.append(struct.pack(INDEX, self.at, len(body), 0 if doc_id is None else doc_id))
         data = frame(body)
         self.stream.write(data)
-        self.at, self.n, self.tokens = self.at + len(data), self.n + 1, self.tokens + len(ids) // 4
+        self.at, self.n, self.tokens = self.at + len(data), self.n + 1, self.tokens + len(ids) // width
 
     def close(self) -> None:
         self.stream.close()
@@ -97,14 +97,13 @@ class _File:
         self.fs.move(self.part, f"{self.folder}/{self.name}.rec")
 
 
-def write_token_records(df: DataFrame, folder: str, tokenizer: str, mode: str, end_id: int, vocab: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_token_records(df: DataFrame, folder: str, tokenizer: str, mode: str, end_id: int, vocab: int, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = FILE_BYTES) -> DataFrame:
     """Encode whole texts and write them as records in ascending id order; gives the manifest
     (file, ordinal, task, n_records, n_tokens), one row per file, (task, ordinal) in id order.
 
     Null text is empty and has the end id alone. Null ids come first; rows that repeat an id
-    are kept, in the order of their texts. Other columns are ignored. An empty table gives no file."""
+    are kept, in the order of a hash of their texts. Other columns are ignored. An empty table gives no file."""
     width = 2 if vocab <= 65536 else 4
-    end = struct.pack("<I", end_id)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -120,20 +119,23 @@ def write_token_records(df: DataFrame, folder: str, tokenizer: str, mode: str, e
             rows.append((f"{folder}/{out.name}.rec", ordinal, task, out.n, out.tokens))
             out, ordinal = None, ordinal + 1
 
-        for batch in chunks(batches, owner=OWNER):
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(texts)):
+        for batch in chunks(batches, TEXTS, OWNER):
+            ids, at = encode(batch.column(1), end_id)
+            data, at = ids.astype(f"<u{width}").tobytes(), (at * width).tolist()
+            for doc_id, a, b in zip(batch.column(0).to_pylist(), at, at[1:]):
                 out = out or _File(fs, root, f"part-{task:06d}-{ordinal:04d}")
-                out.add(doc_id, ids + end, width)
-                if out.at >= FILE_BYTES:
+                out.add(doc_id, data[a:b], width)
+                if out.at >= file_bytes:
                     closed()
         if out:
             closed()
         if rows:
             yield table_batch(MANIFEST, **dict(zip(MANIFEST.names, zip(*rows))))
 
-    ordered = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return materialize(map_arrow(ordered, write, "file string, ordinal int, task int, n_records long, n_tokens long"), "manifest")
+    rows_ = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    # by hash too, so that rows of one id, or without any, are not one task's; what is sampled for the ranges has no text
+    ordered = rows_.repartitionByRange("doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash", "text")
+    return materialize(map_arrow(ordered.drop("text_hash"), write, "file string, ordinal int, task int, n_records long, n_tokens long"), "manifest")
 
 
 def read_token_records(manifest: DataFrame) -> DataFrame:
@@ -170,6 +172,56 @@ def read_token_records(manifest: DataFrame) -> DataFrame:
     return map_arrow(spread.select("file", "base", "n_records"), read, "doc_id long, start long, n_tokens long, ids_crc32 long, file string, record_offset long")
 
 
+class RecordFile:
+    """One file's records in any order: the index says where each lies, and only its bytes are read."""
+
+    def __init__(self, file: str):
+        self.fs, self.path = _filesystem(file)
+        with self.fs.open_input_stream(f"{self.path.removesuffix('.rec')}.idx") as f:
+            self.index = np.frombuffer(f.read(), [("offset", "<u8"), ("length", "<u8"), ("doc_id", "<i8")])
+        self.file = self.fs.open_input_file(self.path)
+
+    def __len__(self) -> int:
+        return len(self.index)
+
+    def __getitem__(self, k: int) -> tuple[int | None, np.ndarray]:
+        """(doc_id, ids) of record k, its checksums and its index entry verified."""
+        offset, length, indexed = (int(x) for x in self.index[k])
+        frame_ = self.file.read_at(length + 16, offset)
+        body, end = read_frame(memoryview(frame_), 0)
+        doc_id, ids = unpack(body)
+        if end != length + 16 or (doc_id or 0) != indexed:
+            raise ValueError(f"{self.path}: record {k} is not what the index says")
+        return doc_id, ids
+
+    def close(self) -> None:
+        self.file.close()
+
+
+def read_shuffled(manifest: DataFrame, seed: int) -> DataFrame:
+    """(position, doc_id, ids): all records in an order that the seed decides. The positions are dealt
+    to tasks by range and each task fetches its records through the index, a file's together."""
+    files = manifest.select("file", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_records") - 1)).alias("k"))
+    order = F.xxhash64("file", "k", F.lit(seed))
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened: dict[str, RecordFile] = {}
+        for batch in chunks(batches):
+            got = [None] * batch.num_rows
+            for i, (file, k) in sorted(enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())), key=lambda x: x[1]):
+                if file not in opened:
+                    for other in opened.values():
+                        other.close()
+                    opened = {file: RecordFile(file)}
+                got[i] = opened[file][k]
+            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array([x[0] for x in got], pa.int64()), pa.array([x[1].astype(np.int64) for x in got], pa.list_(pa.int64()))], names=["position", "doc_id", "ids"])
+        for other in opened.values():
+            other.close()
+
+    dealt = files.withColumn("position", order).repartitionByRange("position", "file", "k").sortWithinPartitions("position", "file", "k")
+    return map_arrow(dealt.select("file", "k", "position"), fetch, "position long, doc_id long, ids array<long>")
+
+
 def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
