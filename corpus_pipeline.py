@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from ledgerlake.llm import exact_dedup, mixing, near_dedup, packing, toxicity
-from ledgerlake.llm.common import documents, materialize
+from ledgerlake.llm.common import discard, documents, materialize
 
 
 #: Fewer words than the packing query keeps, as the workers also serve the other stages.
@@ -52,5 +52,6 @@ ORACLE_SQL = None
 def run(spark, sf_dir):
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name)
+        discard(before)  # a stage's input, once its result is written; the table that was read stays
     return STAGES[-1][1](spark, docs, sf_dir)
