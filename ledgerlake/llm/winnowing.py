@@ -1,7 +1,11 @@
 """Document fingerprints by winnowing; DataFrame functions only.
 
 A text's tokens are its runs of non-white-space of at most TOKEN characters; of longer runs, as
-text without spaces has them, each code point is a token, so grams stand at every offset. The hash of each GRAM consecutive tokens rolls over the text; of each
+text without spaces has them, each code point is a token, so grams stand at every offset. The hashes
+of GRAM consecutive tokens are a cyclic polynomial's: each token's hash, rotated by how many tokens
+follow it in the gram, all of them xor-ed. It rolls over the text in whole arrays: hashes of two
+tokens come from those of one, those of four from those of two, those of five by one token more, so
+no gram is hashed afresh. Of each
 WINDOW consecutive hashes the smallest is chosen, the rightmost where several are equal, and
 its position is kept. Two texts that share GRAM + WINDOW - 1 consecutive tokens share a whole
 window of hashes, so they share a chosen hash, whatever surrounds the passage; positions say
@@ -19,15 +23,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import documents, materialize
+from ledgerlake.llm.common import discard, documents, materialize
 
 TOKEN, GRAM, WINDOW = 16, 5, 16
 HASH_BITS, PLACE_BITS = 39, 24
 _LAST = (1 << PLACE_BITS) - 1
-#: Documents that stand together while each looks up the next one.
-NEIGHBOURS = 256
-#: Quantiles of the ids; between two of them ids are cut evenly.
-QUANTILES = 64
+#: Documents that stand together while each looks up the next one, if that makes MOST_PLACES places at most.
+NEIGHBOURS, MOST_PLACES = 256, 1 << 18
 
 
 def let(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -46,15 +48,34 @@ def _packed(h: Column, at: Column) -> Column:
     return F.shiftleft(F.shiftrightunsigned(h, 64 - HASH_BITS), PLACE_BITS).bitwiseOR(place)
 
 
+def _rotated(h: Column, n: int) -> Column:
+    return F.shiftleft(h, n).bitwiseOR(F.shiftrightunsigned(h, 64 - n))
+
+
+def _rolled(h: Column, size: int = GRAM) -> Column:
+    """Cyclic polynomial hashes of size consecutive elements of an array that has so many at least."""
+
+    def beside(left: Column, right: Column, before: int, after: int) -> Column:
+        """Of before + after elements, from hashes of the first and of the others."""
+        n = F.size(right) - before
+        return F.zip_with(F.slice(left, F.lit(1), n), F.slice(right, F.lit(before + 1), n), lambda a, b: _rotated(a, after).bitwiseXOR(b))
+
+    def grown(g: Column, reach: int) -> Column:
+        if reach == size:
+            return g
+        if 2 * reach <= size:
+            return let(beside(g, g, reach, reach), lambda x: grown(x, 2 * reach))
+        return let(beside(g, h, reach, 1), lambda x: grown(x, reach + 1))
+
+    return grown(h, 1)
+
+
 def _grams(words: Column) -> Column:
     hashed = F.transform(words, lambda w: F.xxhash64(w))
 
     def of(h: Column) -> Column:
-        def gram(x: Column, i: Column) -> Column:
-            return _packed(F.xxhash64(x, *(h.getItem(i + j) for j in range(1, GRAM))), i)
-
         short = F.array(_packed(F.xxhash64(F.array_join(F.transform(h, lambda x: x.cast("string")), " ")), F.lit(0)))
-        whole = F.transform(F.slice(h, F.lit(1), F.greatest(F.size(h) - (GRAM - 1), F.lit(0))), gram)
+        whole = F.transform(_rolled(h), _packed)
         return F.when(F.size(h) == 0, F.array().cast("array<bigint>")).when(F.size(h) < GRAM, short).otherwise(whole)
 
     return let(hashed, of)
@@ -95,46 +116,56 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
-def neighbourhoods(ids: DataFrame, size: int = NEIGHBOURS) -> Callable[[Column], Column]:
-    """A monotone map of ids to (quantile, part of it), with about size distinct ids in a part."""
-    quantiles = [i / QUANTILES for i in range(QUANTILES + 1)]
-    row = ids.agg(F.count("doc_id").alias("n"), F.percentile_approx("doc_id", quantiles, 1000).alias("q"), F.min("doc_id").alias("least")).first()
-    bounds = sorted(set(row["q"] or [0]))
-    parts = max(1, row["n"] // QUANTILES // size)
-
-    def place(doc_id: Column) -> Column:
-        at = F.coalesce(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= doc_id)), F.lit(0))
-        low = F.coalesce(F.get(F.array(*map(F.lit, bounds)), at - 1), F.lit(bounds[0])).cast("double")
-        high = F.coalesce(F.get(F.array(*map(F.lit, bounds)), at), F.lit(bounds[-1])).cast("double")
-        part = F.when(high > low, F.least(F.lit(parts - 1), F.greatest(F.lit(0), F.floor((doc_id - low) / (high - low) * parts)))).otherwise(0).cast("int")
-        return F.struct(at.cast("int").alias("quantile"), F.coalesce(part, F.lit(0)).alias("part"))
-
-    return place
-
-
-def with_next(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Each row with next_<column> of the row that follows by doc_id; the last is followed by
-    the first. Rows without an id come first, rows that repeat one in the order of their texts.
-
-    Rows are dealt by neighbourhoods of ids, so texts shuffle once; the last row of each
-    neighbourhood, and only that, is joined with the first one of the next."""
-    place = neighbourhoods(df.select("doc_id"))
-    order = ["doc_id", "text"]
-    near = Window.partitionBy("place").orderBy(*order)
-    placed = df.withColumn("place", place(F.col("doc_id")))
-    marked = placed.withColumns({f"next_{c}": F.lead(c).over(near) for c in columns} | {"is_last": F.lead(F.lit(True)).over(near).isNull(), "at": F.row_number().over(near)})
-    kept = [x for x in marked.columns if x not in ("place", "is_last", "at")]
+def neighbourhoods(keys: DataFrame, size: int = NEIGHBOURS) -> tuple[Callable[[DataFrame], DataFrame], int]:
+    """What adds the place of its key (struct of doc_id, text_hash) to each row, places being in the
+    order of keys, and the number of places; a place has size distinct keys, more where there would be over MOST_PLACES. The keys, and no texts,
+    are sorted for it, so the places are even however the ids lie; the first keys of the places,
+    16 bytes each, are looked up in two steps."""
+    distinct = keys.select("key").distinct()
+    ordered = materialize(distinct.repartitionByRange("key").withColumn("part", F.spark_partition_id()), "keys")
+    n = {r["part"]: r["n"] for r in ordered.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    size, before, start = max(size, -(-sum(n.values()) // MOST_PLACES)), 0, []
+    for part in sorted(n):
+        start.append((part, before))
+        before += n[part]
+    starts = F.broadcast(ordered.sparkSession.createDataFrame(start, "part int, before long"))
+    rank = F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy("key")) - 1
+    firsts = ordered.join(starts, "part").select("key", rank.alias("rank")).where((F.col("rank") > 0) & (F.col("rank") % size == 0))
+    places = -(-before // size)
+    wide = max(1, int(places**0.5))
+    groups = firsts.groupBy(F.floor((F.col("rank") / size - 1) / wide).alias("g")).agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    index = materialize(groups.agg(F.transform(F.sort_array(F.collect_list(F.struct("g", "keys"))), lambda x: x["keys"]).alias("groups")), "places")
+    discard(ordered)
+
+    def placed(df: DataFrame) -> DataFrame:
+        found, key = F.col("__groups"), F.col("key")
+        group = F.coalesce(F.size(F.filter(found, lambda g: F.get(g, F.lit(0)) <= key)), F.lit(0)) - 1
+        place = F.when(group < 0, 0).otherwise(group * wide + F.size(F.filter(F.get(found, F.greatest(group, F.lit(0))), lambda b: b <= key)))
+        return df.withColumn("__groups", index.scalar()).withColumn("place", place.cast("int")).drop("__groups")
+
+    return placed, places
+
+
+def with_next(df: DataFrame, columns: list[str], make: Callable[[DataFrame], DataFrame] = lambda x: x, size: int = NEIGHBOURS) -> DataFrame:
+    """make(df) with next_<column> of the row that follows by doc_id; the last is followed by the first.
+    Rows without an id come first, rows that repeat one in the order of a hash of their texts; rows that
+    repeat both stand in one place, however many they are.
+
+    Rows are dealt by neighbourhoods of ids, so texts shuffle once, and make, which adds columns by row,
+    is evaluated once a row: the rows that begin a neighbourhood are found before, and only the last
+    row of each is joined with the first one of the next."""
+    key = F.struct("doc_id", F.xxhash64("text").alias("text_hash"))
+    placed, places = neighbourhoods(df.select(key.alias("key")), size)
+    at = F.row_number().over(Window.partitionBy("place").orderBy("key"))
+    keyed = placed(df.withColumn("key", key))
+    heads = keyed.withColumn("at", at).where("at = 1").select("place", *df.columns)
+    firsts = materialize(make(heads).select(F.pmod(F.col("place") - 1, F.lit(max(1, places))).cast("int").alias("place"), *(F.col(c).alias(f"next_{c}") for c in columns)), "firsts")
+    near = Window.partitionBy("place").orderBy("key")
+    made = make(keyed)
+    marked = made.withColumns({f"next_{c}": F.lead(c).over(near) for c in columns} | {"is_last": F.lead(F.lit(True)).over(near).isNull()})
+    kept = [x for x in marked.columns if x not in ("key", "place", "is_last")]
     inner = marked.where("not is_last").select(*kept)
-    # places in order: within quantiles first, then over at most QUANTILES + 2 of them
-    places = materialize(marked.where("at = 1").select("place", *(F.col(c).alias(f"next_{c}") for c in columns)), "firsts")
-    names = places.select("place")
-    onward = names.withColumn("next_place", F.lead("place").over(Window.partitionBy("place.quantile").orderBy("place.part")))
-    tops = names.groupBy("place.quantile").agg(F.min("place").alias("first"))
-    ring = tops.withColumn("after", F.coalesce(F.lead("first").over(Window.orderBy("quantile")), F.first("first").over(Window.orderBy("quantile").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-    onward = onward.join(F.broadcast(ring.select(F.col("quantile").alias("__q"), "after")), F.col("place.quantile") == F.col("__q"))
-    onward = onward.select("place", F.coalesce("next_place", "after").alias("next_place"))
-    follow = onward.join(places.withColumnRenamed("place", "next_place"), "next_place").drop("next_place")
-    outer = marked.where("is_last").select("place", *(c for c in kept if not c.startswith("next_"))).join(follow, "place").select(*kept)
+    outer = marked.where("is_last").select("place", *(c for c in kept if not c.startswith("next_"))).join(firsts, "place").select(*kept)
     return inner.unionByName(outer)
 
 
@@ -152,8 +183,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    own = docs.withColumn("chosen", fingerprint(F.col("text")))
-    both = with_next(own, ["text", "chosen"]).withColumn("edited", edited(F.col("text"), F.col("next_text")))
+    both = with_next(docs, ["text", "chosen"], lambda x: x.withColumn("chosen", fingerprint(F.col("text")))).withColumn("edited", edited(F.col("text"), F.col("next_text")))
     both = both.withColumn("edited_chosen", fingerprint(F.col("edited")))
     return both.select(
         "doc_id",
