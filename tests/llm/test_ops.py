@@ -454,26 +454,48 @@ def test_toxicity_score_keeps_its_meaning_in_a_capped_sample(spark, docs):
 
 
 def brute_fingerprint(text):
-    import xxhash  # noqa: F401
+    """(hash, position) pairs by a rolling hash, written for itself: token by token, window by window."""
+    import xxhash
+
+    ink = r"[^\x20\x09-\x0d]"
+    tokens = [x for run in re.findall(f"{ink}+", text) for x in ([run] if len(run) <= 16 else run)]
+    full = (1 << 64) - 1
+    rot = lambda x, n: (x << n | x >> (64 - n)) & full if n else x
+    h = [xxhash.xxh64(x.encode(), seed=42).intdigest() for x in tokens]
+    if not h:
+        return []
+    if len(h) < 5:
+        text = " ".join(str(x - (1 << 64) if x >> 63 else x) for x in h)
+        return [(xxhash.xxh64(text.encode(), seed=42).intdigest() >> 25, 0)]
+    now, grams = 0, []
+    for i, x in enumerate(h):
+        now = rot(now, 1) ^ x
+        if i >= 5:
+            now ^= rot(h[i - 5], 5)
+        if i >= 4:
+            grams.append((now >> 25, i - 4))
+    out = []
+    for s in range(max(1, len(grams) - 15)):
+        best = min(grams[s : s + 16], key=lambda g: (g[0], -g[1]))
+        if best not in out:
+            out.append(best)
+    return out
+
+
+def brute_likeness(a, b):
+    a, b = {h for h, _ in a}, {h for h, _ in b}
+    return len(a & b) / len(a | b) if a | b else 1.0
 
-    return re.findall(r"[^\x20\x09-\x0d]{1,16}", text)
 
+def shown(pairs):
+    return " ".join(f"{h:x}@{at}" for h, at in pairs)
 
-def test_winnowing_windows_and_edited_texts(spark, docs):
+
+def test_winnowing_windows(spark, docs):
     texts = [(i, " ".join(f"t{(i * 7 + k * k) % 50}" for k in range(n))) for i, n in enumerate([0, 1, 3, 5, 10, 20, 21, 60, 200])]
-    df = docs(texts).select("doc_id", winnowing._grams(winnowing.tokens(documents_column("text"))).alias("g"), winnowing.fingerprint(documents_column("text")).alias("f"))
-    for r in rows(df):
-        n = len(brute_fingerprint(dict(texts)[r.doc_id]))
-        assert len(r.g) == (0 if not n else 1 if n < winnowing.GRAM else n - winnowing.GRAM + 1)
-        want = []
-        for s in range(max(1, len(r.g) - winnowing.WINDOW + 1)):
-            window = r.g[s : s + winnowing.WINDOW]
-            if window:  # smallest hash, the rightmost position of it
-                best = min(x >> winnowing.PLACE_BITS for x in window)
-                pick = [x for x in window if x >> winnowing.PLACE_BITS == best][-1]
-                if pick not in want:
-                    want.append(pick)
-        assert list(r.f) == want
+    texts += [(20 + i, t or "") for i, (_, t) in enumerate(EDGE)] + [(50, "same " * 100), (51, "中" * 90 + " x"), (52, "ß" * 16 + " " + "ß" * 17)]
+    got = {r.doc_id: r.f for r in rows(docs(texts).select("doc_id", winnowing.readable(winnowing.fingerprint(documents_column("text"))).alias("f")))}
+    assert got == {i: shown(brute_fingerprint(t)) for i, t in texts}
 
 
 def test_shared_passage_shares_a_hash(spark, docs):
@@ -496,27 +518,37 @@ def test_long_runs_are_hashed_at_every_offset(spark, docs):
 
 
 def test_winnowing_query(spark):
+    """All columns by brute force, on the smallest table."""
     got = sorted(rows(winnowing.op7_winnowing(spark, SF)), key=lambda r: r.doc_id)
     texts = {r.doc_id: r.text or "" for r in rows(documents(spark, SF))}
     ids = sorted(texts)
+    prints = {i: brute_fingerprint(texts[i]) for i in ids}
+    assert [r.doc_id for r in got] == ids
     for k, r in enumerate(got):
-        t, follower = texts[r.doc_id], texts[ids[(k + 1) % len(ids)]]
-        tail = len(t) // 2
-        assert r.doc_id == ids[k] and r.n_chars == len(t)
-        assert r.edited_sha256 == hashlib.sha256((t[: len(t) - tail] + follower[:tail]).encode()).hexdigest()
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
-    assert len({(texts[r.doc_id], r.fingerprint) for r in got}) == len(set(texts.values()))
+        follower = ids[(k + 1) % len(ids)]
+        t, tail = texts[r.doc_id], len(texts[r.doc_id]) // 2
+        changed = t[: len(t) - tail] + texts[follower][:tail]
+        assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(changed.encode()).hexdigest()
+        assert r.fingerprint == shown(prints[r.doc_id]) and r.edited_fingerprint == shown(brute_fingerprint(changed))
+        assert r.near_edited == pytest.approx(brute_likeness(prints[r.doc_id], brute_fingerprint(changed)))
+        assert r.near_next == pytest.approx(brute_likeness(prints[r.doc_id], prints[follower]))
+
 
+def test_winnowing_of_an_empty_table(spark, tmp_path):
+    documents(spark, SF).limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert rows(winnowing.op7_winnowing(spark, str(tmp_path))) == []
+
+
+@pytest.mark.parametrize("ids", [[1], [5, 5, 5], [None, None, 3], [-(1 << 62), 0, 1, 2, 1 << 62], list(range(0, 3000, 7)), [*range(100), *(10**15 + 3 * k for k in range(100))]])
+def test_with_next_is_a_ring(spark, docs, ids):
+    from pyspark.sql import functions as F
 
-@pytest.mark.parametrize("ids", [[1], [5, 5, 5], [None, None, 3], [-(1 << 62), 0, 1, 2, 1 << 62], list(range(0, 3000, 7))])
-def test_with_next_is_a_ring(spark, docs, ids, monkeypatch):
-    monkeypatch.setattr(winnowing, "NEIGHBOURS", 16)
     df = docs([(i, f"t{k}") for k, i in enumerate(ids)]).select("doc_id", "text")
-    order = sorted(((i, f"t{k}") for k, i in enumerate(ids)), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
-    want = Counter((*a, b[1]) for a, b in zip(order, order[1:] + order[:1]))
-    place = winnowing.neighbourhoods
-    monkeypatch.setattr(winnowing, "neighbourhoods", lambda x: place(x, 16))
-    assert Counter((r.doc_id, r.text, r.next_text) for r in rows(winnowing.with_next(df, ["text"]))) == want
+    data = [(r.doc_id, r.h, r.text) for r in rows(df.withColumn("h", F.xxhash64("text")))]
+    order = sorted(data, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    want = Counter((a[0], a[2], b[2]) for a, b in zip(order, order[1:] + order[:1]))
+    for size in (1, 16, 256):
+        assert Counter((r.doc_id, r.text, r.next_text) for r in rows(winnowing.with_next(df, ["text"], size=size))) == want
 
 
 # --- 8 hidden Markov model
@@ -682,14 +714,55 @@ def test_language_id_edge_cases(spark, docs):
     assert rows(language_id.identify(docs([]), model)) == []
 
 
-def test_word_rows_are_their_ngrams_sums():
-    rng = np.random.default_rng(2)
-    model = language_id.Model(["a", "b"], rng.normal(size=(language_id.BUCKETS, 2)).astype(np.float32), np.zeros(2))
-    s = language_id.Scorer(model)
-    words = ["haus", "maison", "haus", "x" * 150]
-    want = [sum(model.log_p[b[at == 0]].sum(0) for at, b in language_id.ngrams([w])) for w in words]
-    assert [len(b) for _, b in language_id.ngrams(["ab"])] == [4, 3, 2, 1]
-    assert np.allclose(s.rows_of(words), want, atol=1e-2)
+def brute_languages(train, texts):
+    """Plain naive Bayes, gram by gram, with the operator's hash of a gram."""
+
+    def grams(text):
+        out = Counter()
+        for w in language_id.tokens(text or ""):
+            for _, buckets in language_id.ngrams([w]):
+                out.update(buckets.tolist())
+        return out
+
+    counts, docs = {}, Counter(lang for _, lang in train)
+    for t, lang in train:
+        counts.setdefault(lang, Counter()).update(grams(t))
+    out = {}
+    for i, t in texts:
+        n = len(language_id.tokens(t or ""))
+        if not n or not counts:
+            out[i] = ("und", 0.0)
+            continue
+        found, prior = {}, {k: math.log((docs[k] + 1) / (sum(docs.values()) + len(docs))) for k in counts}
+        for lang, c in counts.items():
+            norm = c.total() + language_id.SMOOTHING * language_id.BUCKETS
+            found[lang] = sum(k * math.log((c[b] + language_id.SMOOTHING) / norm) for b, k in grams(t).items())
+        best = max(sorted(found), key=lambda k: found[k] + prior[k])
+        logit = {k: prior[k] + v / (1 + n / language_id.TEMPER) for k, v in found.items()}
+        top = max(logit.values())
+        out[i] = (best, math.exp(logit[best] - top) / sum(math.exp(x - top) for x in logit.values()))
+    return out
+
+
+@pytest.mark.parametrize("size", [128, 2, 1])
+def test_language_id_is_naive_bayes(spark, docs, size):
+    """Against plain naive Bayes, with all labels at once and with more labels than a block has."""
+    table = [(r.doc_id, r.text, r.lang) for r in rows(documents(spark, SF)) if r.text]
+    train = [(t, lang) for _, t, lang in table[:60]] + [("zz yy", "zu"), ("", "aa"), (None, "en")]
+    texts = [(i, t) for i, t, _ in table[60:110]] + [(1000, None), (1001, "42 !"), (1002, "zz"), (1003, "Ünï Σς")]
+    model = language_id.fit(docs([(i, t, lang) for i, (t, lang) in enumerate(train)]).where("lang is not null"), size)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in rows(language_id.identify(docs(texts), model))}
+    want = brute_languages([x for x in train if x[1]], texts)
+    for i, (lang, score) in want.items():
+        assert got[i][0] == lang and got[i][1] == pytest.approx(score, abs=1e-3)
+
+
+def test_language_id_with_many_labels(spark, docs):
+    words = [f"{chr(97 + i // 26)}{chr(97 + i % 26)}" * 3 for i in range(450)]
+    model = language_id.fit(docs([(i, f"{w} {w}", f"l{i:03d}") for i, w in enumerate(words)]))
+    assert len(model.languages) == 450 > model.size
+    got = {r.doc_id: r.lang_pred for r in rows(language_id.identify(docs([(i, w) for i, w in enumerate(words)]), model))}
+    assert sum(got[i] == f"l{i:03d}" for i in got) > 445
 
 
 # --- 10 token counts
