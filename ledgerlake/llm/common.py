@@ -108,8 +108,14 @@ def release(owner: str | None) -> None:
         for k in others:
             del _kept[k]
         gc.collect()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)
+        trim()
+
+
+def trim() -> None:
+    """Give free memory back to the system: a worker waits between tasks, and others need it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def chunks(batches: Iterator[pa.RecordBatch], size: int = CHUNK, owner: str | None = None) -> Iterator[pa.RecordBatch]:
@@ -117,6 +123,7 @@ def chunks(batches: Iterator[pa.RecordBatch], size: int = CHUNK, owner: str | No
     for batch in batches:
         for at in range(0, batch.num_rows, size):
             yield batch.slice(at, size)
+    trim()
 
 
 def utf8(column: pa.Array) -> list[bytes]:

@@ -16,7 +16,12 @@ partial before it shuffles, so a source that holds a third of all rows is one ro
 A table without topics gets them from its words: every word of a text counts, hashed into
 BUCKETS, and a text's topic is the one of TOPICS under whose word frequencies it is likeliest.
 They are learned from all texts, in ROUNDS of counting the words by the topics of the last round;
-at first a word speaks for the topic that its bucket's number gives, by how rare it is."""
+at first a word speaks for the topic that its bucket's number gives, by how rare it is. Languages
+have topics of their own, numbered alike (languages whose hashes agree in their last four bits share
+them): otherwise the topics would be the languages, and no weights could meet both targets.
+
+Targets can still contradict each other. Then raking ends at its last step, and its marginals, which
+are as near to the targets as it comes, are those that the sample meets."""
 
 from __future__ import annotations
 
@@ -31,7 +36,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from ledgerlake.llm.common import TEXTS, chunks, discard, documents, hashed, map_arrow, materialize, numbered_words, unused
 
 DIMENSIONS = ("source", "lang", "topic")
-TOPICS, BUCKETS, ROUNDS = 8, 1 << 13, 3
+TOPICS, BUCKETS, ROUNDS, SLOTS = 8, 1 << 12, 2, 16
 MAX_CELLS = 20_000
 STEPS, TOLERANCE = 50, 1e-9
 #: With the bound: marginals agree to a ten-thousandth of each; if STEPS do not get there, keep shrinks so.
@@ -56,6 +61,10 @@ def _key(value: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), value.cast("string")), F.lit(""))
 
 
+def _slot(lang: Column) -> Column:
+    return F.pmod(F.xxhash64(_key(lang)), F.lit(SLOTS)).cast("int")
+
+
 def _value(key: Column) -> Column:
     return F.when(key != "", F.substring(key, F.lit(2), F.length(key)))
 
@@ -70,22 +79,28 @@ def word_buckets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def first_weights(counts: np.ndarray) -> np.ndarray:
-    """TOPICS x BUCKETS: a bucket weighs by its rarity, for one topic."""
-    rarity = np.log((counts.sum() + 1.0) / (counts + 1.0))
-    return np.where(np.arange(BUCKETS)[None, :] % TOPICS == np.arange(TOPICS)[:, None], rarity, 0.0)
+    """By language, topic and bucket, from counts by language and bucket: a bucket weighs by its rarity
+    beside what is usual for a word of the language, for one topic."""
+    share = (counts + 1.0) / (counts + 1.0).sum(1, keepdims=True)
+    rarity = -np.log(share)
+    one = np.arange(BUCKETS)[None, :] % TOPICS == np.arange(TOPICS)[:, None]
+    weights = np.where(one[None], rarity[:, None, :], 0.0)
+    return weights - (weights * share[:, None, :]).sum(2, keepdims=True)
 
 
 def likely_weights(counts: np.ndarray) -> np.ndarray:
-    """Log frequencies of the buckets in each topic."""
+    """Log frequencies of the buckets in each topic of each language."""
     smooth = counts + 0.1
-    return np.log(smooth / smooth.sum(1, keepdims=True))
+    return np.log(smooth / smooth.sum(2, keepdims=True))
 
 
-def best_topics(weights: np.ndarray, buckets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+def best_topics(weights: np.ndarray, slots: np.ndarray, buckets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """The topic of each text, the first of equal ones, -1 for texts without words."""
-    of, n = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)), len(bounds) - 1
-    scores = np.stack([np.bincount(of, weights[t][buckets], n) for t in range(TOPICS)])
-    return np.where(np.diff(bounds) > 0, scores.argmax(0), -1)
+    n = np.diff(bounds)
+    of, at = np.repeat(np.arange(len(n)), n), np.repeat(slots * (TOPICS * BUCKETS), n) + buckets
+    flat = weights.reshape(-1)
+    scores = np.stack([np.bincount(of, flat[at + t * BUCKETS], len(n)) for t in range(TOPICS)])
+    return np.where(n > 0, scores.argmax(0), -1)
 
 
 def _coded(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -98,27 +113,25 @@ def _coded(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def learn_topics(coded: DataFrame) -> np.ndarray:
-    """The weights of the last round, from all rows (buckets)."""
+    """The weights of the last round, from all rows (slot, buckets)."""
     weights = None
     for _ in range(ROUNDS + 1):
         shared = coded.sparkSession.sparkContext.broadcast(weights)
 
         def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            w, counts = shared.value, np.zeros(TOPICS * BUCKETS, np.int64)
-            for batch in batches:
-                buckets, bounds = _coded(batch)
-                if w is None:
-                    counts += np.bincount(buckets, minlength=len(counts))
-                else:
-                    counts += np.bincount(np.repeat(best_topics(w, buckets, bounds), np.diff(bounds)) * BUCKETS + buckets, minlength=len(counts))
+            w, counts = shared.value, np.zeros(SLOTS * TOPICS * BUCKETS, np.int64)
+            for batch in chunks(batches, TEXTS):
+                slots, (buckets, bounds) = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), _coded(batch)
+                group = slots * TOPICS + (0 if w is None else np.maximum(best_topics(w, slots, buckets, bounds), 0))
+                counts += np.bincount(np.repeat(group, np.diff(bounds)) * BUCKETS + buckets, minlength=len(counts))
             some = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], names=["place", "n"])
 
-        found = map_arrow(coded.select("buckets"), count, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
-        counts = np.zeros(TOPICS * BUCKETS)
+        found = map_arrow(coded.select("slot", "buckets"), count, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+        counts = np.zeros(SLOTS * TOPICS * BUCKETS)
         counts[found.column("place").to_numpy()] = found.column("n").to_numpy()
-        counts = counts.reshape(TOPICS, BUCKETS)
-        weights = first_weights(counts.sum(0)) if weights is None else likely_weights(counts)
+        counts = counts.reshape(SLOTS, TOPICS, BUCKETS)
+        weights = first_weights(counts.sum(1)) if weights is None else likely_weights(counts)
         shared.unpersist()
     return weights
 
@@ -129,25 +142,25 @@ def learn_topics(coded: DataFrame) -> np.ndarray:
 def describe(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", topic_col: str | None = None, source_col: str = "source", lang_col: str = "lang") -> tuple[DataFrame, np.ndarray | None]:
     """doc_id, source, lang, topic (keys), n_tokens, draw of every row, written; and the topics' weights, None if a column has the topics."""
     topic = _key(F.col(topic_col)) if topic_col else F.lit("")
-    chosen = df.select(F.col(id_col).cast("long").alias("doc_id"), _key(F.col(source_col)).alias("source"), _key(F.col(lang_col)).alias("lang"), topic.alias("topic"), _draw(F.col(id_col), F.col(text_col)).alias("draw"), F.col(text_col).alias("text"))
+    chosen = df.select(F.col(id_col).cast("long").alias("doc_id"), _key(F.col(source_col)).alias("source"), _key(F.col(lang_col)).alias("lang"), topic.alias("topic"), _draw(F.col(id_col), F.col(text_col)).alias("draw"), _slot(F.col(lang_col)).alias("slot"), F.col(text_col).alias("text"))
     schema = "doc_id long, source string, lang string, topic string, draw double, n_tokens long"
     names = [x.split()[0] for x in schema.split(", ")]
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, TEXTS):
-            buckets, bounds = word_buckets(batch.column(5))
+            buckets, bounds = word_buckets(batch.column(6))
             coded = pa.BinaryArray.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((2 * bounds).astype(np.int32)), pa.py_buffer(buckets.astype("<u2"))])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(np.diff(bounds)), coded], names=[*names, "buckets"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(np.diff(bounds)), batch.column(5), coded], names=[*names, "slot", "buckets"])
 
-    coded = materialize(map_arrow(chosen, code, f"{schema}, buckets binary"), "coded")
+    coded = materialize(map_arrow(chosen, code, f"{schema}, slot int, buckets binary"), "coded")
     if topic_col:
-        return coded.drop("buckets"), None
+        return coded.drop("slot", "buckets"), None
     weights = learn_topics(coded)
     shared = df.sparkSession.sparkContext.broadcast(weights)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            topics = best_topics(shared.value, *_coded(batch))
+        for batch in chunks(batches, TEXTS):
+            topics = best_topics(shared.value, batch.column(6).to_numpy(zero_copy_only=False).astype(np.int64), *_coded(batch))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], _topic_keys(topics), *batch.columns[4:6]], names=names)
 
     placed = materialize(map_arrow(coded, place, schema), "described")
@@ -222,6 +235,7 @@ def _probabilities_local(cells: DataFrame, keep: float, targets: Targets | None)
         codes.append(code)
         goals.append(_rescaled(wanted * (share > 0), d))
     fitted = rake(has, codes, goals) if total else has
+    goals = [np.bincount(code, fitted, len(goal)) for code, goal in zip(codes, goals)]  # the targets, or as near as they can be met
     kept = rake_bounded(has, fitted, codes, goals, keep) if total else has
     p = np.minimum(1.0, np.divide(kept, has, out=np.ones(len(rows)), where=has > 0))
     out = [(*(r[d] for d in DIMENSIONS), float(f), float(x)) for r, f, x in zip(rows, fitted, p)]
@@ -254,7 +268,8 @@ def _probabilities_distributed(cells: DataFrame, keep: float, targets: Targets |
         discard(before, *steps)
         if worst < TOLERANCE:
             break
-    kept = _bounded_distributed(state, goals, keep)
+    met = {d: materialize(state.groupBy(d).agg(F.sum("has").alias("share"), F.sum("weight").alias("goal")).where("share > 0"), "goal") for d in DIMENSIONS}
+    kept = _bounded_distributed(state, met, keep)
     p = F.when(F.col("has") > 0, F.least(F.lit(1.0), F.col("u") / F.col("has"))).otherwise(1.0)
     return kept.select(*DIMENSIONS, "weight", p.alias("probability"))
 
@@ -327,14 +342,15 @@ def sample_documents(df: DataFrame, keep: float = KEEP, targets: Targets | None
     if topic_col:
         work = df.withColumn(topic, _key(F.col(topic_col)))
     else:
-        shared, place = df.sparkSession.sparkContext.broadcast(weights), df.columns.index(text_col)
+        shared, place, slot = df.sparkSession.sparkContext.broadcast(weights), df.columns.index(text_col), unused(df, "slot")
 
         def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in chunks(batches, TEXTS):
-                topics = best_topics(shared.value, *word_buckets(batch.column(place)))
-                yield pa.RecordBatch.from_arrays([*batch.columns, _topic_keys(topics)], names=[*batch.schema.names, topic])
+                slots = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).astype(np.int64)
+                topics = best_topics(shared.value, slots, *word_buckets(batch.column(place)))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], _topic_keys(topics)], names=[*batch.schema.names[:-1], topic])
 
-        work = df.mapInArrow(assign, StructType([*df.schema.fields, StructField(topic, StringType())]))
+        work = df.withColumn(slot, _slot(F.col(lang_col))).mapInArrow(assign, StructType([*df.schema.fields, StructField(topic, StringType())]))
     work, found = work.alias("docs"), found.alias("cells")
     own = lambda c: F.col(f"docs.`{c}`")
     same = (_key(own(source_col)) == F.col("cells.source")) & (_key(own(lang_col)) == F.col("cells.lang")) & (own(topic) == F.col("cells.topic"))

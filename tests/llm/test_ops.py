@@ -426,6 +426,59 @@ def test_toxicity_learns_words_and_keeps_clean_rows(spark, docs):
     assert clean.columns == docs([]).columns and clean.count() == sum(not got[i].predicted for i, _ in texts[400:])
 
 
+def brute_features(text):
+    """Distinct features by plain integers: words, pairs, and pairs with a word left out."""
+    full = (1 << 64) - 1
+
+    def mixed(x):
+        for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            x = (x ^ x >> 33) * factor & full
+        return (x ^ x >> 33) & (toxicity.DIMENSIONS - 1)
+
+    h = [int(hashed([w])[0]) for w in (text or "").encode().lower().split()]
+    p = 0x9E3779B97F4A7C15
+    return {mixed(x + 1 & full) for x in h} | {mixed(a * p + b + 2 & full) for a, b in zip(h, h[1:])} | {mixed(a * p + b + 3 & full) for a, b in zip(h, h[2:])}
+
+
+def test_toxicity_is_ftrl_proximal(spark, docs):
+    """Against FTRL-proximal coordinate by coordinate in dicts: null, empty, repeated rows and a very long text among them."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(9)
+    texts = [(i, " ".join([f"w{x}" for x in rng.integers(0, 30, 20)] + ["bad word"] * (i % 4 == 0))) for i in range(60)]
+    texts += [(60, None), (61, ""), (6, texts[6][1]), (6, texts[6][1]), (62, LONG), (63, "w1 w2")]
+    df = docs(texts).withColumn("toxic", F.when(documents_column("doc_id") != 63, (documents_column("doc_id") % 4 == 0).cast("int")))
+    turn = {r.doc_id: r.t for r in rows(df.withColumn("t", F.xxhash64("doc_id", F.lit("turn"))))}
+    sample = sorted(((turn[i], int(i % 4 == 0), np.array(sorted(brute_features(t)), "<u4").tobytes()) for i, t in texts if i != 63))
+    features = [np.frombuffer(f, "<u4").tolist() for _, _, f in sample]
+    seen = Counter(x for f in features for x in f)
+    features = [[x for x in f if seen[x] >= toxicity.MIN_TEXTS] for f in features]
+    labels = [y for _, y, _ in sample]
+    heavy = ((len(labels) - sum(labels)) / sum(labels)) ** 0.5
+    z, n, order = Counter(), Counter(), np.random.default_rng(7)
+
+    def weight(x):
+        if abs(z[x]) <= toxicity.L1:
+            return 0.0
+        return (math.copysign(toxicity.L1, z[x]) - z[x]) / ((toxicity.BETA + math.sqrt(n[x])) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(toxicity.EPOCHS[1]):
+        for i in order.permutation(len(labels)):
+            at = [*features[i], -1]
+            w = {x: weight(x) for x in at}
+            g = (heavy if labels[i] else 1.0) * (1 / (1 + math.exp(-sum(w.values()))) - labels[i])
+            for x in at:
+                z[x] += g - (math.sqrt(n[x] + g * g) - math.sqrt(n[x])) / toxicity.ALPHA * w[x]
+                n[x] += g * g
+    model = toxicity.fit(df)
+    want = {x: weight(x) for x in z if x >= 0 and weight(x)}
+    assert dict(zip(model.at.tolist(), model.weights)) == pytest.approx(want) and model.bias == pytest.approx(weight(-1))
+    got = Counter((r.doc_id, round(r.score, 5)) for r in rows(toxicity.score_toxicity(df, model)))
+    assert got == Counter((i, round(1 / (1 + math.exp(-weight(-1) - sum(want.get(x, 0.0) for x in brute_features(t)))), 5)) for i, t in texts)
+    kept = toxicity.keep_clean(df, model)
+    assert kept.columns == df.columns and kept.count() == sum(c for (_, s), c in got.items() if s < 0.5)
+
+
 def documents_column(name):
     from pyspark.sql import functions as F
 
