@@ -19,8 +19,11 @@ from pyspark.sql import functions as F
 
 #: Rows of a batch that are held as Python objects at once.
 CHUNK = 256
-#: Texts whose words are numbered together.
-TEXTS = 2048
+#: Texts whose words are numbered together, and their bytes, unless one text alone has more.
+TEXTS, TEXT_BYTES = 2048, 4 << 20
+#: Rows of a batch between the JVM and a worker, and its bytes, where the session leaves Spark's defaults:
+#: both sides hold several batches for every task.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2048"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "16m")}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -119,13 +122,26 @@ def trim() -> None:
 
 
 def chunks(batches: Iterator[pa.RecordBatch], size: int = CHUNK, owner: str | None = None) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of so many rows, and TEXT_BYTES of their largest column, at most."""
     release(owner)
     for batch in batches:
-        for at in range(0, batch.num_rows, size):
-            yield batch.slice(at, size)
+        at, ends = 0, _ends(batch)
+        while at < batch.num_rows:
+            until = min(at + size, max(at + 1, int(np.searchsorted(ends, ends[at] + TEXT_BYTES, "right")) - 1))
+            yield batch.slice(at, until - at)
+            at = until
     trim()
 
 
+def _ends(batch: pa.RecordBatch) -> np.ndarray:
+    """Where each row's part of the batch's largest column of texts begins, one more for the end of the last."""
+    texts = [c for c in batch.columns if pa.types.is_string(c.type) or pa.types.is_binary(c.type)]
+    if not texts:
+        return np.zeros(batch.num_rows + 1, np.int64)
+    column = max(texts, key=lambda c: c.nbytes)
+    return np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + batch.num_rows + 1].astype(np.int64)
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """Texts as UTF-8; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
@@ -192,7 +208,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def map_arrow(df: DataFrame, f: Callable, schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, f: Callable, schema) -> DataFrame:
+    conf = df.sparkSession.conf
+    for key, (default, ours) in BATCH.items():
+        if conf.get(key) == default:
+            conf.set(key, ours)
     return df.mapInArrow(f, schema)
 
 

@@ -14,11 +14,12 @@ back to the documents by a join on the cell, broadcast only below that bound. Al
 partial before it shuffles, so a source that holds a third of all rows is one row per task.
 
 A table without topics gets them from its words: every word of a text counts, hashed into
-BUCKETS, and a text's topic is the one of TOPICS under whose word frequencies it is likeliest.
-They are learned from all texts, in ROUNDS of counting the words by the topics of the last round;
-at first a word speaks for the topic that its bucket's number gives, by how rare it is. Languages
-have topics of their own, numbered alike (languages whose hashes agree in their last four bits share
-them): otherwise the topics would be the languages, and no weights could meet both targets.
+BUCKETS. A bucket speaks for one of TOPICS, the one that its number gives, by how rare its words are
+in the text's language, which is counted over all texts; a text's topic is the one that its words
+speak for most, beyond what usual words of the language would. (Languages whose hashes agree in
+their last four bits are counted together.) So a topic is a class of texts with rare words in common,
+spread over all languages; topics that were the languages once more, as frequent words
+make them, could not be weighted apart from these. Pass topic_col to use real ones.
 
 Targets can still contradict each other. Then raking ends at its last step, and its marginals, which
 are as near to the targets as it comes, are those that the sample meets."""
@@ -36,7 +37,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from ledgerlake.llm.common import TEXTS, chunks, discard, documents, hashed, map_arrow, materialize, numbered_words, unused
 
 DIMENSIONS = ("source", "lang", "topic")
-TOPICS, BUCKETS, ROUNDS, SLOTS = 8, 1 << 12, 2, 16
+TOPICS, BUCKETS, SLOTS = 8, 1 << 13, 16
 MAX_CELLS = 20_000
 STEPS, TOLERANCE = 50, 1e-9
 #: With the bound: marginals agree to a ten-thousandth of each; if STEPS do not get there, keep shrinks so.
@@ -78,29 +79,21 @@ def word_buckets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (hashed(distinct) >> np.uint64(20)).astype(np.int64)[number] % BUCKETS, bounds
 
 
-def first_weights(counts: np.ndarray) -> np.ndarray:
-    """By language, topic and bucket, from counts by language and bucket: a bucket weighs by its rarity
-    beside what is usual for a word of the language, for one topic."""
+def topic_weights(counts: np.ndarray) -> np.ndarray:
+    """By language and bucket, from counts by language and bucket: a bucket's rarity; and by language and
+    topic, what a usual word of the language gives the topic."""
     share = (counts + 1.0) / (counts + 1.0).sum(1, keepdims=True)
     rarity = -np.log(share)
-    one = np.arange(BUCKETS)[None, :] % TOPICS == np.arange(TOPICS)[:, None]
-    weights = np.where(one[None], rarity[:, None, :], 0.0)
-    return weights - (weights * share[:, None, :]).sum(2, keepdims=True)
-
-
-def likely_weights(counts: np.ndarray) -> np.ndarray:
-    """Log frequencies of the buckets in each topic of each language."""
-    smooth = counts + 0.1
-    return np.log(smooth / smooth.sum(2, keepdims=True))
+    usual = (rarity * share).reshape(SLOTS, BUCKETS // TOPICS, TOPICS).sum(1)
+    return np.concatenate([rarity, usual], axis=1)
 
 
 def best_topics(weights: np.ndarray, slots: np.ndarray, buckets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """The topic of each text, the first of equal ones, -1 for texts without words."""
     n = np.diff(bounds)
-    of, at = np.repeat(np.arange(len(n)), n), np.repeat(slots * (TOPICS * BUCKETS), n) + buckets
-    flat = weights.reshape(-1)
-    scores = np.stack([np.bincount(of, flat[at + t * BUCKETS], len(n)) for t in range(TOPICS)])
-    return np.where(n > 0, scores.argmax(0), -1)
+    rarity = weights[:, :BUCKETS].reshape(-1)[np.repeat(slots * BUCKETS, n) + buckets]
+    scores = np.bincount(np.repeat(np.arange(len(n)) * TOPICS, n) + buckets % TOPICS, rarity, len(n) * TOPICS).reshape(len(n), TOPICS)
+    return np.where(n > 0, (scores - n[:, None] * weights[slots, BUCKETS:]).argmax(1), -1) if len(n) else np.zeros(0, np.int64)
 
 
 def _coded(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -113,27 +106,20 @@ def _coded(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def learn_topics(coded: DataFrame) -> np.ndarray:
-    """The weights of the last round, from all rows (slot, buckets)."""
-    weights = None
-    for _ in range(ROUNDS + 1):
-        shared = coded.sparkSession.sparkContext.broadcast(weights)
+    """topic_weights of all rows (slot, buckets)."""
 
-        def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            w, counts = shared.value, np.zeros(SLOTS * TOPICS * BUCKETS, np.int64)
-            for batch in chunks(batches, TEXTS):
-                slots, (buckets, bounds) = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), _coded(batch)
-                group = slots * TOPICS + (0 if w is None else np.maximum(best_topics(w, slots, buckets, bounds), 0))
-                counts += np.bincount(np.repeat(group, np.diff(bounds)) * BUCKETS + buckets, minlength=len(counts))
-            some = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], names=["place", "n"])
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(SLOTS * BUCKETS, np.int64)
+        for batch in chunks(batches, TEXTS):
+            slots, (buckets, bounds) = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), _coded(batch)
+            counts += np.bincount(np.repeat(slots * BUCKETS, np.diff(bounds)) + buckets, minlength=len(counts))
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], names=["place", "n"])
 
-        found = map_arrow(coded.select("slot", "buckets"), count, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
-        counts = np.zeros(SLOTS * TOPICS * BUCKETS)
-        counts[found.column("place").to_numpy()] = found.column("n").to_numpy()
-        counts = counts.reshape(SLOTS, TOPICS, BUCKETS)
-        weights = first_weights(counts.sum(1)) if weights is None else likely_weights(counts)
-        shared.unpersist()
-    return weights
+    found = map_arrow(coded.select("slot", "buckets"), count, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(SLOTS * BUCKETS)
+    counts[found.column("place").to_numpy()] = found.column("n").to_numpy()
+    return topic_weights(counts.reshape(SLOTS, BUCKETS))
 
 
 # --- cells
@@ -350,7 +336,7 @@ def sample_documents(df: DataFrame, keep: float = KEEP, targets: Targets | None
                 topics = best_topics(shared.value, slots, *word_buckets(batch.column(place)))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], _topic_keys(topics)], names=[*batch.schema.names[:-1], topic])
 
-        work = df.withColumn(slot, _slot(F.col(lang_col))).mapInArrow(assign, StructType([*df.schema.fields, StructField(topic, StringType())]))
+        work = map_arrow(df.withColumn(slot, _slot(F.col(lang_col))), assign, StructType([*df.schema.fields, StructField(topic, StringType())]))
     work, found = work.alias("docs"), found.alias("cells")
     own = lambda c: F.col(f"docs.`{c}`")
     same = (_key(own(source_col)) == F.col("cells.source")) & (_key(own(lang_col)) == F.col("cells.lang")) & (own(topic) == F.col("cells.topic"))

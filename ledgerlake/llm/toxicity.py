@@ -182,7 +182,7 @@ def keep_clean(df: DataFrame, model: Model, threshold: float = 0.5, text_col: st
         for batch in chunks(batches, TEXTS):
             yield batch.filter(pa.array(scorer.scores(batch.column(place)) < threshold))
 
-    return df.mapInArrow(keep, schema)
+    return map_arrow(df, keep, schema)
 
 
 def training_sample(spark: SparkSession, docs: DataFrame, sf_dir: str, per_label: int = MAX_PER_LABEL) -> DataFrame:

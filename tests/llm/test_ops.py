@@ -375,14 +375,39 @@ def test_mixing_kept_tokens_meet_the_marginals(spark):
         assert 0.7 * min(mixing.KEEP, reach) < kept / total < mixing.KEEP + 1e-3
 
 
-def test_topics_come_from_the_whole_text(spark, docs):
-    """Two subjects, told apart by words at the end of texts that begin alike."""
+def test_topics_come_from_the_whole_text(spark):
+    """Against the definition word by word; the last words of texts that begin alike decide."""
     rng = np.random.default_rng(8)
-    subject = lambda k: [f"s{k}w{x}" for x in rng.integers(0, 40, 60)]
-    texts = [(i, " ".join([f"c{x}" for x in rng.integers(0, 30, 40)] + subject(i % 2))) for i in range(300)]
-    topics = {r.doc_id: r.topic for r in rows(mixing.mix(docs(texts)))}
-    by = [Counter(t for i, t in topics.items() if i % 2 == k) for k in (0, 1)]
-    assert not by[0].keys() & by[1].keys() or sum(min(by[0][t], by[1][t]) for t in by[0]) < 15
+    texts = {i: " ".join([f"c{x}" for x in rng.integers(0, 30, 40)] + [f"w{x}" for x in rng.integers(0, 90, 30)]) for i in range(200)} | {200: "", 201: None, 202: LONG}
+    lang = {i: (None, "en", "de")[i % 3] for i in texts}
+    df = spark.createDataFrame([(i, t, lang[i], "s") for i, t in texts.items()], "doc_id long, text string, lang string, source string")
+    described, _ = mixing.describe(df)
+    from pyspark.sql import functions as F
+
+    slots = {r.lang: r.slot for r in rows(df.select("lang", mixing._slot(F.col("lang")).alias("slot")).distinct())}
+    bucket = lambda w: (int(hashed([w.encode()])[0]) >> 20) % mixing.BUCKETS
+    counts = Counter((slots[lang[i]], bucket(w)) for i, t in texts.items() for w in (t or "").split())
+    total = {s_: sum(n for (x, _), n in counts.items() if x == s_) + mixing.BUCKETS for s_ in slots.values()}
+    share = lambda s_, b: (counts[s_, b] + 1) / total[s_]
+    usual = {s_: [sum(-math.log(share(s_, b)) * share(s_, b) for b in range(t, mixing.BUCKETS, mixing.TOPICS)) for t in range(mixing.TOPICS)] for s_ in slots.values()}
+    want = {}
+    for i, t in texts.items():
+        s_, w = slots[lang[i]], (t or "").split()
+        score = [-len(w) * u for u in usual[s_]]
+        for x in w:
+            score[bucket(x) % mixing.TOPICS] -= math.log(share(s_, bucket(x)))
+        want[i] = f"={max(range(mixing.TOPICS), key=lambda k: score[k])}" if w else ""
+    assert {r.doc_id: r.topic for r in rows(described)} == want and len(set(want.values())) > 3
+
+
+def test_batches_are_cut_by_rows_and_bytes():
+    from ledgerlake.llm import common
+
+    texts = pa.array(["x" * n for n in (10, common.TEXT_BYTES + 5, 3, 4, common.TEXT_BYTES - 7, 1, 0)])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9)).slice(1, 7), texts], names=["i", "t"])
+    cut = [b.column(0).to_pylist() for b in common.chunks(iter([batch, batch.slice(5)]), 3)]
+    assert cut == [[1], [2], [3, 4, 5], [6, 7], [6, 7]]
+    assert [b.num_rows for b in common.chunks(iter([batch.select(["i"])]), 2)] == [2, 2, 2, 1]
 
 
 def test_mixing_edge_cases(spark, docs):
