@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import hashlib
-import hmac
+import unicodedata
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -67,14 +66,22 @@ def rule_category(description: Column, rules: Sequence[tuple[str, str]] = CATEGO
     return out
 
 
+def _accented() -> tuple[str, str]:
+    """Latin letters that decompose to an ASCII letter and marks, and those letters."""
+    plain = {chr(c): unicodedata.normalize("NFKD", chr(c))[:1] for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))}
+    pairs = [(c, p) for c, p in plain.items() if c != p and p.isascii() and p.isalpha()]
+    return "".join(c for c, _ in pairs), "".join(p for _, p in pairs)
+
+
 def fold_accents(c: Column) -> Column:
-    return F.translate(c, "áéíóúüñÁÉÍÓÚÜÑ", "aeiouunAEIOUUN")
+    return F.translate(F.regexp_replace(c, r"\p{M}+", ""), *_accented())
 
 
 def currency_word(c: Column) -> Column:
-    """USD or PEN by the word that names it; null if neither is found."""
+    """USD or PEN by a word that begins like its name, its code or its sign, whatever the case and
+    accents; null if there is none. USD goes first."""
     plain = F.upper(fold_accents(c))
-    return F.when(plain.rlike("DOLAR|US\\$|USD"), "USD").when(plain.rlike("SOL|S/|PEN"), "PEN")
+    return F.when(plain.rlike(r"(?U)(?:^|\s)(?:DOLAR|USD|US\$)"), "USD").when(plain.rlike(r"(?U)(?:^|\s)(?:SOL|PEN|S/)"), "PEN")
 
 
 def parse_money(c: Column) -> Column:
@@ -99,22 +106,36 @@ def last4(number: Column) -> Column:
     return F.right(F.regexp_replace(number, r"\D", ""), F.lit(4))
 
 
-def account_id(key: bytes):
-    """Keyed account identity: HMAC-SHA256 over bank, a zero byte and the number. Not built in."""
+def hmac_sha256(key: bytes, message: Column) -> Column:
+    """Keyed hash of a binary column as hex: two hashes over the key, xor-ed with constant pads, and the message."""
+    block = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    padded = lambda pad, data: F.sha2(F.concat(F.lit(bytes(x ^ pad for x in block)), data), 256)
+    return padded(0x5C, F.unhex(padded(0x36, message)))
 
-    @F.pandas_udf("string")
-    def of(bank: pd.Series, number: pd.Series) -> pd.Series:
-        return pd.Series([hmac.new(key, f"{b}\0{n}".encode(), hashlib.sha256).hexdigest() for b, n in zip(bank, number)])
 
-    return of
+def account_id(key: bytes, bank: Column, number: Column) -> Column:
+    """Keyed account identity: over bank, a zero byte and the number."""
+    return hmac_sha256(key, F.concat(F.encode(bank, "UTF-8"), F.lit(b"\0"), F.encode(number, "UTF-8")))
 
 
 def identity_key(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", *(p.cast("string") for p in parts)), 256)
 
 
-def dated_in_period(day: Column, month: Column, period_start: Column, period_end: Column) -> Column:
-    """The date with that day and month in the statement's period: a month after the period's
-    last month belongs to the year before."""
-    year = F.year(period_end)
-    return F.make_date(F.when(month > F.month(period_end), year - 1).otherwise(year), month, day)
+def _real_date(year: Column, month: Column, day: Column) -> Column:
+    """The date, null if the month has no such day."""
+    first = F.make_date(year, month, F.lit(1))
+    return F.when(day.between(1, F.day(F.last_day(first))), F.date_add(first, (day - 1).cast("int")))
+
+
+def dated_by_start(day: Column, month: Column, period_start: Column, period_end: Column) -> Column:
+    """The date of a row that prints day and month, in a statement whose period may cross new year:
+    months from the period's first on are of its first year, others of its last."""
+    return _real_date(F.when(month >= F.month(period_start), F.year(period_start)).otherwise(F.year(period_end)), month, day)
+
+
+def dated_inside(day: Column, month: Column, period_start: Column, period_end: Column) -> Column:
+    """The date with that day and month that lies inside the period, in the year it begins or ends; null
+    if neither does: such a statement is to be refused (ingest.outside_period)."""
+    tried = [_real_date(F.year(p), month, day) for p in (period_start, period_end)]
+    return F.coalesce(*(F.when(d.between(period_start, period_end), d) for d in tried))

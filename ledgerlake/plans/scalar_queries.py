@@ -125,28 +125,44 @@ def account_identity(spark, sf_dir):
     return c.select("c_custkey", S.last4(F.concat("c_name", F.lit("-99"), F.col("c_custkey").cast("string"))).alias("account_last4"), S.identity_key(F.col("c_name"), F.col("c_nationkey")).alias("identity"))
 
 
-@query()
+_KEY = b"test key"
+_PADS = ["".join(f"\\x{x ^ pad:02X}" for x in _KEY.ljust(64, b"\0")) for pad in (0x36, 0x5C)]
+
+
+@query(f"""select c_custkey, sha256('{_PADS[1]}'::blob || unhex(sha256('{_PADS[0]}'::blob || encode('bank_a') || '\\x00'::blob || encode(c_name)))) as account_id from customer""")
 def account_hmac(spark, sf_dir):
-    """Keyed identity; a hash with a key is not in SQL."""
-    of = S.account_id(b"test key")
-    return X.table(spark, sf_dir, "customer").select("c_custkey", of(F.lit("bank_a"), F.col("c_name")).alias("account_id"))
+    """Keyed identity, by the definition of HMAC."""
+    return X.table(spark, sf_dir, "customer").select("c_custkey", S.account_id(_KEY, F.lit("bank_a"), F.col("c_name")).alias("account_id"))
+
+
+_MONEDAS = ("CUENTA EN DÓLARES", "Soles", "S/ 10.00", "US$ 5", "saldo consolidado", "opening balance", "otra moneda", "usd pen", "Pen", "INSOLES", "SÓLES ahorro", "dólar")
 
 
-@query("""select c_custkey, translate(w, 'áéíóúñ', 'aeioun') as plain, case when regexp_matches(upper(translate(w, 'áéíóúñ', 'aeioun')), 'DOLAR|US\\$|USD') then 'USD'
-    when regexp_matches(upper(translate(w, 'áéíóúñ', 'aeioun')), 'SOL|S/|PEN') then 'PEN' end as currency
-from (select c_custkey, case c_custkey % 4 when 0 then 'Dólares' when 1 then 'soles' when 2 then 'S/ 10' else 'otra moneda' end as w from customer)""")
+@query(f"""with t as (select c_custkey, (array{list(_MONEDAS)})[cast(c_custkey % 12 + 1 as int)] as w from customer),
+words as (select c_custkey, strip_accents(w) as plain, string_split_regex(upper(strip_accents(w)), '\\s+') as words from t)
+select c_custkey, plain, case when len(list_filter(words, lambda x: starts_with(x, 'DOLAR') or starts_with(x, 'USD') or starts_with(x, 'US$'))) > 0 then 'USD'
+    when len(list_filter(words, lambda x: starts_with(x, 'SOL') or starts_with(x, 'PEN') or starts_with(x, 'S/'))) > 0 then 'PEN' end as currency from words""")
 def currency_words(spark, sf_dir):
-    k = F.col("c_custkey") % 4
-    w = F.when(k == 0, "Dólares").when(k == 1, "soles").when(k == 2, "S/ 10").otherwise("otra moneda")
+    """By the beginnings of words: CONSOLIDADO and OPENING name no currency."""
+    w = F.element_at(F.array(*map(F.lit, _MONEDAS)), (F.col("c_custkey") % 12 + 1).cast("int"))
     return X.table(spark, sf_dir, "customer").select("c_custkey", S.fold_accents(w).alias("plain"), S.currency_word(w).alias("currency"))
 
 
-@query("""select o_orderkey, make_date(cast(case when m > month(pe) then year(pe) - 1 else year(pe) end as bigint), cast(m as bigint), cast(d as bigint)) as row_date
-from (select o_orderkey, o_orderkey % 12 + 1 as m, o_orderkey % 28 + 1 as d, cast(o_orderdate as date) as pe from orders)""")
+@query("""with t as (select o_orderkey, cast(o_orderdate as date) as a, cast(o_orderdate as date) + cast(20 + o_orderkey % 50 as integer) as b,
+    cast(o_orderdate as date) + cast(case when o_orderkey % 13 = 0 then 150 else o_orderkey % (21 + o_orderkey % 50) end as integer) as real from orders),
+days as (select o_orderkey, cast(unnest(generate_series(cast(a as timestamp), cast(b as timestamp), interval 1 day)) as date) as day, month(real) as m, day(real) as d from t),
+inside as (select o_orderkey, min(day) as found from days where month(day) = m and day(day) = d group by 1)
+select t.o_orderkey, inside.found as row_date, cast(case when month(real) >= month(a) then year(a) else year(b) end as bigint) as year_by_start
+from t left join inside using (o_orderkey)""")
 def statement_year_inference(spark, sf_dir):
-    pe = F.to_date("o_orderdate")
-    row = S.dated_in_period((F.col("o_orderkey") % 28 + 1).cast("int"), (F.col("o_orderkey") % 12 + 1).cast("int"), pe, pe)
-    return X.table(spark, sf_dir, "orders").select("o_orderkey", row.alias("row_date"))
+    """Rows that print day and month, in periods of 20 to 69 days, many across new year; those of residue 13 lie outside."""
+    k, a = F.col("o_orderkey"), F.to_date("o_orderdate")
+    length = (20 + k % 50).cast("int")
+    real = F.date_add(a, F.when(k % 13 == 0, 150).otherwise(k % (length + 1)).cast("int"))
+    t = X.table(spark, sf_dir, "orders").select("o_orderkey", a.alias("a"), F.date_add(a, length).alias("b"), F.day(real).alias("d"), F.month(real).alias("m"))
+    # the day's place does not matter to the year, and a 29th of February may not be in the year found
+    by_start = S.dated_by_start(F.least(F.col("d"), F.lit(28)), F.col("m"), F.col("a"), F.col("b"))
+    return t.select("o_orderkey", S.dated_inside(F.col("d"), F.col("m"), F.col("a"), F.col("b")).alias("row_date"), F.year(by_start).cast("long").alias("year_by_start"))
 
 
 @query("""with bounds as (select cast(date_trunc('month', min(o_orderdate)) as date) as a, cast(last_day(max(o_orderdate)) as date) as b from orders)
