@@ -12,12 +12,13 @@ from ledgerlake.sources.scratch import folder
 from ledgerlake.sources.tables import Lake
 
 _ROWS = StructType([StructField("user_id", StringType()), StructField("event_id", LongType()), StructField("source_file", StringType()), StructField("date", DateType()), StructField("cents", LongType())])
+_RUNS = StructType([StructField("user_id", StringType()), StructField("event_id", LongType()), StructField("run_month", DateType()), StructField("cents", LongType())])
 _FILES = StructType([StructField("user_id", StringType()), StructField("file_sha256", StringType()), StructField("ingested_at", DateType())])
 _M = "with" + X.MOVEMENTS + ", m as (select user_id, event_id, source_file, date, cents from movements)"
 
 
 def lake(spark) -> Lake:
-    return Lake(spark, folder(spark, "lake"), {"rows": _ROWS, "other": _ROWS, "ingested_files": _FILES})
+    return Lake(spark, folder(spark, "lake"), {"rows": _ROWS, "other": _ROWS, "runs": _RUNS, "ingested_files": _FILES})
 
 
 def rows(spark, sf_dir):
@@ -60,6 +61,52 @@ def lake_replace_users(spark, sf_dir):
     return t.read("rows").unionByName(t.read("other"))
 
 
+@query(_M + """, new as (select user_id, event_id, source_file, date, cents + 7 as cents from m where event_id % 30 = 4)
+select * from m where not exists (select 1 from new where new.user_id = m.user_id and date_trunc('month', new.date) = date_trunc('month', m.date) and new.date = m.date) union all select * from new""")
+def lake_replace_by_day(spark, sf_dir):
+    """By a key of dates: a user's rows of the days that come again are replaced, others stay."""
+    t, m = lake(spark), rows(spark, sf_dir)
+    t.append("rows", m)
+    t.replace_by_key("rows", m.where("event_id % 30 = 4").withColumn("cents", F.col("cents") + 7), ["date"])
+    return t.read("rows")
+
+
+_RUN_M = "with" + X.MOVEMENTS + ", m as (select user_id, event_id, cast(date_trunc('month', date) as date) as run_month, cents from movements)"
+
+
+def _runs(spark, sf_dir):
+    return X.movements(spark, sf_dir).select("user_id", "event_id", F.trunc("date", "MM").alias("run_month"), "cents")
+
+
+@query(_RUN_M + """, new as (select user_id, event_id, run_month, -cents as cents from m where event_id % 40 = 9)
+select * from m where not exists (select 1 from new where new.user_id = m.user_id and new.run_month = m.run_month) union all select * from new""")
+def lake_replace_by_run(spark, sf_dir):
+    t, m = lake(spark), _runs(spark, sf_dir)
+    t.append("runs", m)
+    t.replace_by_key("runs", m.where("event_id % 40 = 9").withColumn("cents", -F.col("cents")), ["run_month"])
+    return t.read("runs")
+
+
+@query(_RUN_M + " select * from m where not (user_id = 'u3' and run_month = (select min(run_month) from m)) and user_id <> 'u5'")
+def lake_delete_run(spark, sf_dir):
+    """A user's run, then all runs of another user."""
+    t, m = lake(spark), _runs(spark, sf_dir)
+    t.append("runs", m)
+    first = m.agg(F.min("run_month")).first()[0]
+    t.delete("runs", (F.col("user_id") == "u3") & (F.col("run_month") == F.lit(first)))
+    t.delete("runs", F.col("user_id") == "u5")
+    return t.read("runs")
+
+
+@query(_M + " select * from m where event_id % 3 = 1")
+def lake_rebuild(spark, sf_dir):
+    """The whole table anew: users who have no rows any more are gone."""
+    t, m = lake(spark), rows(spark, sf_dir)
+    t.append("rows", m)
+    t.rebuild("rows", m.where("event_id % 3 = 1"))
+    return t.read("rows")
+
+
 @query(_M + " select user_id, source_file as file_sha256, min(date) as ingested_at from m group by 1, 2")
 def lake_register_files(spark, sf_dir):
     """Files are registered once, whatever comes again."""
@@ -81,19 +128,19 @@ _HEADERS = (("date", 1.0), ("description", 12.0), ("amount", 34.0))
 
 
 @query("""with h as (select * from (values ('date', 1.0), ('description', 12.0), ('amount', 34.0)) t(name, x)),
-w as (select distinct l_orderkey, l_linenumber, l_quantity - 6 as x0 from lineitem)
+w as (select l_orderkey, l_linenumber, l_quantity - 6 as x0 from lineitem)
 select l_orderkey, l_linenumber, x0, (select max_by(name, x) from h where x0 >= x - 5) as "column" from w""")
 def statement_columns(spark, sf_dir):
-    """Words to the last header that starts at most the slack to their right."""
-    words = X.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") - 6).alias("x0"), F.lit("d").alias("document")).distinct()
+    """Words to the last header that starts at most the slack to their right; words that are alike stay as many."""
+    words = X.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") - 6).alias("x0"), F.lit("d").alias("document"))
     headers = spark.createDataFrame([("d", *h) for h in _HEADERS], "document string, column string, header_x double")
     return W.assign_columns(words, headers, ["document"]).drop("document")
 
 
 @query()
 def statement_lines(spark, sf_dir):
-    """Each boundary depends on the line before; tests have the cases."""
-    words = X.table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 200).alias("page"), (F.col("l_extendedprice") % 800).alias("top"), F.col("l_quantity").alias("x0"), F.col("l_linenumber").cast("string").alias("text"))
+    """Each boundary depends on the line before; tests have the cases. A page is an order, so pages stay small as tables grow."""
+    words = X.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), (F.col("l_extendedprice") % 800).alias("top"), F.col("l_quantity").alias("x0"), F.col("l_linenumber").cast("string").alias("text"))
     return W.group_lines(words, ["page"]).groupBy("page").agg((F.max("line") + 1).alias("lines"), F.count("*").alias("n_words"))
 
 

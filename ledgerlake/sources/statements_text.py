@@ -30,10 +30,19 @@ def group_lines(words: DataFrame, document: list[str], tolerance: float = LINE_T
 
 def assign_columns(words: DataFrame, headers: DataFrame, document: list[str], slack: float = COLUMN_SLACK) -> DataFrame:
     """Each word's column: the last header (document..., column, header_x) that starts at most slack
-    to the right of the word; null left of all headers."""
-    joined = words.join(headers, [*document], "left")
-    fits = F.col("x0") >= F.col("header_x") - slack
-    return joined.groupBy(*words.columns).agg(F.max_by(F.when(fits, F.col("column")), F.when(fits, F.col("header_x"))).alias("column"))
+    to the right of the word; null left of all headers. A document's headers are one sorted array,
+    looked up by row, so words are neither multiplied nor merged."""
+    lists = headers.groupBy(*document).agg(F.sort_array(F.collect_list(F.struct("header_x", "column"))).alias("__headers"))
+    left = F.filter("__headers", lambda h: F.col("x0") >= h["header_x"] - slack)
+    return words.join(lists, [*document], "left").withColumn("column", F.try_element_at(left, F.lit(-1))["column"]).drop("__headers")
+
+
+def nearest_column(words: DataFrame, headers: DataFrame, document: list[str]) -> DataFrame:
+    """Each amount's column where amounts are right-aligned: the header (document..., column, edge)
+    whose right edge is nearest to the word's x1; of two as near the one further left."""
+    lists = headers.groupBy(*document).agg(F.sort_array(F.collect_list(F.struct("edge", "column"))).alias("__headers"))
+    near = F.array_min(F.transform("__headers", lambda h: F.struct(F.abs(h["edge"] - F.col("x1")).alias("d"), h["edge"].alias("e"), h["column"].alias("column"))))
+    return words.join(lists, [*document], "left").withColumn("column", near["column"]).drop("__headers")
 
 
 def detect_format(content):
@@ -41,6 +50,16 @@ def detect_format(content):
     return F.when(F.substring(content, 1, 4) == F.lit(b"%PDF"), "pdf").when(F.substring(content, 1, 2) == F.lit(b"PK"), "xlsx").otherwise("unknown")
 
 
+def dispatch(files: DataFrame, parsers: list[tuple[str, str | None]]) -> DataFrame:
+    """files (content, hint, opens: the parsers whose password opens the file) with parser: the first in
+    the order of parsers (name, marker) whose marker the text contains; else the hinted one, if it is a
+    parser; else the first of those without a marker whose password opens the file; else null, and the file is refused."""
+    content, names = F.col("text"), [n for n, _ in parsers]
+    seen = [F.when(F.contains(content, F.lit(m)), n) for n, m in parsers if m is not None]
+    opened = [F.when(F.array_contains("opens", n), n) for n, m in parsers if m is None]
+    return files.withColumn("parser", F.coalesce(*seen, F.when(F.col("hint").isin(names), F.col("hint")), *opened, F.lit(None).cast("string")))
+
+
 def column_lineage(edges: DataFrame, roots: DataFrame, max_depth: int = 20) -> DataFrame:
     """All paths (path array, leaf) from roots (node) along edges (upstream, downstream); a node
     is visited once per path, so cycles end."""

@@ -1,8 +1,11 @@
 """Reading and maintaining partitioned tables of a lake folder.
 
-Tables are Parquet, partitioned by user_id. A table without a transaction log cannot delete
-rows in place: a replacement writes the partitions that it touches anew, below a staging
-folder, and swaps them in by rename, so a failed job leaves the table as it was."""
+Tables are Parquet, partitioned by user_id. A table without a transaction log cannot delete rows
+in place: a replacement writes the partitions that it touches anew in a folder of its own (a swap),
+then moves the old ones aside and the new ones in. A failure before the swap is complete
+leaves the table as it was; one after that is made good by recover, which goes on where the
+moves stopped, so the table is never without the old or the new rows for good. One writer at a time
+is assumed; a reader during the moves may find partitions missing."""
 
 from __future__ import annotations
 
@@ -40,50 +43,85 @@ class Lake:
         return df.select(*(columns or schema.names))
 
     def _typed(self, name: str, rows: DataFrame) -> DataFrame:
-        return rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schemas[name]))
+        """The rows with the table's columns and types. A row without a user is refused: it has no partition."""
+        user = F.when(F.col("user_id").isNull(), F.raise_error(F.lit("a row has no user_id"))).otherwise(F.col("user_id"))
+        typed = rows.withColumn("user_id", user) if "user_id" in self.schemas[name].names else rows
+        return typed.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schemas[name]))
 
     def append(self, name: str, rows: DataFrame) -> None:
         self._typed(name, rows).write.mode("append").partitionBy(*self.partition).parquet(self.path(name))
 
-    def _swap(self, name: str, rows: DataFrame, users: list[str]) -> None:
-        """Put rows in place of these users' partitions; a user without rows loses theirs."""
+    def _mark(self, file: str) -> None:
         path, fs = self._fs()
-        staging = f"{self.root}/_staging-{uuid.uuid4().hex}"
-        rows.write.partitionBy(*self.partition).parquet(staging)
-        for user in users:
-            part = f"user_id={self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(user)}"
-            old, new = path(f"{self.path(name)}/{part}"), path(f"{staging}/{part}")
-            if fs.exists(old):
-                fs.delete(old, True)
-            if fs.exists(new):
-                fs.mkdirs(path(self.path(name)))
-                fs.rename(new, old)
-        fs.delete(path(staging), True)
-
-    def _users(self, *tables: DataFrame) -> list[str]:
-        users = tables[0].select("user_id")
-        for t in tables[1:]:
-            users = users.unionByName(t.select("user_id"))
-        return [r[0] for r in users.where("user_id is not null").distinct().collect()]
+        fs.create(path(file)).close()
+
+    def _folders(self, folder: str) -> list[str]:
+        """Names of the partitions below a folder."""
+        path, fs = self._fs()
+        return [x.getPath().getName() for x in fs.listStatus(path(folder)) if x.isDirectory()] if fs.exists(path(folder)) else []
+
+    def _swap(self, name: str, rows: DataFrame, touched: DataFrame | None) -> None:
+        """Put rows in place of the partitions of the touched (user_id), who lose theirs if they have no
+        rows; of the whole table if touched is None. Which they are is written as folders, not collected."""
+        self.recover()
+        swap = f"{self.root}/_swap-{name}-{uuid.uuid4().hex}"
+        rows.write.partitionBy(*self.partition).parquet(f"{swap}/new")
+        if touched is not None:
+            touched.select("user_id", F.lit(1).alias("touched")).distinct().write.partitionBy("user_id").parquet(f"{swap}/touched")
+        self._mark(f"{swap}/READY")
+        self._finish(name, swap)
+
+    def _finish(self, name: str, swap: str) -> None:
+        """Make the moves of a complete swap; those already made are passed over."""
+        path, fs = self._fs()
+        table, there = self.path(name), lambda x: fs.exists(path(x))
+        fs.mkdirs(path(f"{swap}/old"))
+        if not there(f"{swap}/MOVED"):  # nothing new has been moved in, so what is there is old
+            for part in self._folders(f"{swap}/touched") if there(f"{swap}/touched") else self._folders(table):
+                if there(f"{table}/{part}") and not there(f"{swap}/old/{part}"):
+                    fs.rename(path(f"{table}/{part}"), path(f"{swap}/old/{part}"))
+            self._mark(f"{swap}/MOVED")
+        fs.mkdirs(path(table))
+        for part in self._folders(f"{swap}/new"):
+            fs.rename(path(f"{swap}/new/{part}"), path(f"{table}/{part}"))
+        fs.delete(path(swap), True)
+
+    def recover(self) -> None:
+        """Finish the swaps that were complete when their writer failed, remove those that were not."""
+        path, fs = self._fs()
+        for folder in self._folders(self.root):
+            if folder.startswith("_swap-"):
+                swap = f"{self.root}/{folder}"
+                if fs.exists(path(f"{swap}/READY")):
+                    self._finish(folder.removeprefix("_swap-").rpartition("-")[0], swap)
+                else:
+                    fs.delete(path(swap), True)
 
     def delete(self, name: str, gone: Column) -> None:
         """Delete by predicate, in the partitions that have such rows."""
-        table = self.read(name)
-        users = self._users(table.where(gone))
-        keep = table.where(F.col("user_id").isin(users) & ~F.coalesce(gone, F.lit(False)))
-        self._swap(name, keep, users)
+        table, gone = self.read(name), F.coalesce(gone, F.lit(False))
+        touched = table.where(gone).select("user_id").distinct()
+        self._swap(name, table.where(~gone).join(touched, "user_id", "left_semi"), touched)
 
     def replace_by_key(self, name: str, rows: DataFrame, keys: list[str]) -> None:
         """The rows take the place of all that share their (user_id, keys): files, month keys, runs."""
         rows = self._typed(name, rows)
-        users = self._users(rows)
-        old = self.read(name).where(F.col("user_id").isin(users)).join(rows.select("user_id", *keys).distinct(), ["user_id", *keys], "left_anti")
-        self._swap(name, old.select(*rows.columns).unionByName(rows), users)
+        touched = rows.select("user_id").distinct()
+        old = self.read(name).join(touched, "user_id", "left_semi").join(rows.select("user_id", *keys).distinct(), ["user_id", *keys], "left_anti")
+        self._swap(name, old.select(*rows.columns).unionByName(rows), touched)
 
     def replace_users(self, name: str, rows: DataFrame, users: list[str] | None = None) -> None:
         """The rows take the place of everything of their users, and of the named users who have none."""
         rows = self._typed(name, rows)
-        self._swap(name, rows, users if users is not None else self._users(rows))
+        touched = rows.select("user_id").distinct()
+        if users is not None:
+            named = self.spark.createDataFrame([(u,) for u in users], "user_id string")
+            rows, touched = rows.join(F.broadcast(named), "user_id", "left_semi").select(*rows.columns), named
+        self._swap(name, rows, touched)
+
+    def rebuild(self, name: str, rows: DataFrame) -> None:
+        """The rows become the table: a full rebuild."""
+        self._swap(name, self._typed(name, rows), None)
 
     def replace_group(self, tables: dict[str, DataFrame], users: list[str]) -> None:
         """Several tables of the same users together; a table without rows is cleared."""
