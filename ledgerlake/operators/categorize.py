@@ -8,7 +8,7 @@ from pyspark.ml import PipelineModel, Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, IDF, IndexToString, StringIndexer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlake.functions.scalars import digit_collapse, rule_category
@@ -62,17 +62,29 @@ def predict(model: Model, rows: DataFrame) -> DataFrame:
 
 def merchant_folds(rows: DataFrame, folds: int) -> DataFrame:
     """fold: rows of one merchant, digits collapsed, share a fold."""
-    return rows.withColumn("fold", F.pmod(F.xxhash64(digit_collapse(F.col("text"))), F.lit(folds)).cast("int"))
-
-
-def cross_validated(rows: DataFrame, folds: int = MAX_FOLDS) -> DataFrame:
-    """Out-of-fold predictions of all rows."""
-    dealt = merchant_folds(rows, folds)
-    out = None
-    for k in range(folds):
-        part = predict(train(dealt.where(F.col("fold") != k).select("text", "category")), dealt.where(F.col("fold") == k))
+    digest = F.conv(F.substring(F.md5(digit_collapse(F.col("text"))), 1, 8), 16, 10).cast("long")
+    return rows.withColumn("fold", (digest % folds).cast("int"))
+
+
+def fold_count(rows: DataFrame) -> int:
+    """Folds for (text, category): as many as the smallest class has rows and as there are merchants, 2 to MAX_FOLDS."""
+    least, total = rows.groupBy("category").agg(F.count("*").alias("n")).agg(F.min("n"), F.sum("n")).first()
+    merchants = rows.select(digit_collapse(F.col("text"))).distinct().count()
+    if (total or 0) < MIN_EXAMPLES or merchants < 2:
+        raise TooFewExamples(f"{total or 0} examples of {merchants} merchants")
+    return max(2, min(MAX_FOLDS, least, merchants))
+
+
+def cross_validated(rows: DataFrame, folds: int | None = None) -> DataFrame:
+    """Out-of-fold guesses of all rows (text, category): the model's prediction with its confidence, and the rules' (rule)."""
+    dealt, out = merchant_folds(rows.select("text", "category"), folds or fold_count(rows)), None
+    for k in range(folds or fold_count(rows)):
+        held = dealt.where(F.col("fold") == k)
+        if held.isEmpty():
+            continue
+        part = predict(train(dealt.where(F.col("fold") != k).select("text", "category")), held)
         out = part if out is None else out.unionByName(part)
-    return out
+    return out.withColumn("rule", rule_category(F.upper("text")))
 
 
 def class_scores(scored: DataFrame) -> DataFrame:
@@ -89,9 +101,39 @@ def macro_f1(scored: DataFrame) -> DataFrame:
     return class_scores(scored).agg(F.avg("f1").alias("macro_f1"), F.sum("n").alias("n"))
 
 
-def best_threshold(scored: DataFrame, steps: int = 20, precision: float = 0.8) -> float:
-    """The smallest confidence at which the predictions above it are right often enough; 1 if none is."""
-    grid = scored.select(F.explode(F.array(*(F.lit(i / steps) for i in range(steps)))).alias("t"), "confidence", (F.col("category") == F.col("prediction")).alias("hit"))
-    right = grid.where(F.col("confidence") >= F.col("t")).groupBy("t").agg(F.avg(F.col("hit").cast("double")).alias("p"))
-    row = right.where(F.col("p") >= precision).agg(F.min("t")).first()
-    return 1.0 if row[0] is None else float(row[0])
+def threshold_scores(scored: DataFrame) -> DataFrame:
+    """(threshold, macro_f1) of the combined guess for every observed confidence and one above all: the
+    model's prediction where its confidence reaches the threshold, else the rules'. scored: category,
+    prediction, confidence, rule.
+
+    A class's hits and guesses at a threshold are running sums over the confidences, so rows and
+    thresholds are never paired; classes are those of the rows."""
+    step = F.col("confidence")
+    classes = scored.select("category").distinct()
+    points = scored.select(step.alias("threshold")).unionByName(scored.agg((F.max("confidence") + 1e-9).alias("threshold"))).where("threshold is not null").distinct()
+    # what a row adds to class by class: as the model has it up to its confidence, as the rules above it
+    one = lambda c, sign: F.struct(F.col(c).alias("category"), F.when(F.col(c) == F.col("category"), sign).otherwise(0).alias("tp"), F.lit(sign).alias("said"), step.alias("above"))
+    model_always = scored.groupBy(F.col("prediction").alias("category")).agg(F.sum((F.col("prediction") == F.col("category")).cast("long")).alias("tp0"), F.count("*").alias("said0"))
+    each = scored.select(F.explode(F.array(one("prediction", -1), one("rule", 1))).alias("x")).select("x.*")
+    moved = each.groupBy("category", "above").agg(F.sum("tp").alias("tp"), F.sum("said").alias("said"))
+    grid = points.join(F.broadcast(classes))
+    run = Window.partitionBy("category").orderBy("threshold").rowsBetween(Window.unboundedPreceding, -1)
+    at = grid.join(moved.withColumnRenamed("above", "threshold"), ["category", "threshold"], "left").na.fill(0, ["tp", "said"])
+    at = at.withColumns({"dtp": F.coalesce(F.sum("tp").over(run), F.lit(0)), "dsaid": F.coalesce(F.sum("said").over(run), F.lit(0))})
+    n = scored.groupBy("category").agg(F.count("*").alias("n"))
+    full = at.join(F.broadcast(n), "category").join(F.broadcast(model_always), "category", "left").na.fill(0, ["tp0", "said0"])
+    tp, said = F.col("tp0") + F.col("dtp"), F.col("said0") + F.col("dsaid")
+    return full.groupBy("threshold").agg(F.avg(2.0 * tp / (said + F.col("n"))).alias("macro_f1"))
+
+
+def best_threshold(scored: DataFrame) -> float:
+    """The smallest threshold at which the combined guess scores best; 0 without rows. The score itself is
+    not given: it is the best of many on the rows that chose it."""
+    row = threshold_scores(scored).orderBy(F.desc("macro_f1"), "threshold").first()
+    return 0.0 if row is None else float(row["threshold"])
+
+
+def trained(rows: DataFrame) -> Model:
+    """The model of all rows (text, category), with the threshold that cross-validation finds."""
+    model = train(rows.select("text", "category"))
+    return Model(model.pipeline, best_threshold(cross_validated(rows)))

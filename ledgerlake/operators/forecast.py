@@ -155,16 +155,32 @@ def series_metrics(series: DataFrame, rolled: DataFrame, chosen: DataFrame, offs
 
 
 def fixed_expense_candidates(spend: DataFrame, keys: list[str], window: int = 6, min_months: int = 4, max_spread: float = 0.10) -> DataFrame:
-    """Recurring charges of the last months in the data: (keys, months_seen, typical, kind).
+    """Recurring charges of the last months in the data: (keys, months_seen, typical, spread, kind), and
+    where spend has them, category (that of the key's last month) and, for keys with a currency, note.
 
     spend: keys..., month, amount. Months whose total is above zero count; spread is the median
-    absolute deviation over the median."""
+    absolute deviation over the median. A charge in several currencies is listed once for each, and
+    its note names the others."""
     last = spend.agg(F.max("month").alias("last_month"))
     recent = spend.join(F.broadcast(last)).where(F.col("month") > F.add_months("last_month", -window))
     monthly = recent.groupBy(*keys, "month").agg(F.sum("amount").cast("double").alias("amount")).where("amount > 0")
     typical = monthly.groupBy(*keys).agg(F.count("*").alias("months_seen"), F.median("amount").alias("typical")).where(F.col("months_seen") >= min_months)
     spread = monthly.join(typical, keys).groupBy(*keys, "months_seen", "typical").agg((F.median(F.abs(F.col("amount") - F.col("typical"))) / F.first("typical")).alias("spread"))
-    return spread.withColumn("kind", F.when(F.col("spread") <= max_spread, "fixed").otherwise("variable"))
+    out = spread.withColumn("kind", F.when(F.col("spread") <= max_spread, "fixed").otherwise("variable"))
+    if "category" in spend.columns and "category" not in keys:
+        out = out.join(recent.groupBy(*keys).agg(F.max_by("category", F.struct("month", "category")).alias("category")), keys)
+    if "currency" in keys:
+        same = [k for k in keys if k != "currency"]
+        seen = out.groupBy(*same).agg(F.sort_array(F.collect_set("currency")).alias("__seen"))
+        others = F.array_remove("__seen", F.col("currency"))
+        out = out.join(seen, same).withColumn("note", F.when(F.size(others) > 0, F.concat(F.lit("also seen in "), F.array_join(others, ", "))).otherwise("")).drop("__seen")
+    return out
+
+
+def fixed_expense_proposal(candidates: DataFrame, keys: list[str]) -> DataFrame:
+    """The candidates as they are shown: typical amounts at two decimals, fixed ones first, then the dearest, then by key."""
+    shown = candidates.withColumn("typical", F.round("typical", 2))
+    return shown.orderBy(F.col("kind") != "fixed", F.desc("typical"), *keys)
 
 
 def weighted_summary(metrics: DataFrame, weight: str) -> DataFrame:

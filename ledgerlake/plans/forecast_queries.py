@@ -169,3 +169,25 @@ def fixed_expense_detection(spark, sf_dir):
     rows = X.monthly_spend(spark, sf_dir).withColumnRenamed("cents", "amount")
     c = P.fixed_expense_candidates(rows, KEYS)
     return c.select(*KEYS, "months_seen", F.round("typical", 2).alias("typical"), F.round("spread", 6).alias("spread"), "kind")
+
+
+@query("with" + X.LEDGER + """, spend as (select user_id as bank, description, currency, category, cast(date_trunc('month', date) as date) as month, cast(abs(cents) as double) / 100 as amount from ledger),
+spend2 as (select bank, description, case when amount > 150000 then 'USD' else 'PEN' end as currency, category, month, amount from spend),
+recent as (select * from spend2 where month > cast((select max(month) from spend2) - interval 6 month as date)),
+monthly as (select bank, description, currency, month, sum(amount) as amount from recent group by 1, 2, 3, 4 having sum(amount) > 0),
+typical as (select bank, description, currency, count(*) as months_seen, median(amount) as typical from monthly group by 1, 2, 3 having count(*) >= 4),
+spreads as (select t.bank, t.description, t.currency, max(months_seen) as months_seen, max(typical) as typical, median(abs(amount - typical)) / max(typical) as spread from typical t join monthly m using (bank, description, currency) group by 1, 2, 3),
+last as (select bank, description, currency, max_by(category, month) as category from recent group by 1, 2, 3)
+select s.bank, s.description, s.currency, l.category, months_seen, round(typical, 2) as typical, case when spread <= 0.4 then 'fixed' else 'variable' end as kind,
+    coalesce((select 'also seen in ' || string_agg(o.currency, ', ' order by o.currency) from typical o where o.bank = s.bank and o.description = s.description and o.currency <> s.currency), '') as note,
+    row_number() over (order by case when spread <= 0.4 then 0 else 1 end, round(typical, 2) desc, s.bank, s.description, s.currency) as place
+from spreads s join last l using (bank, description, currency)""")
+def fixed_expense_notes(spark, sf_dir):
+    """Proposed recurring charges with category, note of other currencies, rounding and order."""
+    from pyspark.sql import Window
+
+    led = X.ledger(spark, sf_dir).select(F.col("user_id").alias("bank"), "description", "category", F.trunc("date", "MM").alias("month"), (F.abs("cents").cast("double") / 100).alias("amount"))
+    keys = ["bank", "description", "currency"]
+    c = P.fixed_expense_candidates(led.withColumn("currency", F.when(F.col("amount") > 150000, "USD").otherwise("PEN")), keys, max_spread=0.4)
+    place = F.row_number().over(Window.orderBy(F.col("kind") != "fixed", F.desc("typical"), *keys)).cast("long")
+    return P.fixed_expense_proposal(c, keys).select(*keys, "category", "months_seen", "typical", "kind", "note").withColumn("place", place)

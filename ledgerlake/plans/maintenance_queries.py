@@ -92,3 +92,39 @@ select round(avg(case when 2 * tp + fp + fn > 0 then 2.0 * tp / (2 * tp + fp + f
 def macro_f1(spark, sf_dir):
     o = X.table(spark, sf_dir, "orders").select(F.when(F.col("o_totalprice") > 100000, "a").otherwise("b").alias("category"), F.when(F.col("o_orderpriority") < "3", "a").otherwise("b").alias("prediction"))
     return C.macro_f1(o).select(F.round("macro_f1", 6).alias("macro_f1"), "n")
+
+
+_SCORED = """with scored as (select o_orderkey, case when o_totalprice > 200000 then 'a' when o_totalprice > 100000 then 'b' else 'c' end as category,
+    case when o_orderkey % 7 < 4 then case when o_totalprice > 200000 then 'a' when o_totalprice > 100000 then 'b' else 'c' end else 'a' end as prediction,
+    (case when o_orderkey % 7 < 4 then 40 else 0 end + o_orderkey % 61) / 100.0 as confidence, case when o_custkey % 3 = 0 then 'a' when o_custkey % 3 = 1 then 'b' else 'c' end as rule from orders)"""
+
+
+@query(_SCORED + """, t as (select distinct confidence as threshold from scored union all select max(confidence) + 1e-9 from scored),
+guessed as (select threshold, category, case when confidence >= threshold then prediction else rule end as guess from scored, t),
+k as (select distinct category as c from scored),
+f as (select threshold, c, 2.0 * count(*) filter (where category = c and guess = c) / (count(*) filter (where guess = c) + count(*) filter (where category = c)) as f1 from guessed, k group by 1, 2)
+select round(threshold, 6) as threshold, round(avg(f1), 6) as macro_f1 from f group by threshold""")
+def confidence_thresholds(spark, sf_dir):
+    """Macro-F1 of the model's guess above and the rules' below each observed confidence."""
+    k, price = F.col("o_orderkey"), F.col("o_totalprice")
+    category = F.when(price > 200000, "a").when(price > 100000, "b").otherwise("c")
+    r = F.col("o_custkey") % 3
+    scored = X.table(spark, sf_dir, "orders").select(category.alias("category"), F.when(k % 7 < 4, category).otherwise("a").alias("prediction"), ((F.when(k % 7 < 4, 40).otherwise(0) + k % 61) / 100.0).alias("confidence"), F.when(r == 0, "a").when(r == 1, "b").otherwise("c").alias("rule"))
+    return C.threshold_scores(scored).select(F.round("threshold", 6).alias("threshold"), F.round("macro_f1", 6).alias("macro_f1"))
+
+
+@query("""select cast(cast('0x' || substr(md5(regexp_replace(p_type || ' ' || cast(p_partkey as varchar), '\\d+', '#', 'g')), 1, 8) as bigint) % 5 as bigint) as fold, count(*) as n, count(distinct p_type) as merchants from part group by 1""")
+def merchant_fold_sizes(spark, sf_dir):
+    """Folds by merchant: descriptions that differ in digits only stay together."""
+    p = X.table(spark, sf_dir, "part").select(F.concat("p_type", F.lit(" "), F.col("p_partkey").cast("string")).alias("text"), "p_type")
+    return C.merchant_folds(p, 5).groupBy(F.col("fold").cast("long").alias("fold")).agg(F.count("*").alias("n"), F.countDistinct("p_type").alias("merchants"))
+
+
+@query()
+def category_cross_validation(spark, sf_dir):
+    """Out-of-fold scores of the model and the rules, grouped by merchant, and the threshold they choose; a trained model is not in SQL."""
+    p = X.table(spark, sf_dir, "part").select(F.concat("p_type", F.lit(" "), F.col("p_partkey").cast("string")).alias("text"), F.split_part("p_type", F.lit(" "), F.lit(1)).alias("category"))
+    scored = C.cross_validated(p).cache()
+    best = C.best_threshold(scored)
+    rules = C.macro_f1(scored.drop("prediction").withColumnRenamed("rule", "prediction")).select(F.lit("rules").alias("guesser"), "macro_f1", "n")
+    return C.macro_f1(scored).select(F.lit("model").alias("guesser"), "macro_f1", "n").unionByName(rules).withColumn("threshold", F.lit(best))
