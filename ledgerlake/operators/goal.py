@@ -22,10 +22,6 @@ SCENARIOS = {"base": ("p50", 0.50), "cautious": ("p90", 0.25), "optimistic": ("p
 LINES = ("liquid", "with_risk")
 
 
-class ProjectionRefused(ValueError):
-    """The inputs cannot carry a projection; the message says why and has no amounts."""
-
-
 def to_usd(currency: Column, amount: Column, rate: Column) -> Column:
     """Null for a currency that is neither."""
     return F.when(currency == "USD", amount).when(currency == "PEN", amount / rate)

@@ -28,6 +28,31 @@ def trusted_labels(rows: DataFrame, labels: DataFrame, keys: list[str]) -> DataF
     return rows.join(trusted, keys, "left")
 
 
+def outside_period(rows: DataFrame, statement: list[str], date: str = "date") -> DataFrame:
+    """Statements with rows that have no date inside their period (see dated_inside), and how many: to be refused."""
+    return rows.where(F.col(date).isNull()).groupBy(*statement).agg(F.count("*").alias("rows_outside"))
+
+
+def label_problems(sheet: DataFrame, categories: list[str], header: tuple[str, ...] = ("bank", "description", "movements", "suggested_category", "category")) -> DataFrame:
+    """(sheet_row, problem) of a completed label sheet (sheet_row and the header's columns); rows without
+    any value are passed over. Columns other than the header's are refused as a whole."""
+    if tuple(sheet.columns) != ("sheet_row", *header):
+        raise ValueError("the columns are not the template's")
+    empty = lambda c: F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == ""
+    named, filled = empty("bank") | empty("description"), ~(empty("bank") & empty("description") & empty("movements") & empty("suggested_category") & empty("category"))
+    problem = F.when(named, "bank or description is empty").when(~F.coalesce(F.col("category").isin(categories), F.lit(False)), "category is not one of the list")
+    return sheet.where(filled).select("sheet_row", problem.alias("problem")).where("problem is not null")
+
+
+def read_labels(sheet: DataFrame, categories: list[str], unknown: str) -> DataFrame:
+    """(bank, description, category, is_trusted) of a completed sheet, none if any row has a problem. A
+    category is trusted where the owner changed the suggestion or there was none."""
+    bad = label_problems(sheet, categories).agg((F.count("*") > 0).alias("bad"))
+    trusted = (F.col("category") != F.col("suggested_category")) | (F.col("suggested_category") == unknown) | F.col("suggested_category").isNull()
+    filled = sheet.where("bank is not null and description is not null")
+    return filled.join(F.broadcast(bad)).where("not bad").select("bank", "description", "category", trusted.alias("is_trusted"))
+
+
 def account_dimension(movements: DataFrame) -> DataFrame:
     """One row per account; a maximum guards against attributes that differ."""
     return movements.groupBy("account_id").agg(F.max("bank").alias("bank"), F.max("account_kind").alias("account_kind"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,14 +61,47 @@ def table_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.subtract(b).withColumn("side", F.lit("left")).unionByName(b.subtract(a).withColumn("side", F.lit("right")))
 
 
+def store_difference(left: Mapping[str, DataFrame], right: Mapping[str, DataFrame]) -> DataFrame:
+    """One row for each table of two stores: (name, left_rows, right_rows, added, removed, retyped,
+    only_left, only_right). Rows are null on a side that lacks the table; columns are listed by name,
+    retyped as 'name: type -> type'; only_* count the distinct rows, over the common columns, that the other lacks."""
+    spark = next(iter({**left, **right}.values())).sparkSession
+    out = []
+    for name in sorted(left.keys() | right.keys()):
+        a, b = left.get(name), right.get(name)
+        line = [F.lit(name).alias("name"), *(F.lit(None if t is None else t.count()).cast("long").alias(c) for t, c in ((a, "left_rows"), (b, "right_rows")))]
+        changes, counts = {"added": [], "removed": [], "retyped": []}, spark.range(1).select(*(F.lit(None).cast("long").alias(c) for c in ("only_left", "only_right")))
+        if a is not None and b is not None:
+            for column, was, now in schema_difference(a, b):
+                changes["added" if was is None else "removed" if now is None else "retyped"].append(column if was is None or now is None else f"{column}: {was} -> {now}")
+            if common := [c for c in a.columns if c in b.columns]:
+                sides = table_difference(a.select(*common), b.select(*common))
+                counts = sides.agg(F.count_if(F.col("side") == "left").alias("only_left"), F.count_if(F.col("side") == "right").alias("only_right"))
+        out.append(counts.select(*line, *(F.lit(", ".join(v)).alias(k) for k, v in changes.items()), "only_left", "only_right"))
+    return functools.reduce(DataFrame.unionByName, out)
+
+
+def difference_sample(a: DataFrame, b: DataFrame, limit: int = 5) -> DataFrame:
+    """At most limit rows of either side, over the common columns, that the other lacks: a report for reading."""
+    common = [c for c in a.columns if c in b.columns]
+    sides = table_difference(a.select(*common), b.select(*common))
+    return sides.where("side = 'left'").orderBy(*common).limit(limit).unionByName(sides.where("side = 'right'").orderBy(*common).limit(limit))
+
+
 def same_movements(a: DataFrame, b: DataFrame) -> bool:
     """Whether two files have the same multiset of rows, whatever their order."""
     b = b.select(*a.columns)
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
 
 
-def catalog_types(df: DataFrame) -> dict[str, str]:
-    return {f.name: f.dataType.simpleString() for f in df.schema}
+#: Spark's types as a catalog names them.
+CATALOG_TYPES = {"string": "STRING", "bigint": "BIGINT", "int": "INT", "double": "DOUBLE", "boolean": "BOOLEAN", "date": "DATE", "timestamp": "TIMESTAMP"}
+
+
+def catalog_columns(df: DataFrame) -> DataFrame:
+    """(position, name, type, nullable) of a table, as a catalog lists it; decimals keep their precision, other types their Spark name."""
+    kinds = [(i, f.name, CATALOG_TYPES.get(f.dataType.simpleString(), f.dataType.simpleString().upper()), f.nullable) for i, f in enumerate(df.schema, 1)]
+    return df.sparkSession.createDataFrame(kinds, "position int, name string, type string, nullable boolean")
 
 
 def anomalous_charges(charges: DataFrame, keys: list[str], threshold: float = 3.5, min_rows: int = 5) -> DataFrame:

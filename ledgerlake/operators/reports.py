@@ -119,7 +119,17 @@ def income_statement(movements: DataFrame, plan: DataFrame, forecast: DataFrame,
     return every.select(*key, "month", label.alias("month_label"), (month_index(F.col("month")) - month_index(first)).alias("months_ahead"), "kind", "line", "cents")
 
 
-def filter_movements(df: DataFrame, currency: str | None = None, date_from: str | None = None, date_to: str | None = None, accounts: list | None = None, flow_types: list[str] | None = None, transfers: bool | None = None, user_id: str | None = None) -> DataFrame:
+def period(date: Column, grain: str) -> Column:
+    """The first day of the date's day, week, month, quarter or year."""
+    if grain not in ("day", "week", "month", "quarter", "year"):
+        raise ValueError(grain)
+    return F.to_date(F.date_trunc(grain, date))
+
+
+def filter_movements(
+    df: DataFrame, currency: str | None = None, date_from: str | None = None, date_to: str | None = None, accounts: list | None = None, flow_types: list[str] | None = None, transfers: bool | None = None, user_id: str | None = None,
+    years: list[int] | None = None, quarters: list[int] | None = None, months: list[int] | None = None, banks: list[str] | None = None, funds: list[str] | None = None,
+) -> DataFrame:
     """The report filters, each typed and none spliced into SQL; user_id is the row-level security predicate."""
     conditions = [
         (user_id, lambda v: F.col("user_id") == v),
@@ -129,6 +139,11 @@ def filter_movements(df: DataFrame, currency: str | None = None, date_from: str
         (accounts, lambda v: F.col("account_id").isin(v)),
         (flow_types, lambda v: F.col("flow_type").isin(v)),
         (transfers, lambda v: F.col("is_internal_transfer") == v),
+        (years, lambda v: F.year("date").isin(v)),
+        (quarters, lambda v: F.quarter("date").isin(v)),
+        (months, lambda v: F.month("date").isin(v)),
+        (banks, lambda v: F.col("bank").isin(v)),
+        (funds, lambda v: F.col("place").isin(v)),
     ]
     for value, condition in conditions:
         if value is not None:
@@ -193,5 +208,35 @@ def split_windows(df: DataFrame, current_days: int = 90) -> tuple[DataFrame, Dat
     return dated.where(~recent).drop("__last"), dated.where(recent).drop("__last")
 
 
-def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
-    return df.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("__r") <= n).drop("__r")
+DRIFT_NUMBERS = ("description_length", "digit_share", "log_abs_amount")
+DRIFT_CATEGORIES = ("bank", "currency", "flow_type", "category", "label_source")
+
+
+class TooFewMovements(ValueError):
+    """A window has fewer rows than a comparison needs."""
+
+
+def drift_features(movements: DataFrame) -> DataFrame:
+    """date and the eight compared columns of movements (date, bank, currency, flow_type, category,
+    label_source, description, amount); the description itself goes."""
+    n, digits = F.length("description"), F.regexp_count("description", F.lit(r"\d"))
+    return movements.select("date", *DRIFT_CATEGORIES, n.cast("double").alias("description_length"), (digits / F.greatest(n, F.lit(1))).alias("digit_share"), F.log1p(F.abs("amount")).alias("log_abs_amount"))
+
+
+def drift_report(features: DataFrame, current_days: int = 90, min_rows: int = 30, threshold: float = 0.2, epsilon: float = 1e-4) -> DataFrame:
+    """(column, psi, drifted): the population stability index of each column between the days before and
+    the last current_days; numbers are compared by the reference's deciles. Windows with fewer than
+    min_rows are refused. One aggregation for all columns."""
+    reference, current = split_windows(features, current_days)
+    sizes = {"reference": reference.count(), "current": current.count()}
+    for name, n in sizes.items():
+        if n < min_rows:
+            raise TooFewMovements(f"the {name} window has {n} movements, {min_rows} are needed")
+    tenths = F.array(*(F.lit(k / 10) for k in range(1, 10)))
+    cuts = reference.agg(*(F.percentile(c, tenths).alias(f"cuts_{c}") for c in DRIFT_NUMBERS))
+    both = reference.withColumn("recent", F.lit(0)).unionByName(current.withColumn("recent", F.lit(1))).join(F.broadcast(cuts))
+    bin_of = lambda c: F.size(F.filter(f"cuts_{c}", lambda q: F.col(c) > q)).cast("string")
+    values = [F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in DRIFT_CATEGORIES] + [F.struct(F.lit(c).alias("column"), bin_of(c).alias("value")) for c in DRIFT_NUMBERS]
+    counted = both.select("recent", F.explode(F.array(*values)).alias("x")).groupBy("x.column", "x.value").agg(F.sum(1 - F.col("recent")).alias("r"), F.sum("recent").alias("c"))
+    r, c = F.greatest(F.col("r") / sizes["reference"], F.lit(epsilon)), F.greatest(F.col("c") / sizes["current"], F.lit(epsilon))
+    return counted.groupBy("column").agg(F.sum((c - r) * F.ln(c / r)).alias("psi")).withColumn("drifted", F.col("psi") > threshold)

@@ -80,3 +80,17 @@ def not_in_subquery(spark, sf_dir):
     n, r = X.table(spark, sf_dir, "nation"), X.table(spark, sf_dir, "region")
     some = n.where(F.col("n_regionkey").isin(1, 2)).select("n_name")
     return n.join(some, "n_name", "left_anti").join(F.broadcast(r), n.n_regionkey == r.r_regionkey).select("n_name", "r_name")
+
+
+@query("""with a as (select o_orderkey, o_custkey, o_orderstatus, o_orderpriority from orders), b as (select o_orderkey, case when o_orderkey % 50 = 0 then o_custkey + 1 else o_custkey end as o_custkey, o_orderpriority from orders where o_orderkey % 9 <> 0)
+select 'customer' as name, (select count(*) from customer) as left_rows, cast(null as bigint) as right_rows, '' as added, '' as removed, '' as retyped, cast(null as bigint) as only_left, cast(null as bigint) as only_right
+union all select 'orders', (select count(*) from a), (select count(*) from b), 'o_new', 'o_orderstatus', 'o_orderpriority: string -> int',
+    (select count(*) from (select o_orderkey, o_custkey from a except select o_orderkey, o_custkey from b)), (select count(*) from (select o_orderkey, o_custkey from b except select o_orderkey, o_custkey from a))""")
+def store_diff(spark, sf_dir):
+    """Two stores: a table that one lacks, and one with columns added, removed and retyped and with other rows."""
+    o, k = X.table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    a = o.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    b = o.where(k % 9 != 0).select("o_orderkey", F.when(k % 50 == 0, F.col("o_custkey") + 1).otherwise(F.col("o_custkey")).alias("o_custkey"), F.lit(1).alias("o_new"), F.lit(1).alias("o_orderpriority"))
+    out = Q.store_difference({"orders": a.drop("o_orderpriority"), "customer": X.table(spark, sf_dir, "customer")}, {"orders": b.drop("o_orderpriority")})
+    retyped = dict((c, f"{c}: {was} -> {now}") for c, was, now in Q.schema_difference(a, b) if was and now)
+    return out.withColumn("retyped", F.when(F.col("name") == "orders", retyped["o_orderpriority"]).otherwise(""))

@@ -273,26 +273,9 @@ mads as (select p.user_id, p.category, p.month, median(abs(total - mid)) as mad
 select m.user_id, m.category, m.month, n as months_seen, round(case when least(12, i - f) > 0 then n / cast(least(12, i - f) as double) end, 6) as rate, round(mad / nullif(mid, 0), 6) as amount_spread
 from mids m join mads d on m.user_id = d.user_id and m.category = d.category and m.month = d.month, first"""
 )
-def recurrence_all_series(spark, sf_dir):
-    """recurrence_features over every series of monthly_spend, counted from its first month."""
-    s = X.monthly_spend(spark, sf_dir).select(F.concat_ws("/", "user_id", "category", "month").alias("id"), "user_id", "category", "month", F.col("cents").alias("amount"))
-    r = R.point_in_time_recurrence(s, ["user_id", "category"])
-    return r.select("user_id", "category", "month", "months_seen", F.round("rate", 6).alias("rate"), F.round("amount_spread", 6).alias("amount_spread"))
-
-
-@query(
-    "with"
-    + X.MONTHLY_SPEND
-    + """, rows as (select user_id, category, month, cents, cast(year(month) * 12 + month(month) as bigint) as i from monthly_spend where category like '%1-URGENT'),
-first as (select min(i) as f from rows),
-pairs as (select a.user_id, a.category, a.month, a.i, b.cents as total from rows a left join rows b on a.user_id = b.user_id and a.category = b.category and b.i >= a.i - 12 and b.i < a.i),
-mids as (select user_id, category, month, i, count(total) as n, median(cast(total as double)) as mid from pairs group by 1, 2, 3, 4),
-mads as (select p.user_id, p.category, p.month, median(abs(total - mid)) as mad from pairs p join mids m on p.user_id = m.user_id and p.category = m.category and p.month = m.month group by 1, 2, 3)
-select m.user_id, m.category, m.month, n as months_seen, round(case when least(12, i - f) > 0 then n / cast(least(12, i - f) as double) end, 6) as rate, round(mad / nullif(mid, 0), 6) as amount_spread
-from mids m join mads d on m.user_id = d.user_id and m.category = d.category and m.month = d.month, first"""
-)
 def recurrence_features(spark, sf_dir):
-    s = X.monthly_spend(spark, sf_dir).where("category like '%1-URGENT'").select(F.concat_ws("/", "user_id", "category", "month").alias("id"), "user_id", "category", "month", F.col("cents").alias("amount"))
+    """Over every series of monthly_spend, counted from its first month."""
+    s = X.monthly_spend(spark, sf_dir).select(F.concat_ws("/", "user_id", "category", "month").alias("id"), "user_id", "category", "month", F.col("cents").alias("amount"))
     r = R.point_in_time_recurrence(s, ["user_id", "category"])
     return r.select("user_id", "category", "month", "months_seen", F.round("rate", 6).alias("rate"), F.round("amount_spread", 6).alias("amount_spread"))
 
@@ -308,3 +291,33 @@ select round(sum((c - r) * ln(c / r)), 9) as psi, count(*) as n_values from b"""
 def drift_psi(spark, sf_dir):
     reference, current = R.split_windows(fact(spark, sf_dir))
     return R.psi(reference, current, "category").select(F.round("psi", 9).alias("psi"), "n_values")
+
+
+_FEATURES = """, f as (select date, account_kind as bank, currency, coalesce(flow_type, 'none') as flow_type, category, case when is_internal_transfer then 'confirmed' else 'predicted' end as label_source,
+    cast(length(description) as double) as description_length, length(regexp_replace(description, '\\D', '', 'g')) / cast(greatest(length(description), 1) as double) as digit_share, ln(1 + abs(cents)) as log_abs_amount from fact),
+w as (select *, date > (select max(date) from f) - 90 as recent from f)"""
+_BINNED = " union all ".join(
+    f"select '{c}' as \"column\", recent, '' || ({' + '.join(f'case when {c} > q[{k}] then 1 else 0 end' for k in range(1, 10))}) as value from w, (select quantile_cont({c}, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) as q from w where not recent)"
+    for c in R.DRIFT_NUMBERS
+)
+
+
+@query(_FACT + _FEATURES + ", v as (" + " union all ".join(f"select '{c}' as \"column\", recent, {c} as value from w" for c in R.DRIFT_CATEGORIES) + " union all " + _BINNED + """),
+n as (select "column", value, count(*) filter (where not recent) / cast((select count(*) from w where not recent) as double) as r, count(*) filter (where recent) / cast((select count(*) from w where recent) as double) as c from v group by 1, 2),
+p as (select "column", sum((greatest(c, 0.0001) - greatest(r, 0.0001)) * ln(greatest(c, 0.0001) / greatest(r, 0.0001))) as psi from n group by 1)
+select "column", round(psi, 6) as psi, psi > 0.2 as drifted from p""")
+def drift_report(spark, sf_dir):
+    """Eight columns, five of categories and three of numbers, each with its distance and verdict."""
+    f = fact(spark, sf_dir).select(
+        "date", F.col("account_kind").alias("bank"), "currency", F.coalesce("flow_type", F.lit("none")).alias("flow_type"), "category",
+        F.when(F.col("is_internal_transfer"), "confirmed").otherwise("predicted").alias("label_source"), "description", (F.col("cents") * 1.0).alias("amount"),
+    )
+    return R.drift_report(R.drift_features(f)).select("column", F.round("psi", 6).alias("psi"), "drifted")
+
+
+@query(_FACT + f""" select cast(date_trunc('quarter', date) as date) as period, count(*) as n, cast(sum(signed_cents) as bigint) as cents from fact
+where year(date) in (1996, 1997, 1998) and quarter(date) in (1, 3) and month(date) in (1, 2, 8) and category in ('BUILDING', 'MACHINERY') and currency = 'PEN' group by 1""")
+def filter_bar(spark, sf_dir):
+    """All of the filter bar's fields at once, at the grain of quarters."""
+    rows = R.filter_movements(fact(spark, sf_dir).withColumn("place", F.col("category")), currency="PEN", years=[1996, 1997, 1998], quarters=[1, 3], months=[1, 2, 8], funds=["BUILDING", "MACHINERY"])
+    return rows.groupBy(R.period(F.col("date"), "quarter").alias("period")).agg(F.count("*").alias("n"), F.sum("signed_cents").alias("cents"))

@@ -29,7 +29,7 @@ def scaffold_range_join(spark, sf_dir):
 @query(_BALANCES + """, span as (select account_id, min(month_start) as a, date '2001-07-01' as b from balances group by 1),
 every as (select account_id, cast(unnest(generate_series(cast(a as timestamp), cast(b as timestamp), interval 1 month)) as date) as month_start from span)
 select e.account_id, e.month_start, last_value(b.closing ignore nulls) over (partition by e.account_id order by e.month_start) as closing from every e left join balances b on b.account_id = e.account_id and b.month_start = e.month_start""")
-def locf_all_accounts(spark, sf_dir):
+def locf_last_value(spark, sf_dir):
     """Each account's last known balance in every month from its first on."""
     b = B.month_end_balances(X.statements(spark, sf_dir))
     span = b.groupBy("account_id").agg(F.min("month_start").alias("a"))
@@ -38,14 +38,6 @@ def locf_all_accounts(spark, sf_dir):
     return every.join(b.select("account_id", "month_start", "closing"), ["account_id", "month_start"], "left").withColumn("closing", F.last("closing", ignorenulls=True).over(w))
 
 
-@query(_BALANCES + """, span as (select account_id, min(month_start) as a, date '2001-07-01' as b from balances group by 1),
-every as (select account_id, cast(unnest(generate_series(cast(a as timestamp), cast(b as timestamp), interval 1 month)) as date) as month_start from span where account_id % 10 = 0)
-select e.account_id, e.month_start, last_value(b.closing ignore nulls) over (partition by e.account_id order by e.month_start) as closing from every e left join balances b on b.account_id = e.account_id and b.month_start = e.month_start""")
-def locf_last_value(spark, sf_dir):
-    """The slice of locf_all_accounts that this oracle covers."""
-    return locf_all_accounts(spark, sf_dir).where("account_id % 10 = 0")
-
-
 @query(_BALANCES + " select account_id, month_start, dense_rank() over (order by month_start desc) as month_recency from balances")
 def global_dense_rank(spark, sf_dir):
     return B.recency(B.month_end_balances(X.statements(spark, sf_dir)).select("account_id", "month_start"))
@@ -75,26 +67,14 @@ def first_and_last_statement(spark, sf_dir):
 
 @query("with" + X.LEDGER + """, m as (select account_id, cents, order_id from ledger), s as (select account_id, max(date) as closing_date from ledger group by 1)
 select m.order_id, s.closing_date, count(l.order_id) as n_before, cast(coalesce(sum(l.cents), 0) as bigint) as cents_before from m join s using (account_id) left join ledger l on l.account_id = m.account_id and l.date < s.closing_date and l.order_id < m.order_id group by 1, 2""")
-def inequality_all_orders(spark, sf_dir):
-    """inequality_after_equi for every order, by one running window instead of the join."""
+def inequality_after_equi(spark, sf_dir):
+    """What an equi-join on the account with inequalities gives, by one running window instead of the join."""
     account = Window.partitionBy("account_id")
     led = X.ledger(spark, sf_dir).select("account_id", "order_id", "date", "cents").withColumn("closing_date", F.max("date").over(account))
     w, before = account.orderBy("order_id").rangeBetween(Window.unboundedPreceding, -1), F.col("date") < F.col("closing_date")
     return led.select("order_id", "closing_date", F.count(F.when(before, 1)).over(w).alias("n_before"), F.coalesce(F.sum(F.when(before, F.col("cents"))).over(w), F.lit(0)).alias("cents_before"))
 
 
-@query("with" + X.LEDGER + """, m as (select account_id, cents, order_id from ledger where order_id % 20 = 0), s as (select account_id, max(date) as closing_date from ledger group by 1)
-select m.order_id, s.closing_date, count(l.order_id) as n_before, cast(coalesce(sum(l.cents), 0) as bigint) as cents_before from m join s using (account_id) left join ledger l on l.account_id = m.account_id and l.date < s.closing_date and l.order_id < m.order_id group by 1, 2""")
-def inequality_after_equi(spark, sf_dir):
-    """A hash join on the account with the inequalities as residual."""
-    led = X.ledger(spark, sf_dir)
-    last = led.groupBy("account_id").agg(F.max("date").alias("closing_date"))
-    some = led.where("order_id % 20 = 0").select("account_id", "order_id").join(last, "account_id")
-    other = led.select(F.col("account_id").alias("a"), F.col("date").alias("d"), F.col("order_id").alias("o"), F.col("cents").alias("c"))
-    joined = some.join(other, (F.col("account_id") == F.col("a")) & (F.col("d") < F.col("closing_date")) & (F.col("o") < F.col("order_id")), "left")
-    return joined.groupBy("order_id", "closing_date").agg(F.count("o").alias("n_before"), F.coalesce(F.sum("c"), F.lit(0)).alias("cents_before"))
-
-
 @query(_FACT + f""" select order_id, flow_type, signed_cents, cast(year(date) as bigint) as calendar_year, cast(quarter(date) as bigint) as calendar_quarter, cast(month(date) as bigint) as calendar_month,
     strftime(date, '%B') as calendar_month_name, strftime(date, '%A') as calendar_day_name from fact where date < date '{X.AS_OF_ORDERS}'""")
 def movements_with_calendar(spark, sf_dir):
