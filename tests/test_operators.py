@@ -11,6 +11,7 @@ from ledgerlake.operators import balances as B
 from ledgerlake.operators import categorize as C
 from ledgerlake.operators import forecast as P
 from ledgerlake.operators import goal as G
+from ledgerlake.operators import ingest as I
 from ledgerlake.operators import movements as M
 from ledgerlake.operators import quality as Q
 from ledgerlake.operators import reports as R
@@ -47,13 +48,45 @@ def test_month_difference_counts_boundaries(spark):
 
 def test_hmac_needs_the_key(spark):
     df = spark.range(1).select(F.lit("b").alias("b"), F.lit("1").alias("n"))
-    ids = [df.select(S.account_id(k)("b", "n")).first()[0] for k in (b"k", b"other")]
-    assert ids[0] != ids[1] and len(ids[0]) == 64
+    import hashlib
+    import hmac
+
+    for key in (b"k", b"other", b"x" * 64, b"long" * 30):
+        assert df.select(S.account_id(key, F.col("b"), F.col("n"))).first()[0] == hmac.new(key, b"b\0" + b"1", hashlib.sha256).hexdigest()
 
 
 def test_december_row_in_a_january_statement_is_of_last_year(spark):
-    day = S.dated_in_period(F.lit(30), F.lit(12), F.lit("2023-12-15").cast("date"), F.lit("2024-01-14").cast("date"))
-    assert one(spark, day) == D(2023, 12, 30)
+    for rule in (S.dated_by_start, S.dated_inside):
+        dated = lambda d, m, a, b: one(spark, rule(F.lit(d), F.lit(m), F.lit(a).cast("date"), F.lit(b).cast("date")))  # noqa: E731, B023
+        assert dated(30, 12, "2023-12-15", "2024-01-14") == D(2023, 12, 30)
+        assert dated(3, 1, "2023-12-15", "2024-01-14") == D(2024, 1, 3)
+        assert dated(5, 6, "2024-06-01", "2024-06-30") == D(2024, 6, 5)
+        assert dated(31, 6, "2024-06-01", "2024-06-30") is None
+
+
+def test_a_row_outside_the_period_has_no_date(spark):
+    inside = lambda d, m, a, b: one(spark, S.dated_inside(F.lit(d), F.lit(m), F.lit(a).cast("date"), F.lit(b).cast("date")))
+    assert inside(5, 3, "2026-01-01", "2026-01-31") is None
+    assert inside(29, 2, "2027-12-20", "2028-03-01") == D(2028, 2, 29)
+    rows = spark.createDataFrame([("s1", D(2026, 1, 2)), ("s1", None), ("s2", D(2026, 1, 3))], "statement string, date date")
+    assert [(r.statement, r.rows_outside) for r in I.outside_period(rows, ["statement"]).collect()] == [("s1", 1)]
+
+
+@pytest.mark.parametrize("text,want", [("CUENTA EN DÓLARES", "USD"), ("soles", "PEN"), ("SALDO CONSOLIDADO", None), ("OPENING BALANCE", None), ("US$ 5", "USD"), ("S/ 5", "PEN"), ("DO\u0301LARES", "USD"), ("Insoles", None), ("x\u00a0usd", "USD")])
+def test_currency_words_begin_like_a_currency(spark, text, want):
+    assert one(spark, S.currency_word(F.lit(text))) == want
+
+
+def test_label_sheet(spark):
+    schema = "sheet_row int, bank string, description string, movements int, suggested_category string, category string"
+    good = spark.createDataFrame([(2, "b", "one", 3, "Salud", "Salud"), (3, "b", "two", 1, "Salud", "Viajes"), (4, "b", "three", 1, "?", "?"), (5, None, None, None, None, None)], schema)
+    known = ["Salud", "Viajes", "?"]
+    assert {(r.description, r.is_trusted) for r in I.read_labels(good, known, "?").collect()} == {("one", False), ("two", True), ("three", True)}
+    bad = good.unionByName(spark.createDataFrame([(6, "b", "", 1, "Salud", "Salud"), (7, "b", "five", 1, "Salud", "nothing"), (8, "b", "six", 1, None, None)], schema))
+    assert {(r.sheet_row, r.problem) for r in I.label_problems(bad, known).collect()} == {(6, "bank or description is empty"), (7, "category is not one of the list"), (8, "category is not one of the list")}
+    assert I.read_labels(bad, known, "?").count() == 0
+    with pytest.raises(ValueError, match="template"):
+        I.label_problems(good.drop("movements"), known)
 
 
 MOVES = "id string, user_id string, bank string, account_id string, account_kind string, date date, cents long, currency string"
@@ -255,6 +288,104 @@ def test_lake_replaces_and_clears(spark, tmp_path):
     assert lake.read("ingested_files").count() == 1
 
 
+def lake_rows(spark, *rows):
+    return spark.createDataFrame([(u, "b", d, "c", True, None) for u, d in rows], "user_id string, bank string, description string, category string, is_trusted boolean, ingested_at timestamp")
+
+
+def shown(lake):
+    return sorted((r.user_id, r.description) for r in lake.read("category_labels").collect())
+
+
+@pytest.mark.parametrize("fails_at", range(1, 12))
+def test_a_swap_that_fails_is_undone_or_finished(spark, tmp_path, monkeypatch, fails_at):
+    """Whatever move or mark is the last, recovery leaves all of the old state or all of the new."""
+    lake = T.Lake(spark, f"file://{tmp_path}/lake")
+    lake.append("category_labels", lake_rows(spark, ("u", "old"), ("v", "stays"), ("w", "old"), ("x", "goes")))
+    old, new = shown(lake), [("u", "new"), ("v", "stays"), ("w", "new"), ("y", "new")]
+    path, fs = lake._fs()
+
+    class Failing:
+        left = fails_at
+
+        def __getattr__(self, name):
+            def call(*a):
+                if name in ("rename", "create", "delete"):
+                    Failing.left -= 1
+                    if Failing.left == 0:
+                        raise OSError("lost")
+                return getattr(fs, name)(*a)
+
+            return call
+
+    monkeypatch.setattr(lake, "_fs", lambda: (path, Failing()))
+    try:
+        lake.replace_users("category_labels", lake_rows(spark, ("u", "new"), ("w", "new"), ("y", "new")), ["u", "w", "x", "y"])
+    except OSError:
+        pass
+    again = T.Lake(spark, f"file://{tmp_path}/lake")
+    again.recover()
+    assert shown(again) in ([new] if fails_at > 1 else [old])
+    again.recover()
+    assert not [x for x in again._folders(again.root) if x.startswith("_swap")]
+
+
+def test_lake_rebuild_and_refused_rows(spark, tmp_path):
+    lake = T.Lake(spark, f"file://{tmp_path}/lake")
+    lake.rebuild("category_labels", lake_rows(spark, ("u", "a")))
+    lake.rebuild("category_labels", lake_rows(spark, ("v", "b"), ("w", "c")))
+    assert shown(lake) == [("v", "b"), ("w", "c")]
+    with pytest.raises(Exception, match="no user_id"):
+        lake.append("category_labels", lake_rows(spark, (None, "x")))
+
+
+def test_threshold_is_the_smallest_of_the_best(spark):
+    rows = [("a", "a", 0.9, "b"), ("b", "b", 0.8, "a"), ("a", "b", 0.4, "a"), ("b", "a", 0.3, "b")]
+    scored = spark.createDataFrame(rows, "category string, prediction string, confidence double, rule string")
+    assert C.best_threshold(scored) == 0.8
+    scores = {round(r.threshold, 6): r.macro_f1 for r in C.threshold_scores(scored).collect()}
+    assert scores[0.3] == 0.5 and scores[0.8] == 1.0 and len(scores) == 4
+    assert C.best_threshold(scored.limit(0)) == 0.0
+
+
+def test_cross_validation_groups_merchants(spark):
+    rows = [(f"TAXI {i} {w}", "Transporte") for i in range(12) for w in ("UBER", "CABIFY", "DIDI")] + [(f"{w} {i}", "Salud") for i in range(12) for w in ("FARMACIA SUR", "CLINICA", "BOTICA")]
+    df = spark.createDataFrame(rows, "text string, category string")
+    assert C.merchant_folds(df, 3).selectExpr("regexp_replace(text, '[0-9]+', '') as m", "fold").distinct().count() == 6
+    scored = C.cross_validated(df)
+    assert scored.count() == len(rows) and {"prediction", "confidence", "rule"} <= set(scored.columns)
+    assert 0 <= C.trained(df).threshold <= 1 + 1e-6
+    with pytest.raises(C.TooFewExamples):
+        C.fold_count(df.limit(3))
+
+
+def test_store_difference_samples_and_catalog(spark):
+    a, b = spark.range(10).selectExpr("id", "id * 2 as x"), spark.range(3, 12).selectExpr("id", "cast(id * 2 as string) as x", "1 as y")
+    d = Q.store_difference({"t": a, "only": a}, {"t": b}).collect()
+    assert [(r.name, r.left_rows, r.right_rows, r.added, r.removed, r.retyped) for r in d] == [("only", 10, None, "", "", ""), ("t", 10, 9, "y", "", "x: bigint -> string")]
+    assert Q.difference_sample(a.select("id"), b.select("id"), 2).count() == 4
+    assert [(r.position, r.name, r.type) for r in Q.catalog_columns(b).orderBy("position").collect()] == [(1, "id", "BIGINT"), (2, "x", "STRING"), (3, "y", "INT")]
+
+
+def test_drift_report_needs_rows(spark):
+    rows = [(D(2026, 1, 1), "b", "PEN", "egreso", "c", "predicted", f"shop {i}", float(i)) for i in range(40)] + [(D(2026, 6, 1), "b", "USD", "egreso", "c", "predicted", "shop", 5.0)] * 35
+    df = spark.createDataFrame(rows, "date date, bank string, currency string, flow_type string, category string, label_source string, description string, amount double")
+    got = {r.column: r.drifted for r in R.drift_report(R.drift_features(df)).collect()}
+    assert len(got) == 8 and got["currency"] and not got["bank"]
+    with pytest.raises(R.TooFewMovements, match="current"):
+        R.drift_report(R.drift_features(df.where("currency = 'PEN'").unionByName(df.where("currency = 'USD'").limit(5))))
+
+
+def test_dispatch_prefers_content_then_hint_then_password(spark):
+    files = spark.createDataFrame([("x BANK A y", "b", ["c"]), ("x", "b", ["c"]), ("x", "nobody", ["c"]), ("x", None, [])], "text string, hint string, opens array<string>")
+    assert [r.parser for r in X.dispatch(files, [("a", "BANK A"), ("b", "BANK B"), ("c", None)]).collect()] == ["a", "b", "c", None]
+
+
+def test_amounts_go_to_the_nearest_right_edge(spark):
+    words = spark.createDataFrame([("d", 99.0), ("d", 151.0), ("d", 300.0), ("e", 1.0)], "document string, x1 double")
+    headers = spark.createDataFrame([("d", "charge", 100.0), ("d", "credit", 200.0)], "document string, column string, edge double")
+    assert [r.column for r in X.nearest_column(words, headers, ["document"]).collect()] == ["charge", "credit", "credit", None]
+
+
 BRONZE = "key string, description string, source_file string, ingested_at int"
 
 

@@ -40,17 +40,17 @@ def test_scan_is_pruned_and_filtered(spark):
 
 def test_locf_carries_every_account(spark, con):
     n = con.execute(ORACLES["account_balance_monthly"].replace("select * from balances", "select count(distinct account_id) from balances")).fetchone()[0]
-    assert QUERIES["locf_all_accounts"](spark, SF).select("account_id").distinct().count() == n > 0
+    assert QUERIES["locf_last_value"](spark, SF).select("account_id").distinct().count() == n > 0
 
 
 def test_inequality_meets_every_order(spark, con):
     n = con.execute("select count(*) from orders").fetchone()[0]
-    assert QUERIES["inequality_all_orders"](spark, SF).select("order_id").distinct().count() == n > 0
+    assert QUERIES["inequality_after_equi"](spark, SF).select("order_id").distinct().count() == n > 0
 
 
 def test_recurrence_has_every_series(spark, con):
     n = con.execute("with" + crosswalk.MONTHLY_SPEND + " select count(*) from (select distinct user_id, category from monthly_spend)").fetchone()[0]
-    assert QUERIES["recurrence_all_series"](spark, SF).select("user_id", "category").distinct().count() == n > 0
+    assert QUERIES["recurrence_features"](spark, SF).select("user_id", "category").distinct().count() == n > 0
 
 
 def test_evaluate_builds_each_model_once_and_rejects_cycles(spark):
