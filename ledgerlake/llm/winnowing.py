@@ -152,21 +152,20 @@ def with_next(df: DataFrame, columns: list[str], make: Callable[[DataFrame], Dat
     repeat both stand in one place, however many they are.
 
     Rows are dealt by neighbourhoods of ids, so texts shuffle once, and make, which adds columns by row,
-    is evaluated once a row: the rows that begin a neighbourhood are found before, and only the last
-    row of each is joined with the first one of the next."""
+    is evaluated once a row: the rows that begin a neighbourhood are found before, and the last row of
+    each takes the first one of the next, which a join by place brings."""
     key = F.struct("doc_id", F.xxhash64("text").alias("text_hash"))
     placed, places = neighbourhoods(df.select(key.alias("key")), size)
     at = F.row_number().over(Window.partitionBy("place").orderBy("key"))
     keyed = placed(df.withColumn("key", key))
     heads = keyed.withColumn("at", at).where("at = 1").select("place", *df.columns)
-    firsts = materialize(make(heads).select(F.pmod(F.col("place") - 1, F.lit(max(1, places))).cast("int").alias("place"), *(F.col(c).alias(f"next_{c}") for c in columns)), "firsts")
+    firsts = materialize(make(heads).select(F.pmod(F.col("place") - 1, F.lit(max(1, places))).cast("int").alias("place"), *(F.col(c).alias(f"first_{c}") for c in columns)), "firsts")
     near = Window.partitionBy("place").orderBy("key")
     made = make(keyed)
     marked = made.withColumns({f"next_{c}": F.lead(c).over(near) for c in columns} | {"is_last": F.lead(F.lit(True)).over(near).isNull()})
-    kept = [x for x in marked.columns if x not in ("key", "place", "is_last")]
-    inner = marked.where("not is_last").select(*kept)
-    outer = marked.where("is_last").select("place", *(c for c in kept if not c.startswith("next_"))).join(firsts, "place").select(*kept)
-    return inner.unionByName(outer)
+    # rows lie by place already, so the join moves nothing but the few first ones
+    after = {f"next_{c}": F.when(F.col("is_last"), F.col(f"first_{c}")).otherwise(F.col(f"next_{c}")) for c in columns}
+    return marked.join(firsts, "place", "left").withColumns(after).drop("key", "place", "is_last", *(f"first_{c}" for c in columns))
 
 
 def edited(text: Column, follower: Column) -> Column:
