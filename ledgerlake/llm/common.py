@@ -142,18 +142,6 @@ def _ends(batch: pa.RecordBatch) -> np.ndarray:
     return np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + batch.num_rows + 1].astype(np.int64)
 
 
-def utf8(column: pa.Array) -> list[bytes]:
-    """Texts as UTF-8; null is empty."""
-    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
-
-
-def words(text: bytes) -> list[bytes]:
-    """Maximal runs of bytes outside 0x20 and 0x09-0x0D, with A-Z lower-cased.
-
-    bytes.lower and bytes.split touch ASCII only, which is what the rule asks for."""
-    return text.lower().split()
-
-
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts of a column, and where each text begins, one more for the end; null is empty."""
     column = pc.fill_null(column.cast(pa.binary()), b"")
@@ -174,9 +162,10 @@ def number_pieces(data: np.ndarray, starts: np.ndarray) -> tuple[list[bytes], np
     return numbered.dictionary.to_pylist(), numbered.indices.to_numpy()
 
 
-def numbered_words(column: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """words() of all texts at once: the distinct words, by word its number among them, and where
-    each text's words begin, one more for the end of the last."""
+def numbered_words(column: pa.Array, lower: bool = True) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The words of all texts, runs of bytes outside 0x20 and 0x09-0x0D, with A-Z lower-cased unless told
+    otherwise: the distinct ones, by word its number among them, and where each text's words begin, one
+    more for the end of the last."""
     data, offsets = text_buffer(column)
     if not len(data):
         return [], np.zeros(0, np.int32), offsets
@@ -185,7 +174,7 @@ def numbered_words(column: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarra
     start[1:] &= ~ink[:-1]
     heads = offsets[:-1][offsets[1:] > offsets[:-1]]
     start[heads] = ink[heads]
-    data = (data + (((data >= 65) & (data <= 90)).view(np.uint8) << 5))[ink]
+    data = (data + (((data >= 65) & (data <= 90)).view(np.uint8) << 5) if lower else data)[ink]
     if not len(data):
         return [], np.zeros(0, np.int32), np.zeros_like(offsets)
     return *number_pieces(data, np.flatnonzero(start[ink])), np.searchsorted(np.flatnonzero(start), offsets)

@@ -1,6 +1,7 @@
 """Token counts by a unigram model, with the dynamic programme shared along a trie.
 
-A text is cut into pre-tokens: runs of non-white-space, each led by the word mark. Distinct
+A text is cut into pre-tokens: runs of bytes outside 0x20 and 0x09-0x0D, as all operators here cut
+words, each led by the word mark. Distinct
 pre-tokens of a task are inserted in a trie of their characters. A node stands for a prefix
 and holds the forward score of the prefix's best segmentation into vocabulary pieces and the
 number of its tokens; both depend on the prefix alone, so pre-tokens with a common prefix
@@ -17,11 +18,13 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import chunks, documents, kept, map_arrow, table_batch
+from ledgerlake.llm.common import TEXTS, chunks, documents, kept, map_arrow, numbered_words, table_batch
 
 MARK = "▁"
 PENALTY = 10.0
@@ -130,13 +133,15 @@ def count_tokens(df: DataFrame, model: str, id_col: str = "doc_id", text_col: st
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared = trie(model)
-        for batch in chunks(batches, owner=OWNER):
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            cut = [x.split() for x in texts]
-            shared.learn(set().union(*cut))
-            tokens = [sum(map(shared.count_of.__getitem__, x)) for x in cut]
-            scores = [math.fsum(map(shared.score_of.__getitem__, x)) for x in cut]
-            yield table_batch(COUNTS, doc_id=batch.column(0), n_tokens=tokens, n_pretokens=list(map(len, cut)), n_chars=list(map(len, texts)), score=scores)
+        for batch in chunks(batches, TEXTS, OWNER):
+            distinct, number, bounds = numbered_words(batch.column(1), lower=False)
+            words, n = [x.decode() for x in distinct], np.diff(bounds)
+            shared.learn(set(words))
+            of = np.repeat(np.arange(len(n)), n)
+            tokens, scores = np.array([shared.count_of[x] for x in words], float), np.array([shared.score_of[x] for x in words], float)
+            sums = [np.bincount(of, x[number], len(n)) for x in (tokens, scores)]
+            chars = pc.fill_null(pc.utf8_length(batch.column(1)), 0).cast(pa.int64())
+            yield table_batch(COUNTS, doc_id=batch.column(0), n_tokens=sums[0].astype(np.int64), n_pretokens=n, n_chars=chars, score=sums[1])
 
     return map_arrow(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), score, "doc_id long, n_tokens long, n_pretokens long, n_chars long, score double")
 

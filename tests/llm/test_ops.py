@@ -210,6 +210,25 @@ def test_packing_edge_cases(spark, docs):
     assert rows(packing.pack_documents(docs([]), public_tokenizers.path("byte_bpe_50k.json"), "leading", 0)) == []
 
 
+def test_pool_drains_and_fills_every_sequence():
+    """More remainders than the pool holds: it is packed down to its lower bound, then empty, and only the last sequence has room."""
+    rng, packer, done, largest = np.random.default_rng(6), packing.Packer(), [], 0
+    sizes = rng.integers(1, 3000, 12_000)
+    for i, n in enumerate(sizes):
+        done += packer.add(i, bytes(4 * int(n)))
+        largest = max(largest, packer.size)
+    assert largest == packing.POOL_HIGH - 1 and packer.size >= packing.POOL_LOW
+    done += packer.drain()
+    used = [sum(len(p[2]) for p in s) // 4 for s in done]
+    assert packer.size == 0 and max(used) == 1024 and sum(u < 1024 for u in used) <= 1 and sum(used) == sizes.sum()
+    whole = Counter()
+    for s in done:
+        for doc, start, ids, total in s:
+            whole[doc] += len(ids) // 4
+            assert start + len(ids) // 4 <= total == sizes[doc]
+    assert all(whole[i] == n for i, n in enumerate(sizes))
+
+
 @given(st.dictionaries(st.integers(1, 40), st.integers(1, 3), max_size=6), st.integers(1, 60))
 @settings(max_examples=300, deadline=None)
 def test_closest_fill_is_optimal(counts, capacity):
@@ -283,6 +302,27 @@ def test_near_dedup_matches_brute_force_on_documents(spark):
     assert near(df) == brute_components([(r.doc_id, r.text) for r in rows(df)])
 
 
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_drop_near_copies_keeps_one_of_each_component(spark, docs, most, monkeypatch):
+    """Repeated and null ids: one document of a component stays, whether what goes is broadcast or not."""
+    monkeypatch.setattr("ledgerlake.llm.common.FEW", most)
+    base, other = " ".join(f"w{k}" for k in range(60)), "quite another text of its own"
+    texts = [(5, base), (5, base + " x"), (9, base + " y"), (None, base + " z"), (None, other), (3, "one two three four five six"), (3, "one two three four five six"), (7, ""), (7, None), (None, ""), (8, " \n"), (None, "a b"), (None, "a  b")]
+    got = Counter((r.doc_id, r.text) for r in rows(near_dedup.drop_near_copies(docs(texts))))
+    of_base, pair = [k for k in got if k[1] and k[1].startswith(base)], [k for k in got if k in ((None, "a b"), (None, "a  b"))]
+    assert len(of_base) == 1 and of_base[0][0] == 5 and len(pair) == 1
+    assert got - Counter(of_base + pair) == Counter([(None, other), (3, texts[5][1]), (3, texts[5][1]), (7, ""), (7, None), (None, ""), (8, " \n")])
+    assert near_dedup.drop_near_copies(docs(texts)).columns == docs(texts).columns and rows(near_dedup.drop_near_copies(docs([]))) == []
+
+
+def test_classes_that_share_a_name_get_others(spark):
+    """Hashes that agree in their first 60 bits, as about 40 of 10**10 do."""
+    clash = [bytes.fromhex("00112233445566" + f"{k:02x}" + "aa" * 8) for k in (0x70, 0x71, 0x7F)]
+    df = spark.createDataFrame([(bytearray(x),) for x in [*clash, b"b" * 16, b"c" * 16]], "set_hash binary")
+    names = {bytes(r.set_hash): r.rep for r in rows(near_dedup.class_names(df))}
+    assert len(set(names.values())) == 5 and sorted(names[x] for x in clash) == [-3, -2, -1] and min(names[b"b" * 16], names[b"c" * 16]) > 0
+
+
 def test_contract_joins_chains(spark):
     n = 40
     labels = spark.range(n).selectExpr("id as rep", "id as comp")
@@ -876,6 +916,7 @@ def test_token_counts_edge_cases(spark, docs, monkeypatch):
     path = public_tokenizers.path("piece_bpe_32k.model")
     v = token_counts.Vocabulary.from_file(path)
     got = Counter((r.doc_id, r.n_tokens, r.n_pretokens) for r in rows(token_counts.count_tokens(docs(EDGE), path)))
-    want = Counter((i, sum(brute_segmentation(v, w)[0] for w in (t or "").split()), len((t or "").split())) for i, t in EDGE)
+    cut = {t: re.findall(r"[^\x20\x09-\x0d]+", t or "") for _, t in EDGE}
+    want = Counter((i, sum(brute_segmentation(v, w)[0] for w in cut[t]), len(cut[t])) for i, t in EDGE)
     assert got == want
     assert rows(token_counts.count_tokens(docs([]), path)) == []
