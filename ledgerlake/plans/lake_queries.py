@@ -144,6 +144,30 @@ def statement_lines(spark, sf_dir):
     return W.group_lines(words, ["page"]).groupBy("page").agg((F.max("line") + 1).alias("lines"), F.count("*").alias("n_words"))
 
 
+@query("""with t as (select l_orderkey, l_linenumber, count(*) as copies, min(cast(l_shipdate as date)) as d, min(l_shipmode) as mode, min(l_quantity) as q, min(l_returnflag) as flag from (select *, l_returnflag as l_shipmode from lineitem) group by 1, 2)
+select l_orderkey, l_linenumber as line, cast(day(d) as bigint) as day, cast(month(d) as bigint) as month, case when l_linenumber % 4 = 0 then 'POS ' else '' end || 'SHOP ' || mode as description,
+    case when l_linenumber % 7 <> 5 then case when flag = 'R' then 'USD' else 'PEN' end end as currency,
+    case when l_linenumber % 7 <> 5 then cast(case when l_linenumber % 3 = 0 then -1 else 1 end * q * 100 as bigint) end as cents, case when l_linenumber % 7 = 5 then 'amounts in several columns' end as problem
+from t where l_linenumber % 6 <> 1 and copies = 1""")
+def statement_movements(spark, sf_dir):
+    """Words in columns to movements: dates with stray words, trailing minus, a currency a column, lines that are none."""
+    t = X.table(spark, sf_dir, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").alias("line")).agg(F.count("*").alias("copies"), F.min(F.to_date("l_shipdate")).alias("d"), F.min("l_returnflag").alias("flag"), F.min("l_quantity").alias("q"))
+    t = t.where("copies = 1")
+    n = F.col("line")
+    months = F.array(*map(F.lit, W.MONTHS))
+    date = F.when(n % 6 == 1, "SALDO").when(n % 2 == 0, F.date_format("d", "dd/MM")).otherwise(F.concat(F.date_format("d", "dd"), F.element_at(months, F.month("d"))))
+    figure = F.concat(F.format_string("%.2f", F.col("q")), F.when(n % 3 == 0, "-").otherwise(""))
+    word = lambda x0, text, column: F.struct(F.lit(x0).alias("x0"), text.alias("text"), F.lit(column).alias("column"))
+    both = n % 7 == 5
+    cells = F.array(
+        word(1.0, date, "date"), word(2.0, F.when(n % 4 == 0, "pos"), "date"), word(10.0, F.lit("shop..--"), "description"), word(11.0, F.col("flag"), "description"),
+        word(20.0, F.when((F.col("flag") != "R") | both, figure), "soles"), word(30.0, F.when((F.col("flag") == "R") | both, figure), "dollars"),
+    )
+    words = t.select("l_orderkey", "line", F.explode(cells).alias("c")).select("l_orderkey", "line", "c.*").where("text is not null")
+    rows = W.movement_rows(words, ["l_orderkey"], "date", "description", {"soles": ("PEN", 1), "dollars": ("USD", 1)})
+    return rows.select("l_orderkey", "line", F.col("day").cast("long").alias("day"), F.col("month").cast("long").alias("month"), "description", "currency", (F.col("amount") * 100).cast("long").alias("cents"), "problem")
+
+
 @query("select o_orderkey, cast(round(o_totalprice * 1000) as bigint) % 10 <> 0 as has_excess from (select o_orderkey, o_totalprice + case when o_orderkey % 4 = 0 then 0.003 else 0 end as o_totalprice from orders)")
 def excess_decimals(spark, sf_dir):
     from ledgerlake.functions.scalars import excess_decimals as excess

@@ -4,9 +4,11 @@ words, (page, text, top, x0), is ordinary data work."""
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlake.functions.scalars import normalize_description, parse_money
+
 LINE_TOLERANCE, COLUMN_SLACK = 3.0, 5.0
 
 
@@ -45,6 +47,42 @@ def nearest_column(words: DataFrame, headers: DataFrame, document: list[str]) ->
     return words.join(lists, [*document], "left").withColumn("column", near["column"]).drop("__headers")
 
 
+#: A row prints its day and month, as 05/01 or 05ENE.
+ROW_DATE = r"^(\d{1,2})(?:/(\d{1,2})|([A-ZÑ]{3}))$"
+MONTHS = ("ENE", "FEB", "MAR", "ABR", "MAY", "JUN", "JUL", "AGO", "SET", "OCT", "NOV", "DIC")
+
+
+def printed_day(text: Column) -> tuple[Column, Column]:
+    """Day and month of a row's date, null if it is none."""
+    day, number, name = (F.regexp_extract(text, ROW_DATE, i) for i in (1, 2, 3))
+    by_name = F.array_position(F.array(*map(F.lit, MONTHS)), F.when(name == "SEP", "SET").otherwise(name))
+    month = F.when(number != "", number.try_cast("int")).when(by_name > 0, by_name.cast("int"))
+    return F.when(month.between(1, 12), day.try_cast("int")), F.when(month.between(1, 12), month)
+
+
+def movement_rows(words: DataFrame, document: list[str], date: str, description: str, amounts: dict[str, tuple[str | None, int]]) -> DataFrame:
+    """(document..., line, day, month, description, currency, amount, problem) of the lines that are movements.
+
+    words: document..., line, x0, text, column. A line is a movement if the first word of its date column
+    is a day and month and an amount column holds an amount; header and balance lines are not. What
+    follows the date in its column belongs to the description. amounts gives an amount column's currency (None if
+    the statement has one only) and the sign of its amounts; a trailing minus turns it. A line with
+    amounts in several columns has a problem in place of an amount: the statement is to be refused."""
+    line = words.groupBy(*document, "line").agg(F.sort_array(F.collect_list(F.struct("x0", "text", "column"))).alias("w"))
+    texts = lambda c: F.transform(F.filter("w", lambda x: x["column"] == c), lambda x: x["text"])
+    dates = texts(date)
+    day, month = printed_day(F.coalesce(F.try_element_at(dates, F.lit(1)), F.lit("")))
+    found = []
+    for column, (currency, sign) in amounts.items():
+        figure = F.try_element_at(F.filter(texts(column), lambda t: t.rlike(r"^[\d,]*\.?\d+-?$")), F.lit(1))
+        found.append(F.struct(F.lit(currency).alias("currency"), (parse_money(figure) * sign).cast("decimal(18,2)").alias("amount")))
+    there = F.filter(F.array(*found), lambda x: x["amount"].isNotNull())
+    told = normalize_description(F.array_join(F.concat(F.slice(dates, F.lit(2), F.greatest(F.size(dates) - 1, F.lit(0))), texts(description)), " "))
+    rows = line.withColumns({"day": day, "month": month, "found": there, "description": told}).where("day is not null and size(found) > 0")
+    one = F.when(F.size("found") == 1, F.get("found", F.lit(0)))
+    return rows.select(*document, "line", "day", "month", "description", one["currency"].alias("currency"), one["amount"].alias("amount"), F.when(F.size("found") > 1, "amounts in several columns").alias("problem"))
+
+
 def detect_format(content):
     """By the first bytes: pdf, xlsx or unknown."""
     return F.when(F.substring(content, 1, 4) == F.lit(b"%PDF"), "pdf").when(F.substring(content, 1, 2) == F.lit(b"PK"), "xlsx").otherwise("unknown")

@@ -375,6 +375,20 @@ def test_drift_report_needs_rows(spark):
         R.drift_report(R.drift_features(df.where("currency = 'PEN'").unionByName(df.where("currency = 'USD'").limit(5))))
 
 
+def test_statement_lines_become_movements(spark):
+    cells = [
+        (1, 1.0, "05ENE", "date"), (1, 9.0, "Compra", "what"), (1, 10.0, "POS....VISA", "what"), (1, 30.0, "1,234.50", "out"),
+        (2, 1.0, "31/12", "date"), (2, 2.0, "Pago", "date"), (2, 9.0, "propio", "what"), (2, 40.0, "S/", "in"), (2, 41.0, "10.00-", "in"),
+        (3, 1.0, "Fecha", "date"), (3, 30.0, "1.00", "out"), (4, 1.0, "06ENE", "date"), (4, 9.0, "nothing", "what"),
+        (5, 1.0, "07/01", "date"), (5, 30.0, "1.00", "out"), (5, 40.0, "2.00", "in"), (6, 1.0, "07/13", "date"), (6, 30.0, "1.00", "out"),
+    ]
+    words = spark.createDataFrame([("d", *c) for c in cells], "document string, line int, x0 double, text string, column string")
+    got = {r.line: (r.day, r.month, r.description, r.currency, r.amount, r.problem) for r in X.movement_rows(words, ["document"], "date", "what", {"out": ("PEN", -1), "in": ("PEN", 1)}).collect()}
+    assert got == {
+        1: (5, 1, "COMPRA POS VISA", "PEN", Decimal("-1234.50"), None), 2: (31, 12, "PAGO PROPIO", "PEN", Decimal("-10.00"), None), 5: (7, 1, "", None, None, "amounts in several columns"),
+    }
+
+
 def test_dispatch_prefers_content_then_hint_then_password(spark):
     files = spark.createDataFrame([("x BANK A y", "b", ["c"]), ("x", "b", ["c"]), ("x", "nobody", ["c"]), ("x", None, [])], "text string, hint string, opens array<string>")
     assert [r.parser for r in X.dispatch(files, [("a", "BANK A"), ("b", "BANK B"), ("c", None)]).collect()] == ["a", "b", "c", None]
