@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlake.functions.scalars import digit_collapse, rule_category
+from ledgerlake.operators.movements import unlabelled
 
 MIN_EXAMPLES, MIN_PER_CLASS, MAX_FOLDS = 10, 2, 5
 NGRAMS = (2, 4)
@@ -137,3 +138,12 @@ def trained(rows: DataFrame) -> Model:
     """The model of all rows (text, category), with the threshold that cross-validation finds."""
     model = train(rows.select("text", "category"))
     return Model(model.pipeline, best_threshold(cross_validated(rows)))
+
+
+def batch_predictions(movements: DataFrame, labels: DataFrame, model: Model | None) -> DataFrame:
+    """(user_id, bank, description, category) of all descriptions without a label, by the model above its threshold
+    and the rules below; none without a model, so that replacing a user's predictions by these clears old ones."""
+    rows = unlabelled(movements, labels.select("user_id", "bank", "description")).withColumn("text", F.concat_ws(" ", "bank", "description"))
+    if model is None:
+        return rows.limit(0).select("user_id", "bank", "description", F.lit(None).cast("string").alias("category"))
+    return predict(model, rows).select("user_id", "bank", "description", F.col("prediction").alias("category"))

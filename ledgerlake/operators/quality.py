@@ -111,3 +111,28 @@ def anomalous_charges(charges: DataFrame, keys: list[str], threshold: float = 3.
     joined = charges.join(typical, keys).withColumn("off", F.abs(F.col("amount") - F.col("mid")))
     spread = joined.groupBy(*keys).agg(F.median("off").alias("mad")).where("mad > 0")
     return joined.join(spread, keys).withColumn("score", F.col("off") / (F.lit(1.4826) * F.col("mad"))).where(F.col("score") > threshold)
+
+
+def duplicate_charges(charges: DataFrame, keys: list[str], days: int = 3) -> DataFrame:
+    """An extension: charges (id, keys..., date, amount) that repeat one of the same keys and amount from at
+    most so many days before, with that date. Of charges of one day the one with the smaller id is the first."""
+    same = Window.partitionBy(*keys, "amount").orderBy("date", "id")
+    return charges.withColumn("previous_date", F.lag("date").over(same)).where(F.datediff("date", "previous_date") <= days)
+
+
+def first_merchant_charges(charges: DataFrame, who: list[str], merchant: str, after: int = 0) -> DataFrame:
+    """An extension: the charges (id, who..., merchant, date) that are the first of their merchant, if the
+    one who pays had so many charges at least before; of charges of one day the smaller id is the first."""
+    own, there = Window.partitionBy(*who).orderBy("date", "id"), Window.partitionBy(*who, merchant).orderBy("date", "id")
+    ranked = charges.withColumns({"charges_before": (F.row_number().over(own) - 1).cast("long"), "__r": F.row_number().over(there)})
+    return ranked.where((F.col("__r") == 1) & (F.col("charges_before") >= after)).drop("__r")
+
+
+def backfill_verdict(before: DataFrame, after: DataFrame, document: list[str]) -> DataFrame:
+    """(document..., same, only_before, only_after): whether each document's rows are the same multiset in both,
+    whatever their order, and how many either side has beyond the other. Columns in the order of before."""
+    columns = before.columns
+    side = lambda df, sign: df.select(*columns).groupBy(*columns).agg((sign * F.count("*")).alias("n"))
+    off = side(before, 1).unionByName(side(after, -1)).groupBy(*columns).agg(F.sum("n").alias("n"))
+    each = off.groupBy(*document).agg(F.sum(F.greatest("n", F.lit(0))).alias("only_before"), F.sum(F.greatest(-F.col("n"), F.lit(0))).alias("only_after"))
+    return each.withColumn("same", (F.col("only_before") == 0) & (F.col("only_after") == 0))

@@ -174,3 +174,16 @@ def excess_decimals(spark, sf_dir):
 
     price = F.col("o_totalprice") + F.when(F.col("o_orderkey") % 4 == 0, 0.003).otherwise(0.0)
     return X.table(spark, sf_dir, "orders").select("o_orderkey", excess(price).alias("has_excess"))
+
+
+@query(_M + """ select 'other' as name, (select count(*) from m where user_id = 'u1') as left_rows, cast(null as bigint) as right_rows, cast(null as bigint) as only_left, cast(null as bigint) as only_right
+union all select 'rows', (select count(*) from m), (select count(*) from m where event_id % 4 <> 0), (select count(*) from (select * from m except select * from m where event_id % 4 <> 0)), (select count(*) from (select * from m where event_id % 4 <> 0 except select * from m))""")
+def two_stores(spark, sf_dir):
+    """Two lakes read side by side, table by table."""
+    from ledgerlake.operators.quality import store_difference
+
+    left, right, m = lake(spark), lake(spark), rows(spark, sf_dir)
+    left.append("rows", m)
+    left.append("other", m.where("user_id = 'u1'"))
+    right.append("rows", m.where("event_id % 4 <> 0"))
+    return store_difference(left.tables(), right.tables()).select("name", "left_rows", "right_rows", "only_left", "only_right")

@@ -94,3 +94,30 @@ def store_diff(spark, sf_dir):
     out = Q.store_difference({"orders": a.drop("o_orderpriority"), "customer": X.table(spark, sf_dir, "customer")}, {"orders": b.drop("o_orderpriority")})
     retyped = dict((c, f"{c}: {was} -> {now}") for c, was, now in Q.schema_difference(a, b) if was and now)
     return out.withColumn("retyped", F.when(F.col("name") == "orders", retyped["o_orderpriority"]).otherwise(""))
+
+
+@query("with" + X.LEDGER + """, c as (select order_id, account_id, category, date, -cents as amount from ledger where cents < 0)
+select order_id, (select max(o.date) from c o where o.account_id = c.account_id and o.amount // 100000 = c.amount // 100000 and (o.date, o.order_id) < (c.date, c.order_id)) as previous_date from c
+where date_diff('day', (select max(o.date) from c o where o.account_id = c.account_id and o.amount // 100000 = c.amount // 100000 and (o.date, o.order_id) < (c.date, c.order_id)), date) <= 400""")
+def duplicate_charges(spark, sf_dir):
+    """Charges of an account that repeat an amount, here in thousands, within the days."""
+    c = X.ledger(spark, sf_dir).where("cents < 0").select(F.col("order_id").alias("id"), "account_id", "date", F.floor(-F.col("cents") / 100000).alias("amount"))
+    return Q.duplicate_charges(c, ["account_id"], 400).select(F.col("id").alias("order_id"), "previous_date")
+
+
+@query("with" + X.LEDGER + """, c as (select order_id, user_id, description, date, row_number() over (partition by user_id order by date, order_id) - 1 as charges_before from ledger where cents < 0)
+select order_id, charges_before from c where charges_before >= 5 and not exists (select 1 from c o where o.user_id = c.user_id and o.description = c.description and o.charges_before < c.charges_before)""")
+def first_merchant_charges(spark, sf_dir):
+    c = X.ledger(spark, sf_dir).where("cents < 0").withColumnRenamed("order_id", "id")
+    return Q.first_merchant_charges(c, ["user_id"], "description", 5).select(F.col("id").alias("order_id"), "charges_before")
+
+
+@query("with" + X.MOVEMENTS + """, b as (select source_file, date, description, cents from movements), a as (select source_file, date, description, cents + case when event_id % 97 = 5 then 1 else 0 end as cents from movements where event_id % 301 <> 7),
+x as (select source_file, count(*) as n from (select * from b except all select * from a) group by 1), y as (select source_file, count(*) as n from (select * from a except all select * from b) group by 1)
+select f.source_file, coalesce(x.n, 0) as only_before, coalesce(y.n, 0) as only_after, coalesce(x.n, 0) = 0 and coalesce(y.n, 0) = 0 as same from (select distinct source_file from b) f left join x using (source_file) left join y using (source_file)""")
+def backfill_verdict(spark, sf_dir):
+    """Files parsed anew: the same rows in any order, or what differs."""
+    m = X.movements(spark, sf_dir)
+    columns = ["source_file", "date", "description", "cents"]
+    after = m.where("event_id % 301 <> 7").withColumn("cents", F.col("cents") + F.when(F.col("event_id") % 97 == 5, 1).otherwise(0))
+    return Q.backfill_verdict(m.select(*columns), after.select(*columns), ["source_file"])

@@ -34,6 +34,10 @@ class Lake:
         path, fs = self._fs()
         return fs.exists(path(self.path(name)))
 
+    def tables(self) -> dict[str, DataFrame]:
+        """The tables that are there: a store, to be held against another one."""
+        return {name: self.read(name) for name in self.schemas if self.exists(name)}
+
     def read(self, name: str, user_id: str | None = None, columns: list[str] | None = None) -> DataFrame:
         """The table, or an empty one of its schema if it is not there; user_id prunes to one partition."""
         schema = self.schemas[name]

@@ -358,6 +358,16 @@ def test_cross_validation_groups_merchants(spark):
         C.fold_count(df.limit(3))
 
 
+def test_batch_predictions_replace_old_ones(spark):
+    rows = [("u", "b", f"TAXI {i} {w}") for i in range(8) for w in ("UBER", "CABIFY")] + [("u", "b", f"FARMACIA {i} {w}") for i in range(8) for w in ("SUR", "NORTE")]
+    moves = spark.createDataFrame(rows + rows[:5], "user_id string, bank string, description string")
+    labels = moves.where("description like '% 0 %'").distinct()
+    model = C.train(moves.selectExpr("concat(bank, ' ', description) as text", "if(description like 'TAXI%', 'Transporte', 'Salud') as category"))
+    got = {r.description: r.category for r in C.batch_predictions(moves, labels, model).collect()}
+    assert len(got) == 28 and all(c == ("Transporte" if d.startswith("TAXI") else "Salud") for d, c in got.items())
+    assert C.batch_predictions(moves, labels, None).count() == 0
+
+
 def test_store_difference_samples_and_catalog(spark):
     a, b = spark.range(10).selectExpr("id", "id * 2 as x"), spark.range(3, 12).selectExpr("id", "cast(id * 2 as string) as x", "1 as y")
     d = Q.store_difference({"t": a, "only": a}, {"t": b}).collect()
