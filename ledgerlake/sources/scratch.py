@@ -9,16 +9,23 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir; a local one is made only where the session has none and
-    all tasks run in this machine's one process, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
+def root(spark: SparkSession) -> str:
+    """The folder that all executors share, spark.checkpoint.dir, with its scheme; a local one is made only
+    where the session names none and all tasks run in this machine's one process, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir names no shared folder")
-        root = f"file://{tempfile.mkdtemp(prefix='staged-')}"
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        named = f"file://{tempfile.mkdtemp(prefix='scratch-')}"
+        spark.sparkContext.setCheckpointDir(named)
+    path = spark._jvm.org.apache.hadoop.fs.Path(named)
+    # without a scheme, a path lies in Spark's default file system, for whoever reads it
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder."""
+    return f"{root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame) -> DataFrame:

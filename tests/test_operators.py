@@ -399,6 +399,18 @@ def test_statement_lines_become_movements(spark):
     }
 
 
+def test_format_by_first_bytes(spark):
+    df = spark.createDataFrame([(bytearray(b"%PDF-1.7"),), (bytearray(b"PK\x03\x04"),), (bytearray(b""),)], "content binary")
+    assert [r[0] for r in df.select(X.detect_format(F.col("content"))).collect()] == ["pdf", "xlsx", "unknown"]
+
+
+def test_scratch_folder_is_shared_and_has_a_scheme(spark):
+    from ledgerlake.sources.scratch import folder
+
+    a, b = folder(spark, "x"), folder(spark, "x")
+    assert a != b and ":/" in a
+
+
 def test_dispatch_prefers_content_then_hint_then_password(spark):
     files = spark.createDataFrame([("x BANK A y", "b", ["c"]), ("x", "b", ["c"]), ("x", "nobody", ["c"]), ("x", None, [])], "text string, hint string, opens array<string>")
     assert [r.parser for r in X.dispatch(files, [("a", "BANK A"), ("b", "BANK B"), ("c", None)]).collect()] == ["a", "b", "c", None]
