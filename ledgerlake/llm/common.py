@@ -5,9 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,6 +14,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlake.sources.scratch import folder as scratch_path
+
 #: Rows of a batch that are held as Python objects at once.
 CHUNK = 256
 #: Texts whose words are numbered together, and their bytes, unless one text alone has more.
@@ -34,24 +33,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that all executors share, with its scheme; a local one only where none is named and
-    all tasks run in this machine's one process."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir names no shared folder")
-        root = f"file://{tempfile.mkdtemp(prefix='scratch-')}"
-        spark.sparkContext.setCheckpointDir(root)
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    # without a scheme, a path lies in Spark's default file system, for whoever reads it
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
