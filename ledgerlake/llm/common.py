@@ -19,7 +19,9 @@ from ledgerlake.sources.scratch import folder as scratch_path
 #: Rows of a batch that are held as Python objects at once.
 CHUNK = 256
 #: Texts whose words are numbered together, and their bytes, unless one text alone has more.
-TEXTS, TEXT_BYTES = 2048, 4 << 20
+TEXTS, TEXT_BYTES = 2048, 1 << 20
+#: Slices after which a worker gives free memory back.
+TRIM = 32
 #: Rows of a batch between the JVM and a worker, and its bytes, where the session leaves Spark's defaults:
 #: both sides hold several batches for every task.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2048"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "16m")}
@@ -102,15 +104,18 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def chunks(batches: Iterator[pa.RecordBatch], size: int = CHUNK, owner: str | None = None) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of so many rows, and TEXT_BYTES of their largest column, at most."""
+def chunks(batches: Iterator[pa.RecordBatch], size: int = CHUNK, owner: str | None = None, text_bytes: int = TEXT_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of so many rows, and so many bytes of their largest column, at most."""
     release(owner)
+    n = 0
     for batch in batches:
         at, ends = 0, _ends(batch)
         while at < batch.num_rows:
-            until = min(at + size, max(at + 1, int(np.searchsorted(ends, ends[at] + TEXT_BYTES, "right")) - 1))
+            until = min(at + size, max(at + 1, int(np.searchsorted(ends, ends[at] + text_bytes, "right")) - 1))
             yield batch.slice(at, until - at)
-            at = until
+            at, n = until, n + 1
+            if n % TRIM == 0:
+                trim()
     trim()
 
 

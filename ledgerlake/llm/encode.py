@@ -20,6 +20,8 @@ from ledgerlake.llm.common import kept, number_pieces, text_buffer
 
 #: Pieces kept in a worker, about 150 bytes each.
 CACHE_ENTRIES = 1_000_000
+#: Bytes of text that are cut into pieces together: the more, the fewer distinct pieces a token.
+ENCODED_BYTES = 4 << 20
 #: Pieces above this length are encoded but not kept.
 LONG_PIECE = 64
 

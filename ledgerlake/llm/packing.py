@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlake.llm.common import TEXTS, chunks, documents, map_arrow, table_batch
-from ledgerlake.llm.encode import CACHE_ENTRIES, OWNER, encoder
+from ledgerlake.llm.encode import CACHE_ENTRIES, ENCODED_BYTES, OWNER, encoder
 
 CAPACITY = 1024
 #: Remainders in the pool at which packing starts, and those it leaves for later windows.
@@ -103,7 +103,7 @@ class Packer:
             yield self.sequence()
 
 
-def pack_documents(df: DataFrame, tokenizer: str, mode: str, end_id: int, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, cache_entries: int = CACHE_ENTRIES) -> DataFrame:
+def pack_documents(df: DataFrame, tokenizer: str, mode: str, end_id: int, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, cache_entries: int = CACHE_ENTRIES, text_bytes: int = ENCODED_BYTES) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset,
     padded_length, and with_ids also ids (binary, little-endian unsigned 32-bit).
 
@@ -132,7 +132,7 @@ def pack_documents(df: DataFrame, tokenizer: str, mode: str, end_id: int, capaci
             rows.clear()
             return out
 
-        for batch in chunks(batches, TEXTS, OWNER):
+        for batch in chunks(batches, TEXTS, OWNER, text_bytes):
             ids, at = encode(batch.column(1), end_id)
             data, at = ids.astype("<u4").tobytes(), (at * 4).tolist()
             for doc_id, a, b in zip(batch.column(0).to_pylist(), at, at[1:]):

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlake.llm.common import TEXTS, chunks, documents, map_arrow, materialize, scratch_path, table_batch
-from ledgerlake.llm.encode import OWNER, encoder
+from ledgerlake.llm.encode import ENCODED_BYTES, OWNER, encoder
 
 MASK_DELTA = 0xA282EAD8
 INDEX = "<QQq"
@@ -119,7 +119,7 @@ def write_token_records(df: DataFrame, folder: str, tokenizer: str, mode: str, e
             rows.append((f"{folder}/{out.name}.rec", ordinal, task, out.n, out.tokens))
             out, ordinal = None, ordinal + 1
 
-        for batch in chunks(batches, TEXTS, OWNER):
+        for batch in chunks(batches, TEXTS, OWNER, ENCODED_BYTES):
             ids, at = encode(batch.column(1), end_id)
             data, at = ids.astype(f"<u{width}").tobytes(), (at * width).tolist()
             for doc_id, a, b in zip(batch.column(0).to_pylist(), at, at[1:]):

@@ -277,10 +277,12 @@ def test_near_dedup_edge_cases(spark, docs):
     assert near(docs([])) == Counter()
 
 
-@pytest.mark.parametrize("block", [64, 4])
-def test_near_dedup_against_brute_force(spark, docs, block, monkeypatch):
-    """Chains, a large group with edits of many degrees, and a passage that all others share."""
+@pytest.mark.parametrize("block,most", [(64, 200_000), (4, 0)])
+def test_near_dedup_against_brute_force(spark, docs, block, most, monkeypatch):
+    """Chains, a large group with edits of many degrees, and a passage that all others share; also in
+    small blocks and without a broadcast."""
     monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr("ledgerlake.llm.common.FEW", most)
     rng = np.random.default_rng(3)
     base = [f"b{k}" for k in range(120)]
     passage = [f"p{k}" for k in range(60)]
