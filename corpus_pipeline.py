@@ -12,8 +12,8 @@ from ledgerlake.llm import exact_dedup, mixing, near_dedup, packing, toxicity
 from ledgerlake.llm.common import discard, documents, materialize
 
 
-#: Fewer words than the packing query keeps, as the workers also serve the other stages.
-CACHE_ENTRIES = 250_000
+#: Fewer pieces and bytes of text than the packing query holds, as executors have been through the other stages.
+CACHE_ENTRIES, TEXT_BYTES = 100_000, 1 << 19
 
 
 def drop_toxic(spark, docs, sf_dir):
@@ -34,7 +34,7 @@ def mix_sources(spark, docs, sf_dir):
 
 
 def pack(spark, docs, sf_dir):
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), "leading", 0, cache_entries=CACHE_ENTRIES)
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), "leading", 0, cache_entries=CACHE_ENTRIES, text_bytes=TEXT_BYTES)
 
 
 STAGES = [
