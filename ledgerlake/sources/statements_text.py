@@ -3,6 +3,8 @@ words, (page, text, top, x0), is ordinary data work."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,19 +17,23 @@ LINE_TOLERANCE, COLUMN_SLACK = 3.0, 5.0
 def group_lines(words: DataFrame, document: list[str], tolerance: float = LINE_TOLERANCE) -> DataFrame:
     """Words (document..., top, x0, text) with the number of their line on their page. A line
     starts where a word is more than the tolerance below the line's first word, so each boundary
-    depends on the last one and a page is walked in order; a page is small."""
+    depends on the last one and a page is walked in order. Pages are dealt whole and sorted by
+    Spark; a worker walks all pages of its partition and holds one batch of them."""
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in words.schema) + ", line long"
 
-    def walk(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["top", "x0"], kind="stable")
-        lines, head, line = [], None, -1
-        for top in page["top"]:
-            if head is None or top - head > tolerance:
-                head, line = top, line + 1
-            lines.append(line)
-        return page.assign(line=lines)
-
-    return words.groupBy(*document).applyInPandas(walk, schema)
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        page, head, line = None, 0.0, 0
+        for batch in batches:
+            lines = []
+            for *key, top in zip(*(batch[c].where(batch[c].notna(), None) for c in document), batch["top"]):
+                if key != page:
+                    page, head, line = key, top, 0
+                elif top - head > tolerance:
+                    head, line = top, line + 1
+                lines.append(line)
+            yield batch.assign(line=lines)
+
+    return words.repartition(*document).sortWithinPartitions(*document, "top", "x0").mapInPandas(walk, schema)
 
 
 def assign_columns(words: DataFrame, headers: DataFrame, document: list[str], slack: float = COLUMN_SLACK) -> DataFrame:
