@@ -20,16 +20,19 @@ before keys are paired; documents without near copies then form no table key at
    common than the lesser of their counts of frequent shingles and the rare ones that both have.
    This rules out members and pairs exactly: a heavily edited copy is not compared with the
    thousands that it resembles too little.
-4. Block rounds: those tables are cut into blocks of BLOCK members by a hash; blocks at distance
-   0, then 1, then 2-3, 4-7, ... meet, and of their members only those of different components
-   that can be linked and were not compared before, each pair in the first table that it shares.
-   This goes on until all blocks have met, so
-   every candidate pair is settled: by a comparison, by a bound, or by being in one component.
+4. What is left in a table is its crowd, the component with the most members, and the others. Only
+   the others meet all members, cut into blocks of BLOCK by a hash; members of the crowd do not meet
+   each other, so a table costs its others times its members, not the square of its members. Of the
+   pairs, those of different components that can be linked are kept, each in the first table that it
+   shares, and compared in PORTIONS; a pair whose components have become one meanwhile is left out.
+   So every candidate pair is settled: by a comparison, by a bound, or by being in one component.
+The rows of tables are written once with their bounds; components that merge later are renamed where
+rows are read, so rows are not written again for each round.
 Comparisons are joins of narrow pairs with the sets of the documents that have candidates;
 links are contracted to components by repeated minimum-label hooking. All joins are
 equi-joins on hashed keys, and all intermediate tables are written to the shared folder. What a
-late round brings is little: its pairs, merged components and closed tables are broadcast where
-they are counted and few, so that sets and tables do not shuffle for them; beyond that
+late round brings is little: its pairs, merged components and the tables with several components are
+broadcast where they are counted and few, so that sets and rows do not shuffle for them; beyond that
 the same joins shuffle."""
 
 from __future__ import annotations
@@ -53,6 +56,8 @@ BLOCK = 64
 RARE, MOST_RARE = 16, 256
 #: Star rounds after the first.
 STARS = 3
+#: Sixteenths of the pairs that are left after them, by a hash: from and below.
+PORTIONS = ((0, 1), (1, 4), (4, 16))
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -187,20 +192,21 @@ def open_rows(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return materialize(current.join(mixed, "key"), "open")
 
 
-def still_open(rows: DataFrame, labels: DataFrame, moved: DataFrame) -> DataFrame:
-    """open_rows after some components have moved: only tables with members of those can have
-    closed, and if they are few nothing else shuffles."""
-    if few(moved):
-        touched = materialize(rows.join(F.broadcast(moved), "comp", "left_semi").select("key").distinct(), "touched")
-        if few(touched):
-            renamed = rows.join(F.broadcast(moved), "comp", "left").withColumn("comp", F.coalesce("to", "comp")).drop("to")
-            of_touched = renamed.select("key", "comp").join(F.broadcast(touched), "key", "left_semi")
-            closed = materialize(of_touched.groupBy("key").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least = most").select("key"), "closed")
-            left = materialize(renamed.join(F.broadcast(closed), "key", "left_anti"), "open")
-            discard(touched, closed)
-            return left
-        discard(touched)
-    return open_rows(rows, labels)
+def renamed(rows: DataFrame, moves: DataFrame | None) -> DataFrame:
+    """rows with the components that theirs have gone into."""
+    if moves is None:
+        return rows
+    return rows.join(F.broadcast(moves) if few(moves) else moves, "comp", "left").withColumn("comp", F.coalesce("to", "comp")).drop("to")
+
+
+def moved_on(moves: DataFrame | None, moved: DataFrame | None) -> DataFrame | None:
+    """The moves (comp, to) of two rounds in one."""
+    if moves is None or moved is None:
+        return moves or moved
+    further = moved.select(F.col("comp").alias("to"), F.col("to").alias("further"))
+    both = materialize(moves.join(further, "to", "left").select("comp", F.coalesce("further", "to").alias("to")).unionByName(moved), "moved")
+    discard(moves, moved)
+    return both
 
 
 def with_bounds(rows: DataFrame, sets: DataFrame, reps: DataFrame) -> DataFrame:
@@ -254,54 +260,73 @@ def _star(rows: DataFrame, priority) -> DataFrame:
     return met.where((F.col("cb") != F.col("ca")) & _possible("a", "b", False)).select(F.least("r", "rep").alias("a"), F.greatest("r", "rep").alias("b")).distinct()
 
 
-def _blocks(rows: DataFrame, low: int, high: int) -> DataFrame:
-    """Pairs of members of different components whose blocks are low to high - 1 apart in a table."""
-    count = F.ceil(F.col("members") / BLOCK)
-    dealt = rows.withColumn("blocks", count).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    reach = F.explode(F.sequence(F.lit(low), F.lit(high - 1))).alias("d")
+def _crowds(rows: DataFrame) -> DataFrame:
+    """(key, crowd, members) of the tables with several components, crowd being the one with the most members."""
+    each = rows.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    found = each.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("crowd"), F.sum("c").alias("members"), F.count("*").alias("comps"))
+    return materialize(found.where("comps > 1").select("key", "crowd", "members"), "crowds")
+
+
+def _apart(rows: DataFrame, crowds: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of members of different components of a table that can be linked."""
+    wide = F.ceil(F.col("members") / BLOCK)
+    dealt = rows.drop("members").join(F.broadcast(crowds) if few(crowds) else crowds, "key").withColumn("blocks", wide)
     named = lambda x: [F.col(c).alias(f"{n}{x}") for c, n in (("n", "n"), ("comp", "c"), ("shared", "s"), ("common", "m"), ("rare", "r"), ("sig", "g"))]
-    left = dealt.select("key", "place", "blocks", F.col("rep").alias("l"), *named("a"), "block", reach).where("d = 0 or 2 * d <= blocks")
-    left = left.withColumn("block", F.pmod(F.col("block") + F.col("d"), F.col("blocks"))).drop("blocks", "d")
-    right = dealt.select("key", "block", F.col("rep").alias("r"), *named("b"))
-    met = left.join(right, ["key", "block"]).where((F.col("ca") != F.col("cb")) & _possible("a", "b") & _first_common("ga", "gb", "place"))
+    left = dealt.where("comp <> crowd").select("key", "place", F.col("rep").alias("l"), *named("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    right = dealt.select("key", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block"), F.col("rep").alias("r"), *named("b"), (F.col("comp") == F.col("crowd")).alias("of_crowd"))
+    met = left.join(right, ["key", "block"]).where((F.col("ca") != F.col("cb")) & (F.col("of_crowd") | (F.col("l") < F.col("r"))) & _possible("a", "b") & _first_common("ga", "gb", "place"))
     return met.select(F.least("l", "r").alias("a"), F.greatest("l", "r").alias("b")).distinct()
 
 
+def _not_one(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose members are in different components."""
+    la = labels.select(F.col("rep").alias("a"), F.col("comp").alias("ca"))
+    lb = labels.select(F.col("rep").alias("b"), F.col("comp").alias("cb"))
+    return pairs.join(la, "a").join(lb, "b").where("ca <> cb").select("a", "b")
+
+
+def settle(pairs: DataFrame, sets: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """contract along those of the pairs that are linked."""
+    links = materialize(verify(pairs, sets), "links")
+    out = contract(labels, links)
+    discard(links)
+    return out
+
+
 def link_classes(tables: DataFrame, sets: DataFrame, reps: DataFrame) -> DataFrame:
     """(rep, comp) for all members of the tables."""
     labels = materialize(tables.select("rep").distinct().withColumn("comp", F.col("rep")), "labels")
     rows = tables.withColumns({"comp": F.col("rep"), "shared": F.col("n")})
     done = [materialize(_star(rows, F.col("rep")), "pairs")]
-    links = materialize(verify(done[0], sets), "links")
-    labels, moved = contract(labels, links)
-    discard(links, *([moved] if moved else []))
-    rows = open_rows(tables, labels)
-    if not rows.isEmpty():
-        before, rows = rows, open_rows(with_bounds(rows, sets, reps), labels)
-        discard(before)
-    plans = [*((lambda x, i=i: _star(x, F.xxhash64("rep", F.lit(i)))) for i in range(STARS))]
-    low, high, widest = 0, 1, rows.agg(F.max("members")).first()[0]
-    while widest is not None and (plans or not low or 2 * low <= -(-widest // BLOCK)):
-        if plans:
-            met = plans.pop(0)(rows)
-        else:
-            met = _blocks(rows, low, high)
-            low, high = high, 2 * high
-        before = done[0].sparkSession.read.schema(done[0].schema).parquet(*(x._scratch for x in done))
-        fresh = materialize(met.join(before, ["a", "b"], "left_anti"), "pairs")
-        if fresh.isEmpty():
-            discard(fresh)
-            continue
-        done.append(fresh)
-        links = materialize(verify(fresh, sets), "links")
-        labels, moved = contract(labels, links)
-        discard(links)
-        if moved is None:
-            continue
-        old, rows = rows, still_open(rows, labels, moved)
-        discard(old, moved)
-        widest = rows.agg(F.max("members")).first()[0]
-    discard(rows, *done)
+    labels, moved = settle(done[0], sets, labels)
+    discard(*([moved] if moved else []))
+    rows, moves = open_rows(tables, labels), None
+    if rows.isEmpty():
+        discard(rows, *done)
+        return labels
+    rows = with_bounds(rows, sets, reps)
+
+    def fresh(met: DataFrame) -> DataFrame:
+        before = met.sparkSession.read.schema(done[0].schema).parquet(*(x._scratch for x in done))
+        done.append(materialize(met.join(before, ["a", "b"], "left_anti"), "pairs"))
+        return done[-1]
+
+    for i in range(STARS):
+        pairs = fresh(_star(renamed(rows, moves), F.xxhash64("rep", F.lit(i))))
+        if not pairs.isEmpty():
+            labels, moved = settle(pairs, sets, labels)
+            moves = moved_on(moves, moved)
+    now = renamed(rows, moves)
+    crowds = _crowds(now)
+    pairs = fresh(_apart(now, crowds))
+    for low, high in PORTIONS:
+        portion = F.pmod(F.xxhash64("a", "b"), F.lit(16))
+        part = materialize(_not_one(pairs.where((portion >= low) & (portion < high)), labels), "portion")
+        if not part.isEmpty():
+            labels, moved = settle(part, sets, labels)
+            discard(*([moved] if moved else []))
+        discard(part)
+    discard(rows, crowds, *done, *([moves] if moves else []))
     return labels
 
 

@@ -299,6 +299,42 @@ def test_near_dedup_against_brute_force(spark, docs, block, most, monkeypatch):
     assert near(docs(texts)) == brute_components(texts)
 
 
+def test_near_dedup_rounds_do_not_write_tables_again(spark, docs, monkeypatch):
+    """A crowd of near copies and others that its tables keep apart, in blocks of two: rows of tables are written a
+    fixed number of times, not once for each round."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 2)
+    written, real = Counter(), near_dedup.materialize
+
+    def counted(df, name):
+        out = real(df, name)
+        written[name] += out.count()
+        return out
+
+    monkeypatch.setattr(near_dedup, "materialize", counted)
+    rng = np.random.default_rng(7)
+    texts = []
+    for i in range(90):
+        w = [f"b{k}" for k in range(120)]
+        for at in rng.choice(len(w), i % 8, replace=False):
+            w[at] = f"e{i % 30}.{at}"
+        texts.append((i, " ".join(w)))
+    assert near(docs(texts)) == brute_components(texts)
+    assert written["open"] <= 3 * written["tables"] and written["pairs"] <= len(texts) ** 2 / 2
+
+
+def test_only_others_meet_the_crowd_of_a_table(spark, monkeypatch):
+    """Each pair of different components that can be linked, once; a table of one component brings none."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    sig = [0] * (2 * near_dedup.COLLECTION)
+    members = [(1, r, 1 if r <= 20 else r, 100 if r != 22 else 50) for r in range(1, 25)] + [(2, r, 1, 100) for r in range(1, 9)]
+    table = [(key, 0, rep, n, comp, 0, n, None, None, sig) for key, rep, comp, n in members]
+    df = spark.createDataFrame(table, "key long, place short, rep long, n long, comp long, members long, shared long, common long, rare array<long>, sig array<int>")
+    crowds = near_dedup._crowds(df)
+    assert rows(crowds) == [(1, 1, 24)]
+    got = Counter((r.a, r.b) for r in rows(near_dedup._apart(df, crowds)))
+    assert got == Counter((a, b) for b in (21, 23, 24) for a in [*range(1, 21), 21, 23] if a < b)
+
+
 def test_near_dedup_matches_brute_force_on_documents(spark):
     df = documents(spark, SF)
     assert near(df) == brute_components([(r.doc_id, r.text) for r in rows(df)])
